@@ -34,9 +34,10 @@ def calls_from_events(
         "offense_date": day,
         "call_time": F.date_format(time, "HH:mm"),
         CALL_TIME: time if time_unit is None else F.date_trunc(time_unit, time),
-        DISPOSITION: F.get_json_object("props", "$.k"),
+        DISPOSITION: F.col("k"),
     }
-    return table.select(
+    # A generator, as in `parse_calls`: filters on the code do not parse it again.
+    return table.select("*", F.json_tuple("props", "k").alias("k")).select(
         *[
             known.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name)
             for field in CALLS
