@@ -51,9 +51,10 @@ def published_messages(spark, sf_dir):
     publish_messages(tables.calls(spark, sf_dir), "parquet", path=path)
     text = F.col("value").cast("string")
     sent = file_messages(spark, path, "parquet", streaming=False).select(text.alias("text"))
-    fields = [F.get_json_object("text", f"$.{f.name}").cast(f.dataType).alias(f.name) for f in CALLS]
     keys = F.size(F.json_object_keys("text")).cast("long").alias("n_fields")
-    return tables.plain_times(sent.select(*fields, keys))
+    decoded = sent.select(F.json_tuple("text", *CALLS.names).alias(*CALLS.names), keys)
+    fields = [F.col(field.name).cast(field.dataType) for field in CALLS]
+    return tables.plain_times(decoded.select(*fields, "n_fields"))
 
 
 def published_records(spark, sf_dir):

@@ -1,0 +1,275 @@
+"""Hand-written rows at the edges of each operator, as batch and as stream."""
+
+from __future__ import annotations
+
+import json
+from datetime import timedelta
+
+import pytest
+
+from callstream.functions.messages import encode_calls, parse_calls, tail_messages
+from callstream.operators import counts, lookups, microbatch, windows
+from callstream.schemas import CALL_TYPE, CALLS
+from callstream.sources import file_messages, read_call_file, read_codes
+from callstream.streaming import publish_messages, run_to_table
+from helpers import START, call, ordered, rows, write_messages
+
+EDGES = [
+    "{bad json",
+    call("A", "CAN"),
+    call("A", "22"),
+    call("A", "CAN"),
+    call("A", None),
+    call("A", "ZZZ"),
+    call("B", 7),
+    {"disposition": "ARR"},
+    {**call("C", "ARR"), "call_date_time": "not a ts"},
+]
+
+
+def parsed(spark, folder, streaming, **options):
+    return parse_calls(file_messages(spark, folder, streaming=streaming, **options))
+
+
+@pytest.fixture
+def edges(tmp_path):
+    return write_messages(tmp_path / "edges", [EDGES[:3], EDGES[3:6], EDGES[6:]])
+
+
+@pytest.fixture(scope="module")
+def codes(spark):
+    return lookups.default_codes(spark)
+
+
+def result(df, mode="complete", keys=None):
+    return rows(run_to_table(df, mode, keys) if df.isStreaming else df)
+
+
+def test_parse(spark, edges):
+    found = {r["line"]: r for r in _with_lines(spark, edges).collect()}
+    assert all(found["{bad json"][name] is None for name in CALLS.names)
+    assert found[json.dumps(EDGES[6])]["disposition"] == "7"
+    assert found[json.dumps(EDGES[7])][CALL_TYPE] is None
+    bad_time = found[json.dumps(EDGES[8])]
+    assert (bad_time["call_date_time"], bad_time["disposition"]) == (None, "ARR")
+
+
+def _with_lines(spark, folder):
+    """Each line next to its own parsed call."""
+    lines = spark.read.text(folder).collect()
+    schema = "line string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CALLS)
+    parsed_rows = []
+    for (line,) in lines:
+        one = spark.createDataFrame([(line.encode(),)], "value binary")
+        (row,) = parse_calls(one).collect()
+        parsed_rows.append((line, *row))
+    return spark.createDataFrame(parsed_rows, schema)
+
+
+def test_null_message_is_a_row_of_nulls(spark):
+    messages = spark.createDataFrame([(None,), (b"{}",), (b"",)], "value binary")
+    assert parse_calls(messages, counts.PAIR).collect() == [(None, None)] * 3
+
+
+def test_narrow_parse_equals_full_parse(spark, edges):
+    messages = file_messages(spark, edges, streaming=False)
+    assert rows(parse_calls(messages, counts.PAIR)) == rows(
+        parse_calls(messages).select(*counts.PAIR)
+    )
+
+
+PAIRS = [("A", "22"), ("A", "CAN"), ("A", "ZZZ"), ("A", None), ("B", "7"), ("C", "ARR")]
+PAIRS += [(None, "ARR"), (None, None)]
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+def test_pairs(spark, edges, streaming):
+    calls = parsed(spark, edges, streaming, max_files=1)
+    assert result(counts.distinct_pairs(calls), "append") == ordered(PAIRS)
+    ones = ordered((*pair, 1) for pair in PAIRS)
+    assert result(counts.pair_counts(calls)) == ones
+    assert result(counts.pair_counts(calls), "update", counts.PAIR) == ones
+    twice = ordered((*p, 2 if p == ("A", "CAN") else 1) for p in PAIRS)
+    assert result(counts.pair_counts(calls, dedup=False)) == twice
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+@pytest.mark.parametrize("max_rows", [lookups.BROADCAST_ROWS, 0])
+def test_descriptions(spark, edges, codes, streaming, max_rows):
+    calls = parsed(spark, edges, streaming, max_files=1)
+    expected = [("A", "Cancel", 2), ("C", "Arrest", 1), (None, "Arrest", 1)]
+    found = counts.description_counts(calls, codes, max_rows=max_rows)
+    assert result(found) == ordered(expected)
+    joined = lookups.with_description(calls.select(*counts.PAIR), codes, max_rows=max_rows)
+    assert joined.columns == ["disposition", CALL_TYPE, "disposition_description"]
+    assert result(joined, "append") == ordered(
+        [
+            ("22", "A", "Cancel"),
+            ("CAN", "A", "Cancel"),
+            ("CAN", "A", "Cancel"),
+            ("ARR", "C", "Arrest"),
+            ("ARR", None, "Arrest"),
+        ]
+    )
+
+
+@pytest.mark.parametrize("n_codes", [63, 64, 65, 200])
+def test_many_codes_of_one_description(spark, tmp_path, n_codes):
+    table = spark.createDataFrame(
+        [(f"c{i}", "same") for i in range(n_codes)] + [("c0", "other"), ("c0", None)],
+        "disposition string, disposition_description string",
+    )
+    folder = write_messages(
+        tmp_path / "codes", [[call("A", f"c{i}") for i in range(k, n_codes, 3)] for k in range(3)]
+    )
+    expected = [("A", "other", 1), ("A", "same", n_codes), ("A", None, 1)]
+    for streaming in (False, True):
+        calls = parsed(spark, folder, streaming)
+        assert result(counts.description_counts(calls, table)) == ordered(expected)
+
+
+def test_repeated_code_rows_count_as_in_the_join(spark, edges):
+    table = spark.createDataFrame(
+        [("CAN", "Cancel"), ("CAN", "Cancel")], "disposition string, disposition_description string"
+    )
+    for streaming in (False, True):
+        calls = parsed(spark, edges, streaming)
+        assert result(counts.description_counts(calls, table)) == [("A", "Cancel", 2)]
+
+
+def test_code_table_size(spark, codes):
+    size = lookups.code_table_size(codes)
+    assert (size.rows, size.codes_per_description) == (19, 2)
+    assert size.bytes == sum(len(c) + len(d) for c, d in lookups.DISPOSITION_CODES)
+    empty = lookups.code_table_size(codes.limit(0))
+    assert (empty.rows, empty.bytes) == (0, 0)
+
+
+def test_read_codes(spark, tmp_path, codes):
+    records = [{"disposition_code": c, "description": d} for c, d in lookups.DISPOSITION_CODES]
+    path = tmp_path / "codes.json"
+    path.write_text(json.dumps(records, indent="\t"))
+    assert rows(read_codes(spark, str(path))) == rows(codes)
+
+
+@pytest.mark.parametrize("mode", [None, "append", "update", "complete"])
+def test_repeated_calls_count_once_in_a_window(spark, tmp_path, mode):
+    same = [call("A", "CAN", 12)] * 3
+    folder = write_messages(
+        tmp_path / "calls",
+        [same, [*same, call("A", "CAN", 13)], [call("Z", "CAN", 500), EDGES[8], EDGES[0]]],
+    )
+    calls = parsed(spark, folder, mode is not None, max_files=1)
+    found = windows.sliding_pair_counts(calls, output_mode=mode or "append")
+    keys = ["window_start", "window_end", *counts.PAIR]
+    found = run_to_table(found, mode, keys) if mode else found
+    at = {
+        (r["window_start"] - START.replace(tzinfo=None), r[CALL_TYPE]): r["count"]
+        for r in found.collect()
+    }
+    minutes = {(int(k[0].total_seconds() // 60), k[1]): n for k, n in at.items()}
+    expected = {(5, "A"): 2, (10, "A"): 2}
+    if mode != "append":
+        expected |= {(495, "Z"): 1, (500, "Z"): 1}
+    assert minutes == expected
+
+
+def test_windows_that_do_not_divide(spark, tmp_path):
+    folder = write_messages(tmp_path / "calls", [[call("A", "CAN", 7), call("A", "CAN", 3)]])
+    calls = parsed(spark, folder, False)
+    found = windows.sliding_pair_counts(calls, "10 minutes", "4 minutes")
+    plain = calls.groupBy(
+        windows.F.window("call_date_time", "10 minutes", "4 minutes"), *counts.PAIR
+    ).count()
+    assert rows(found) == rows(plain.select("window.start", "window.end", *counts.PAIR, "count"))
+
+
+def test_batches(spark, tmp_path):
+    folder = write_messages(
+        tmp_path / "calls",
+        [[call("A", minute=0), call("B", minute=4.99), call("A", minute=5), call("A", minute=16)]],
+    )
+    calls = parsed(spark, folder, False)
+    start = START.replace(tzinfo=None)
+    end = {m: start + timedelta(minutes=m) for m in range(0, 120, 5)}
+    counted = microbatch.batch_counts(calls, "5 minutes")
+    assert rows(counted) == [(end[5], 2), (end[10], 1), (end[15], 0), (end[20], 1)]
+    lines = {r["line"] for r in microbatch.batch_count_lines(counted).collect()}
+    assert "Events in this batch: 0" in lines
+
+    types = microbatch.batch_type_counts(calls, "5 minutes")
+    top = microbatch.batch_top_types(types, 1)
+    # A and B tie in the first batch: the lesser name comes first.
+    assert rows(top.select("batch_end", CALL_TYPE)) == [
+        (end[5], "A"),
+        (end[10], "A"),
+        (end[20], "A"),
+    ]
+    listed = [tuple(r) for r in microbatch.sorted_types(types).collect()]
+    assert [r[1] for r in listed] == ["A", "B", "A", "A"]
+
+    placed = microbatch.windowed_batch_counts(types, "10 minutes", "5 minutes")
+    of_a = [(w, b) for w, b, kind, n in rows(placed) if kind == "A"]
+    # The window that ends with a batch holds it; its list is not added up.
+    assert of_a == [
+        (end[5], end[5]),
+        (end[10], end[5]),
+        (end[10], end[10]),
+        (end[15], end[10]),
+        (end[20], end[20]),
+        (end[25], end[20]),
+    ]
+    head = microbatch.windowed_batch_head(placed, 2).where(f"{CALL_TYPE} = 'B'")
+    assert [(r["window_end"], r["position"]) for r in head.collect()] == [
+        (end[5], 2),
+        (end[10], 2),
+    ]
+
+
+def test_batch_grid_over_several_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(microbatch, "_CHUNK", 7)
+    folder = write_messages(tmp_path / "calls", [[call(minute=0), call(minute=24.99)]])
+    found = rows(microbatch.batch_counts(parsed(spark, folder, False), "5 seconds"))
+    assert len(found) == 300
+    assert sum(n for _, n in found) == 2
+    assert {b - a for (a, _), (b, _) in zip(found, found[1:])} == {timedelta(seconds=5)}
+
+
+def test_no_calls(spark):
+    calls = spark.createDataFrame([], CALLS)
+    assert rows(microbatch.batch_counts(calls, "5 minutes")) == []
+    assert rows(windows.sliding_pair_counts(calls)) == []
+    assert rows(counts.pair_counts(calls)) == []
+
+
+def test_published_records_keep_text_and_nulls(spark, tmp_path):
+    records = [
+        {**call("A", None), "crime_id": "1", "call_date_time": "01/02/2019 03:04:05 PM"},
+        {"crime_id": 2, "address": 'quote " and é'},
+    ]
+    source = tmp_path / "records.json"
+    source.write_text(json.dumps(records))
+    target = str(tmp_path / "topic")
+    publish_messages(read_call_file(spark, str(source)), "text", path=target)
+    sent = [json.loads(r[0]) for r in spark.read.text(target).collect()]
+    assert {tuple(r) for r in sent} == {tuple(CALLS.names)}
+    by_id = {r["crime_id"]: r for r in sent}
+    assert by_id["1"]["call_date_time"] == "01/02/2019 03:04:05 PM"
+    assert by_id["1"]["disposition"] is None
+    assert by_id["2"]["address"] == 'quote " and é'
+
+
+def test_encode_keeps_microseconds(spark, tmp_path):
+    folder = write_messages(tmp_path / "calls", [[call(minute=0.0000215)]])
+    calls = parsed(spark, folder, False)
+    again = parse_calls(encode_calls(calls))
+    assert calls.first()["call_date_time"].microsecond == 1290
+    assert rows(again) == rows(calls)
+
+
+def test_tail(spark):
+    messages = spark.createDataFrame(
+        [(5, b'{"a": 1, "b": {"c": null}}'), (6, b"{bad")], "offset long, value binary"
+    )
+    found = tail_messages(messages).selectExpr("offset", "to_json(value) AS text")
+    assert rows(found) == [(5, '{"a":1,"b":{"c":null}}'), (6, None)]
