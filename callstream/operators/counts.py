@@ -68,7 +68,8 @@ def _streaming_description_counts(
     one long.
     """
     slots = Window.partitionBy(DESCRIPTION).orderBy(DISPOSITION)
-    bits = codes.withColumn("_slot", F.row_number().over(slots) - 1).select(
+    # In one partition, as every micro-batch would shuffle the measured, small table.
+    bits = codes.coalesce(1).withColumn("_slot", F.row_number().over(slots) - 1).select(
         DISPOSITION, DESCRIPTION, F.expr("shiftleft(1L, _slot)").alias("_bit")
     )
     seen = F.bit_count(F.bit_or("_bit")).cast("long")

@@ -19,16 +19,21 @@ _CHUNK = 10_000
 
 
 def batch_counts(calls: DataFrame, batch: str = BATCH) -> DataFrame:
-    """Calls per batch, 0 for the empty batches in between. Batch input only.
-
-    The grid of batches grows with the time span, not with the calls; it is made in
-    chunks, so that no single row holds it, and enters the sum as zeros.
-    """
+    """Calls per batch, 0 for the empty batches in between. Batch input only."""
     counted = (
         calls.groupBy(F.window(CALL_TIME, batch).alias("window"))
         .agg(F.count(F.lit(1)).alias("count"))
         .select(F.col("window.end").alias("batch_end"), "count")
     )
+    return fill_empty_batches(counted, batch)
+
+
+def fill_empty_batches(counted: DataFrame, batch: str = BATCH) -> DataFrame:
+    """``counted`` (batch_end, count) with a 0 for each batch that it skips.
+
+    The grid of batches grows with the time span, not with the calls; it is made in
+    chunks, so that no single row holds it, and enters the sum as zeros.
+    """
     # The count takes part in the bounds, so that both uses of `counted` need the
     # same columns and share one shuffle instead of reading the input twice.
     end = F.when(F.col("count") > 0, F.col("batch_end"))

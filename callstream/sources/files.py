@@ -17,14 +17,17 @@ def file_messages(
     fmt: str = "text",
     streaming: bool = True,
     max_files: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Messages from JSON-lines text files, or from parquet files with a ``value``.
 
-    ``max_files`` limits how many files one micro-batch admits.
+    ``max_files`` or ``max_bytes`` limits what one micro-batch admits.
     """
     reader = spark.readStream if streaming else spark.read
     if streaming and max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if streaming and max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     if fmt != "text":
         reader = reader.schema(_VALUE)
     return reader.format(fmt).load(path).select(F.col("value").cast("binary").alias("value"))

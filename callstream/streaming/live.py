@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from callstream.operators.microbatch import windowed_batch_counts, windowed_batch_head
+from callstream.operators.microbatch import (
+    fill_empty_batches,
+    windowed_batch_counts,
+    windowed_batch_head,
+)
 from callstream.schemas import CALL_TYPE
 from callstream.streaming.queries import start_query
 from callstream.streaming.sinks import show_batch
@@ -15,12 +22,34 @@ _SCHEMA = f"batch_end timestamp, {CALL_TYPE} string, count long"
 _MICROS = 1_000_000
 
 
+def _folder(path: str, batch_id: int) -> str:
+    return f"{path}/batch_id={batch_id}"
+
+
+def _read(spark: SparkSession, path: str, batch_ids: Iterable[int]) -> DataFrame:
+    folders = [_folder(path, batch_id) for batch_id in batch_ids]
+    return spark.read.schema(_SCHEMA).parquet(*folders)
+
+
 def live_type_counts(spark: SparkSession, path: str) -> DataFrame:
     """The counts written by ``start_live_counts``, ready for the batch operators."""
     counts = spark.read.schema(f"{_SCHEMA}, batch_id long").parquet(path)
     return counts.select("batch_end", CALL_TYPE, "count")
 
 
+def live_batch_counts(spark: SparkSession, path: str, trigger: str = "5 seconds") -> DataFrame:
+    """Calls per ``trigger`` interval, 0 where a trigger found no input. A batch has
+    the time of its trigger, which ends the interval that it took in."""
+    interval = F.window("batch_end", trigger).alias("window")
+    counted = (
+        live_type_counts(spark, path)
+        .groupBy(interval)
+        .agg(F.sum("count").alias("count"))
+        .select(F.col("window.start").alias("batch_end"), "count")
+    )
+    return fill_empty_batches(counted, trigger)
+
+
 def start_live_counts(
     calls: DataFrame,
     path: str,
@@ -43,15 +72,12 @@ def start_live_counts(
     recent: dict[int, int] = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{path}/batch_id={batch_id}"
         counts = batch.groupBy("batch_end", CALL_TYPE).count()
-        counts.write.mode("overwrite").parquet(folder)
+        counts.write.mode("overwrite").parquet(_folder(path, batch_id))
         if not report:
             return
-        written = spark.read.schema(_SCHEMA).parquet(folder)
-        total, end = written.agg(
-            F.coalesce(F.sum("count"), F.lit(0)), F.unix_micros(F.max("batch_end"))
-        ).first()
+        written = _read(spark, path, [batch_id])
+        total, end = _totals(written)
         print(f"Events in this batch: {total}")
         ranked = written.select(CALL_TYPE, "count").orderBy(F.desc("count"), CALL_TYPE)
         show_batch(ranked, top)
@@ -64,23 +90,32 @@ def start_live_counts(
         for key in [k for k, v in recent.items() if v <= before - length * _MICROS]:
             del recent[key]
         if end // (slide * _MICROS) > before // (slide * _MICROS):
-            folders = [f"{path}/batch_id={key}" for key in recent]
-            _print_windows(spark.read.schema(_SCHEMA).parquet(*folders), before, end, length, slide)
+            _print_windows(_read(spark, path, recent), before, end, length, slide)
 
     return start_query(timed, "append", write, trigger, checkpoint)
 
 
+def _totals(counts: DataFrame) -> tuple[int, int | None]:
+    """Calls in the batches of ``counts``, and the last batch time in microseconds."""
+    return counts.agg(
+        F.coalesce(F.sum("count"), F.lit(0)), F.unix_micros(F.max("batch_end"))
+    ).first()
+
+
 def _batches_since(spark: SparkSession, path: str, batch_id: int, since: int) -> dict[int, int]:
-    """Ids and times of the batches that an earlier run wrote in the last window."""
-    ends = (
-        spark.read.schema(f"{_SCHEMA}, batch_id long")
-        .parquet(path)
-        .where(F.col("batch_id") < batch_id)
-        .where(F.col("batch_end") > F.timestamp_micros(F.lit(since)))
-        .groupBy("batch_id")
-        .agg(F.unix_micros(F.max("batch_end")).alias("end"))
-    )
-    return {row["batch_id"]: row["end"] for row in ends.collect()}
+    """Ids and times of the batches before ``batch_id`` that an earlier run wrote
+    after ``since``; looks back one batch folder at a time, as far as there are any."""
+    found = {}
+    for earlier in range(batch_id - 1, -1, -1):
+        try:
+            _, end = _totals(_read(spark, path, [earlier]))
+        except AnalysisException:
+            break
+        if end is not None and end <= since:
+            break
+        if end is not None:
+            found[earlier] = end
+    return found
 
 
 def _print_windows(counts: DataFrame, before: int, end: int, length: int, slide: int) -> None:

@@ -29,8 +29,13 @@ from callstream.streaming import (
     show_batch,
     start_query,
 )
-from callstream.streaming.live import _batches_since, _print_windows, live_type_counts
-from callstream.streaming.live import start_live_counts
+from callstream.streaming.live import (
+    _batches_since,
+    _print_windows,
+    live_batch_counts,
+    live_type_counts,
+    start_live_counts,
+)
 from callstream.streaming.queries import AVAILABLE_NOW, LARGE_STATE_CONF
 from callstream.workspace import scratch_dir
 from helpers import START, call, rows, write_messages
@@ -220,6 +225,29 @@ def test_live_windows(spark, capsys):
     ]
 
 
+def test_live_batch_counts(spark, tmp_path):
+    start = START.replace(tzinfo=None)
+
+    def at(seconds):
+        return start + timedelta(seconds=seconds)
+
+    for batch_id, seconds in enumerate((5.01, 10.2, 25.003)):
+        spark.createDataFrame(
+            [(at(seconds), "A", 2), (at(seconds), "B", 1)],
+            f"batch_end timestamp, {CALL_TYPE} string, count long",
+        ).write.parquet(str(tmp_path / f"batch_id={batch_id}"))
+    found = rows(live_batch_counts(spark, str(tmp_path)))
+    assert found == [(at(5), 3), (at(10), 3), (at(15), 0), (at(20), 0), (at(25), 3)]
+
+
+def test_files_are_admitted_by_bytes(spark, tmp_path):
+    folder = write_messages(tmp_path / "calls", [[call()] * 3, [call()], [call()]])
+    calls = parse_calls(file_messages(spark, folder, max_bytes=300), counts.PAIR)
+    query = start_query(counts.pair_counts(calls), "complete", "noop", AVAILABLE_NOW)
+    query.awaitTermination()
+    assert [r["input_rows"] for r in progress_table(spark, query).collect()] == [3, 2]
+
+
 def test_show_batch(spark, capsys):
     show_batch(spark.range(3), 3, "three")
     show_batch(spark.range(4), 3)
@@ -257,9 +285,9 @@ def test_rate_calls(spark):
 
 
 def test_kafka_options():
-    assert kafka_options("localhost:9092", "sf.stats.crimes") == {
+    assert kafka_options("localhost:9092", "calls") == {
         "kafka.bootstrap.servers": "localhost:9092",
-        "subscribe": "sf.stats.crimes",
+        "subscribe": "calls",
         "startingOffsets": "earliest",
         "maxOffsetsPerTrigger": "10000",
     }
