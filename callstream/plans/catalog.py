@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from callstream.functions.messages import encode_calls, parse_calls, tail_messages
 from callstream.operators import counts, lookups, microbatch, windows
 from callstream.plans import tables
-from callstream.schemas import CALL_TYPE, CALLS, DISPOSITION
+from callstream.plans.jobs import start_statistics_tables
+from callstream.schemas import CALL_TYPE, CALLS, DESCRIPTION, DISPOSITION
 from callstream.sources import file_messages, read_call_file, read_codes
 from callstream.streaming.live import live_type_counts, start_live_counts
 from callstream.streaming.queries import AVAILABLE_NOW, run_to_table
 from callstream.streaming.sinks import publish_messages
+from callstream.streaming.tables import read_latest
 from callstream.workspace import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +138,16 @@ def description_counts_topic(spark, sf_dir):
     return run_to_table(found, "complete")
 
 
+def description_counts_table(spark, sf_dir):
+    """As kept by the job that counts pairs and descriptions in one query."""
+    path = scratch_dir(spark, "statistics")
+    codes = tables.codes(spark, sf_dir)
+    messages = _messages(spark, sf_dir, True)
+    start_statistics_tables(messages, codes, path, AVAILABLE_NOW).awaitTermination()
+    schema = f"{CALL_TYPE} string, {DESCRIPTION} string, count long"
+    return read_latest(spark, f"{path}/description_counts", StructType.fromDDL(schema))
+
+
 def description_counts_by_user(spark, sf_dir):
     calls = tables.calls(spark, sf_dir, call_type="user_id")
     return counts.description_counts(calls, tables.codes(spark, sf_dir))
@@ -293,6 +306,7 @@ QUERIES: dict[str, Query] = {
         description_counts,
         description_counts_messages,
         description_counts_topic,
+        description_counts_table,
         description_counts_by_user,
         description_counts_by_user_stream,
         description_counts_by_user_large_table,

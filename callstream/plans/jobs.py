@@ -7,11 +7,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from callstream.functions.messages import parse_calls, tail_messages
 from callstream.operators.counts import PAIR, description_counts, pair_counts
-from callstream.schemas import CALL_TYPE
+from callstream.operators.lookups import code_table_size, with_description
+from callstream.schemas import CALL_TYPE, DESCRIPTION
 from callstream.sources import file_messages, read_call_file
 from callstream.streaming.live import start_live_counts
 from callstream.streaming.queries import start_query
 from callstream.streaming.sinks import publish_messages
+from callstream.streaming.tables import read_latest, write_latest
 from callstream.workspace import scratch_dir
 
 
@@ -39,6 +41,34 @@ def start_call_statistics(
     ]
 
 
+def start_statistics_tables(
+    messages: DataFrame,
+    codes: DataFrame,
+    path: str,
+    trigger: str | None = None,
+    checkpoint: str | None = None,
+    dedup: bool = True,
+) -> StreamingQuery:
+    """Both counts from one query into the tables ``pair_counts`` and
+    ``description_counts`` below ``path``; read them with ``read_latest``.
+
+    Reads and parses the stream once, where two queries do so twice: descriptions
+    are counted from the pairs found so far, of which there are few.
+    """
+    spark = messages.sparkSession
+    pairs = pair_counts(parse_calls(messages, PAIR), dedup)
+    size = code_table_size(codes)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_latest(batch, f"{path}/pair_counts", batch_id)
+        found = read_latest(spark, f"{path}/pair_counts", pairs.schema).select(*PAIR)
+        described = with_description(found, codes, size=size)
+        counted = described.groupBy(CALL_TYPE, DESCRIPTION).count()
+        write_latest(counted, f"{path}/description_counts", batch_id)
+
+    return start_query(pairs, "complete", write, trigger, checkpoint)
+
+
 def start_call_report(
     messages: DataFrame,
     table: str | None = None,

@@ -120,6 +120,7 @@ ORACLES: dict[str, str] = {
     "description_counts": _descriptions("event_type"),
     "description_counts_messages": _descriptions("event_type"),
     "description_counts_topic": _descriptions("event_type"),
+    "description_counts_table": _descriptions("event_type"),
     "description_counts_by_user": _descriptions("cast(user_id as varchar)"),
     "description_counts_by_user_stream": _descriptions("cast(user_id as varchar)"),
     "description_counts_by_user_large_table": _descriptions("cast(user_id as varchar)"),

@@ -2,12 +2,15 @@
 
 from callstream.streaming.queries import progress_table, run_all, run_to_table, start_query
 from callstream.streaming.sinks import publish_messages, show_batch
+from callstream.streaming.tables import read_latest, write_latest
 
 __all__ = [
     "progress_table",
     "publish_messages",
+    "read_latest",
     "run_all",
     "run_to_table",
     "show_batch",
     "start_query",
+    "write_latest",
 ]

@@ -78,7 +78,7 @@ def start_live_counts(
             return
         written = _read(spark, path, [batch_id])
         total, end = _totals(written)
-        print(f"Events in this batch: {total}")
+        print(f"Events in this batch: {total}", flush=True)
         ranked = written.select(CALL_TYPE, "count").orderBy(F.desc("count"), CALL_TYPE)
         show_batch(ranked, top)
         if end is None:

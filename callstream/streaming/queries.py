@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from callstream.streaming.tables import read_latest, write_latest
 from callstream.workspace import scratch_dir
 
 AVAILABLE_NOW = "available now"
@@ -78,24 +79,21 @@ def run_to_table(
         return spark.read.schema(df.schema).parquet(path)
 
     written: list[int] = []
-    # Complete results replace each other: two folders in turn, so that the last whole
-    # result stays while the next one is written.
-    folders = 2 if mode == "complete" else None
-
-    def folder(batch_id: int) -> str:
-        return f"{path}/part={batch_id % folders if folders else batch_id}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if folders else batch.withColumn("_batch", F.lit(batch_id))
-        rows.write.mode("overwrite").parquet(folder(batch_id))
+        if mode == "complete":
+            write_latest(batch, path, batch_id)
+        else:
+            updates = batch.withColumn("_batch", F.lit(batch_id))
+            updates.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
         written.append(batch_id)
 
     start_query(df, mode, write, AVAILABLE_NOW, checkpoint).awaitTermination()
     if not written:
         return spark.createDataFrame([], df.schema)
-    if folders:
-        return spark.read.schema(df.schema).parquet(folder(written[-1]))
-    updates = spark.read.parquet(*[folder(batch_id) for batch_id in written])
+    if mode == "complete":
+        return read_latest(spark, path, df.schema)
+    updates = spark.read.parquet(*[f"{path}/batch_id={batch_id}" for batch_id in written])
     values = [F.max_by(c, "_batch").alias(c) for c in df.columns if c not in keys]
     return updates.groupBy(*keys).agg(*values).select(*df.columns)
 

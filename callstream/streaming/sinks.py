@@ -34,9 +34,8 @@ def publish_messages(
 def show_batch(batch: DataFrame, n: int = 10, title: str = "") -> None:
     """Print the first ``n`` rows, then "..." if there are more."""
     rows = batch.limit(n + 1).collect()
-    if title:
-        print(title)
-    for row in rows[:n]:
-        print(tuple(row))
+    lines = [title] if title else []
+    lines += [str(tuple(row)) for row in rows[:n]]
     if len(rows) > n:
-        print("...")
+        lines.append("...")
+    print(*lines, sep="\n", flush=True)

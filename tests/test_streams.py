@@ -24,6 +24,7 @@ from callstream.sources import (
 from callstream.streaming import (
     progress_table,
     publish_messages,
+    read_latest,
     run_all,
     run_to_table,
     show_batch,
@@ -161,6 +162,30 @@ def test_two_queries_over_one_stream(spark, tmp_path, capsys):
     assert rows(spark.table("description_counts")) == [("A", "Cancel", 2)]
 
 
+def test_both_tables_from_one_query(spark, tmp_path):
+    batches = [[call("AB"[i % 2], f"{i % 7}") for i in range(n, n + 3)] for n in range(5)]
+    batches[2].append("{bad")
+    folder = tmp_path / "calls"
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    codes = spark.createDataFrame(
+        [(f"{i}", f"d{i % 2}") for i in range(5)],
+        "disposition string, disposition_description string",
+    )
+    for part in (slice(0, 2), slice(2, None)):
+        write_messages(folder, batches[part], first=part.start)
+        messages = file_messages(spark, str(folder), max_files=1)
+        jobs.start_statistics_tables(
+            messages, codes, table, AVAILABLE_NOW, checkpoint
+        ).awaitTermination()
+    whole = parse_calls(file_messages(spark, str(folder), streaming=False), counts.PAIR)
+    for name, expected in {
+        "pair_counts": counts.pair_counts(whole),
+        "description_counts": counts.description_counts(whole, codes),
+    }.items():
+        found = read_latest(spark, f"{table}/{name}", expected.schema)
+        assert rows(found) == rows(expected)
+
+
 def test_a_failing_query_stops_the_others(spark, tmp_path):
     folder = write_messages(tmp_path / "calls", [[call()]])
     messages = file_messages(spark, folder)
