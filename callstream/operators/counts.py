@@ -9,8 +9,8 @@ from callstream.operators.distinct import distinct_rows
 from callstream.operators.lookups import (
     BROADCAST_BYTES,
     BROADCAST_ROWS,
-    CodeTableSize,
     code_table_size,
+    codes_per_description,
     with_description,
 )
 from callstream.schemas import CALL_TYPE, DESCRIPTION, DISPOSITION
@@ -51,16 +51,14 @@ def description_counts(
     if (
         calls.isStreaming
         and size.fits_broadcast(max_rows, max_bytes)
-        and size.codes_per_description <= _BITS
+        and (size.rows <= _BITS or codes_per_description(codes) <= _BITS)
     ):
-        return _streaming_description_counts(known, codes, size)
+        return _streaming_description_counts(known, codes)
     joined = with_description(distinct_pairs(known), codes, max_rows, max_bytes, size)
     return joined.groupBy(CALL_TYPE, DESCRIPTION).count()
 
 
-def _streaming_description_counts(
-    calls: DataFrame, codes: DataFrame, size: CodeTableSize
-) -> DataFrame:
+def _streaming_description_counts(calls: DataFrame, codes: DataFrame) -> DataFrame:
     """One bit per code of a description, OR-ed over the calls and then counted.
 
     A stream allows one aggregate in complete mode, and its ``distinct`` shuffles

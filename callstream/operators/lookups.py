@@ -43,7 +43,6 @@ class CodeTableSize:
 
     rows: int
     bytes: int
-    codes_per_description: int
 
     def fits_broadcast(self, max_rows: int, max_bytes: int) -> bool:
         return self.rows <= max_rows and self.bytes <= max_bytes
@@ -57,17 +56,15 @@ def default_codes(spark: SparkSession) -> DataFrame:
 
 
 def code_table_size(codes: DataFrame) -> CodeTableSize:
-    """Rows, text bytes and the most codes any description has; runs one small job."""
-    text = F.coalesce(F.octet_length(DISPOSITION), F.lit(0)) + F.coalesce(
-        F.octet_length(DESCRIPTION), F.lit(0)
-    )
-    row = (
-        codes.groupBy(DESCRIPTION)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(text.cast("long")).alias("size"))
-        .agg(F.sum("n"), F.sum("size"), F.max("n"))
-        .first()
-    )
-    return CodeTableSize(*(value or 0 for value in row))
+    """Rows and text bytes; runs one small job."""
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c in (DISPOSITION, DESCRIPTION)]
+    size = F.coalesce(F.sum((text[0] + text[1]).cast("long")), F.lit(0))
+    return CodeTableSize(*codes.agg(F.count(F.lit(1)), size).first())
+
+
+def codes_per_description(codes: DataFrame) -> int:
+    """The most codes that any one description has; runs one small job."""
+    return codes.groupBy(DESCRIPTION).count().agg(F.max("count")).first()[0] or 0
 
 
 def with_description(

@@ -129,11 +129,10 @@ def description_counts_messages(spark, sf_dir):
 
 
 def description_counts_topic(spark, sf_dir):
-    """The same over published message files, read in several micro-batches."""
+    """The same, with the messages published to files first and read from there."""
     topic = scratch_dir(spark, "topic")
-    published = tables.calls(spark, sf_dir).repartition(4)
-    publish_messages(published, "text", path=topic)
-    calls = parse_calls(file_messages(spark, topic, max_files=2), PAIR)
+    publish_messages(tables.calls(spark, sf_dir), "text", path=topic)
+    calls = parse_calls(file_messages(spark, topic, max_bytes=tables.MAX_BYTES), PAIR)
     found = counts.description_counts(calls, tables.codes(spark, sf_dir))
     return run_to_table(found, "complete")
 

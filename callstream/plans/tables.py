@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from callstream.schemas import CALL_TIME, CALL_TYPE, CALLS, CRIME_ID, DESCRIPTION, DISPOSITION
 
 
+# Declared, as a stream needs them and a batch read then opens no file to infer them.
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, props string"
+NATION = "n_nationkey int, n_regionkey int"
+REGION = "r_regionkey int, r_name string"
+
+# What one micro-batch takes in: a watermark moves, and state leaves, between batches.
+MAX_BYTES = 256 << 30
+
+
 def events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    table = spark.read.parquet(path)
     if not streaming:
-        return table
+        return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     # As a glob: a file stream does not take the path of a single file.
-    return spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
+    reader = spark.readStream.schema(EVENTS).option("maxBytesPerTrigger", MAX_BYTES)
+    return reader.parquet(f"{sf_dir}/events.parque[t]")
 
 
 def calls_from_events(
@@ -51,8 +59,8 @@ def calls(spark: SparkSession, sf_dir: str, streaming: bool = False, **shape) ->
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as disposition codes, their regions as descriptions."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    region = spark.read.parquet(f"{sf_dir}/region.parquet")
+    nation = spark.read.schema(NATION).parquet(f"{sf_dir}/nation.parquet")
+    region = spark.read.schema(REGION).parquet(f"{sf_dir}/region.parquet")
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").cast("string").alias(DISPOSITION),
         F.col("r_name").alias(DESCRIPTION),

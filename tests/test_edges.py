@@ -139,10 +139,11 @@ def test_repeated_code_rows_count_as_in_the_join(spark, edges):
 
 def test_code_table_size(spark, codes):
     size = lookups.code_table_size(codes)
-    assert (size.rows, size.codes_per_description) == (19, 2)
+    assert (size.rows, lookups.codes_per_description(codes)) == (19, 2)
     assert size.bytes == sum(len(c) + len(d) for c, d in lookups.DISPOSITION_CODES)
     empty = lookups.code_table_size(codes.limit(0))
     assert (empty.rows, empty.bytes) == (0, 0)
+    assert lookups.codes_per_description(codes.limit(0)) == 0
 
 
 def test_read_codes(spark, tmp_path, codes):
