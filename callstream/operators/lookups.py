@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callstream.operators.distinct import SALTS, task_salt
+from callstream.operators.distinct import task_salt
 from callstream.schemas import DESCRIPTION, DISPOSITION
 
 # The disposition codes of the call records and what they mean.
@@ -35,6 +35,8 @@ DISPOSITION_CODES = [
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
+# Copies of a code table that is too large to broadcast.
+JOIN_SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -84,8 +86,8 @@ def with_description(
     if size.fits_broadcast(max_rows, max_bytes):
         return calls.join(F.broadcast(codes), DISPOSITION)
     salted_calls = calls.where(F.col(DISPOSITION).isNotNull()).withColumn(
-        "_salt", task_salt(SALTS)
+        "_salt", task_salt(JOIN_SALTS)
     )
-    all_salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    all_salts = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
     salted_codes = codes.withColumn("_salt", all_salts).hint("merge")
     return salted_calls.join(salted_codes, [DISPOSITION, "_salt"]).drop("_salt")

@@ -207,9 +207,9 @@ def sliding_counts_hourly(spark, sf_dir):
     return tables.plain_times(windows.sliding_pair_counts(calls))
 
 
-def _sliding_stream(spark, sf_dir, mode, keys=None, **shape):
+def _sliding_stream(spark, sf_dir, mode, keys=None, dedup=True, **shape):
     calls = tables.calls(spark, sf_dir, True, **shape)
-    found = windows.sliding_pair_counts(calls, output_mode=mode)
+    found = windows.sliding_pair_counts(calls, dedup=dedup, output_mode=mode)
     return tables.plain_times(run_to_table(found, mode, keys))
 
 
@@ -225,6 +225,10 @@ def sliding_counts_append_hourly(spark, sf_dir):
     return _sliding_stream(spark, sf_dir, "append", time_unit="hour")
 
 
+def sliding_counts_append_occurrences(spark, sf_dir):
+    return _sliding_stream(spark, sf_dir, "append", dedup=False, time_unit="hour")
+
+
 def sliding_counts_update_hourly(spark, sf_dir):
     keys = ["window_start", "window_end", *PAIR]
     return _sliding_stream(spark, sf_dir, "update", keys, time_unit="hour")
@@ -319,6 +323,7 @@ QUERIES: dict[str, Query] = {
         sliding_counts_complete,
         sliding_counts_append,
         sliding_counts_append_hourly,
+        sliding_counts_append_occurrences,
         sliding_counts_update_hourly,
         batch_counts,
         batch_type_counts,

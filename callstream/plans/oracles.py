@@ -134,6 +134,7 @@ ORACLES: dict[str, str] = {
     "sliding_counts_complete": _sliding(_HOUR, "distinct"),
     "sliding_counts_append": _sliding("ts", "distinct", closed=True),
     "sliding_counts_append_hourly": _sliding(_HOUR, "distinct", closed=True),
+    "sliding_counts_append_occurrences": _sliding(_HOUR, "", closed=True),
     "sliding_counts_update_hourly": _sliding(_HOUR, "distinct"),
     "batch_counts": _BATCH_COUNTS,
     "batch_type_counts": _batches(),

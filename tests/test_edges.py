@@ -100,6 +100,8 @@ def test_descriptions(spark, edges, codes, streaming, max_rows):
     expected = [("A", "Cancel", 2), ("C", "Arrest", 1), (None, "Arrest", 1)]
     found = counts.description_counts(calls, codes, max_rows=max_rows)
     assert result(found) == ordered(expected)
+    keys = [CALL_TYPE, "disposition_description"]
+    assert result(found, "update", keys) == ordered(expected)
     joined = lookups.with_description(calls.select(*counts.PAIR), codes, max_rows=max_rows)
     assert joined.columns == ["disposition", CALL_TYPE, "disposition_description"]
     assert result(joined, "append") == ordered(

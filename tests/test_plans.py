@@ -52,6 +52,17 @@ def test_streaming_windows_combine_copies_before_the_shuffle(spark, messages, ca
     assert plan.count("REQUIRED_BY_STATEFUL_OPERATOR") == 2
 
 
+def test_a_hot_key_is_split_over_salts(spark, tmp_path, capsys):
+    folder = write_messages(tmp_path / "calls", [[call("A", "CAN")] * 5 for _ in range(6)])
+    calls = parse_calls(file_messages(spark, folder), counts.PAIR)
+    query = start_query(counts.distinct_pairs(calls), "append", "noop", AVAILABLE_NOW)
+    query.awaitTermination()
+    last, first = query.recentProgress[0].stateOperators
+    assert last.numRowsTotal == 1
+    assert 1 <= first.numRowsTotal <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "_salt" in plan_text(capsys, query)
+
+
 def test_large_code_table_is_not_broadcast(spark, sf_dir, capsys):
     calls = tables.calls(spark, sf_dir)
     codes = lookups.default_codes(spark)
