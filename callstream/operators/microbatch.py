@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callstream.functions.intervals import interval_micros
 from callstream.schemas import CALL_TIME, CALL_TYPE
 
 BATCH = "5 seconds"
@@ -87,12 +88,15 @@ def windowed_batch_counts(
 ) -> DataFrame:
     """The per-batch counts in each sliding window of batches, listed, not summed.
 
-    A batch belongs to a window (end - length, end], so one that ends with the
-    window is part of it. No shuffle: each row is repeated once per window.
+    Windows end at the multiples of ``slide``. A batch belongs to a window
+    (end - length, end], so one that ends with the window is part of it. No shuffle:
+    each row is repeated once per window.
     """
+    spark = counts.sparkSession
+    first = -interval_micros(spark, length) % interval_micros(spark, slide)
     inside = F.col("batch_end") - F.expr("INTERVAL 1 MICROSECOND")
-    placed = counts.withColumn("window", F.window(inside, length, slide))
-    return placed.select(
+    window = F.window(inside, length, slide, f"{first} microseconds")
+    return counts.withColumn("window", window).select(
         F.col("window.end").alias("window_end"), "batch_end", CALL_TYPE, "count"
     )
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callstream.functions.intervals import interval_micros
 from callstream.operators.counts import PAIR
 from callstream.operators.distinct import distinct_rows
 from callstream.schemas import CALL_TIME
@@ -12,12 +13,6 @@ from callstream.schemas import CALL_TIME
 _TICK = "_tick"
 
 
-def interval_micros(spark: SparkSession, interval: str) -> int:
-    """Length of an interval such as ``"10 minutes"``; folded, so it runs no job."""
-    span = f"unix_micros(timestamp'1970-01-01 00:00:00Z' + INTERVAL {interval})"
-    return spark.sql(f"SELECT {span}").first()[0]
-
-
 def sliding_pair_counts(
     calls: DataFrame,
     length: str = "10 minutes",

@@ -12,7 +12,7 @@ from callstream.functions.messages import encode_calls, parse_calls, tail_messag
 from callstream.operators import counts, lookups, microbatch, windows
 from callstream.plans import tables
 from callstream.plans.jobs import start_statistics_tables
-from callstream.schemas import CALL_TYPE, CALLS, DESCRIPTION, DISPOSITION
+from callstream.schemas import CALL_TYPE, CALLS, CRIME_ID, DESCRIPTION, DISPOSITION
 from callstream.sources import file_messages, read_call_file, read_codes
 from callstream.streaming.live import live_type_counts, start_live_counts
 from callstream.streaming.queries import AVAILABLE_NOW, run_to_table
@@ -70,10 +70,9 @@ def published_records(spark, sf_dir):
 
 def tailed_messages(spark, sf_dir):
     calls = tables.calls(spark, sf_dir)
-    named = F.struct(*[F.col(name) for name in calls.columns])
-    messages = calls.select(
-        F.col("crime_id").cast("long").alias("offset"), F.to_json(named).cast("binary").alias("value")
-    )
+    value = F.to_json(F.struct(*[F.col(name) for name in calls.columns])).cast("binary")
+    offset = F.col(CRIME_ID).cast("long")
+    messages = calls.select(offset.alias("offset"), value.alias("value"))
     return tail_messages(messages).select(
         "offset",
         F.try_variant_get("value", "$.original_crime_type_name", "string").alias(CALL_TYPE),

@@ -74,11 +74,13 @@ def start_call_report(
     table: str | None = None,
     trigger: str | None = "5 seconds",
     checkpoint: str | None = None,
+    **report: int,
 ) -> StreamingQuery:
-    """Print and keep the type counts of every batch of the stream."""
+    """Print and keep the type counts of every batch of the stream. ``report`` takes
+    ``top``, and ``length`` and ``slide`` of the windows in seconds."""
     table = table or scratch_dir(messages.sparkSession, "live-counts")
     calls = parse_calls(messages, [CALL_TYPE])
-    return start_live_counts(calls, table, trigger, checkpoint)
+    return start_live_counts(calls, table, trigger, checkpoint, **report)
 
 
 def publish_file(

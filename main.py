@@ -33,8 +33,12 @@ def arguments() -> argparse.Namespace:
         if name == "count":
             command.add_argument("--codes", help="JSON array file of the code table")
             command.add_argument("--occurrences", action="store_true", help="count every call")
+            command.add_argument("--tables", help="folder to keep the counts in, not printed")
         if name == "report":
             command.add_argument("--table", help="folder to keep the counts in")
+            command.add_argument("--top", type=int, default=3, help="types to print per batch")
+            command.add_argument("--length", type=int, default=60, help="window, in seconds")
+            command.add_argument("--slide", type=int, default=15, help="of the window, in seconds")
         if name == "publish":
             command.add_argument("--file", required=True, help="record file")
             command.add_argument("--lines", action="store_true", help="JSON lines, no array")
@@ -58,17 +62,26 @@ def main() -> None:
     spark = SparkSession.builder.appName(f"callstream {args.command}").getOrCreate()
     if args.command == "count":
         codes = read_codes(spark, args.codes) if args.codes else default_codes(spark)
-        queries = jobs.start_call_statistics(
+        shared = {
+            "trigger": args.trigger,
+            "checkpoint": args.checkpoint,
+            "dedup": not args.occurrences,
+        }
+        stream = messages(spark, args)
+        if args.tables:
+            run_all([jobs.start_statistics_tables(stream, codes, args.tables, **shared)])
+        else:
+            run_all(jobs.start_call_statistics(stream, codes, **shared))
+    elif args.command == "report":
+        report = jobs.start_call_report(
             messages(spark, args),
-            codes,
-            trigger=args.trigger,
-            checkpoint=args.checkpoint,
-            dedup=not args.occurrences,
+            args.table,
+            args.trigger or "5 seconds",
+            args.checkpoint,
+            top=args.top,
+            length=args.length,
+            slide=args.slide,
         )
-        run_all(queries)
-    elif args.command == "report":
-        trigger = args.trigger or "5 seconds"
-        report = jobs.start_call_report(messages(spark, args), args.table, trigger, args.checkpoint)
         run_all([report])
     elif args.command == "publish":
         target = (

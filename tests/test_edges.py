@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
-from datetime import timedelta
+import random
+from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from callstream.functions.messages import encode_calls, parse_calls, tail_messages
 from callstream.operators import counts, lookups, microbatch, windows
@@ -187,6 +189,55 @@ def test_windows_that_do_not_divide(spark, tmp_path):
     assert rows(found) == rows(plain.select("window.start", "window.end", *counts.PAIR, "count"))
 
 
+@pytest.mark.parametrize("length, slide", [(10, 5), (60, 15), (5, 5), (21, 7), (10, 4)])
+def test_sliding_windows_by_brute_force(spark, length, slide):
+    rng = random.Random(length)
+    known = [
+        (rng.choice("AB"), "x", rng.choice([m, m + 0.25]) + rng.choice([0, -60_000_000]))
+        for m in range(0, 240, 3)
+        for _ in range(2)
+    ]
+    calls = spark.createDataFrame(
+        [(kind, code, START + timedelta(minutes=m)) for kind, code, m in known],
+        f"{CALL_TYPE} string, disposition string, call_date_time timestamp",
+    )
+    origin = int(START.timestamp()) // 60
+    for dedup in (True, False):
+        expected = {}
+        for kind, code, m in set(known) if dedup else known:
+            last = (origin + m) // slide * slide
+            start = last
+            while start + length > origin + m:
+                key = (start, start + length, kind, code)
+                expected[key] = expected.get(key, 0) + 1
+                start -= slide
+        found = windows.sliding_pair_counts(
+            calls, f"{length} minutes", f"{slide} minutes", dedup=dedup
+        )
+        minutes = [F.unix_seconds(c) / 60 for c in ("window_start", "window_end")]
+        got = {tuple(r[:4]): r[4] for r in found.select(*minutes, *counts.PAIR, "count").collect()}
+        assert got == expected
+
+
+@pytest.mark.parametrize("length, slide", [(60, 15), (35, 10), (5, 5), (20, 15)])
+def test_windows_of_batches_by_brute_force(spark, length, slide):
+    batch = 5
+    known = [(end, kind, end + len(kind)) for end in range(5, 200, batch) for kind in ("A", "BB")]
+    counted = spark.createDataFrame(
+        [(datetime.fromtimestamp(60 * end, timezone.utc), kind, n) for end, kind, n in known],
+        f"batch_end timestamp, {CALL_TYPE} string, count long",
+    )
+    expected = [
+        (end, batch_end, kind, n)
+        for end in range(-10 * slide, 400, slide)
+        for batch_end, kind, n in known
+        if end - length < batch_end <= end
+    ]
+    found = microbatch.windowed_batch_counts(counted, f"{length} minutes", f"{slide} minutes")
+    minutes = [(F.unix_seconds(c) / 60).cast("int") for c in ("window_end", "batch_end")]
+    assert rows(found.select(*minutes, CALL_TYPE, "count")) == ordered(expected)
+
+
 def test_batches(spark, tmp_path):
     folder = write_messages(
         tmp_path / "calls",
