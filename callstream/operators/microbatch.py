@@ -92,8 +92,7 @@ def windowed_batch_counts(
     (end - length, end], so one that ends with the window is part of it. No shuffle:
     each row is repeated once per window.
     """
-    spark = counts.sparkSession
-    first = -interval_micros(spark, length) % interval_micros(spark, slide)
+    first = -interval_micros(length) % interval_micros(slide)
     inside = F.col("batch_end") - F.expr("INTERVAL 1 MICROSECOND")
     window = F.window(inside, length, slide, f"{first} microseconds")
     return counts.withColumn("window", window).select(

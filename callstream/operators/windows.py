@@ -66,8 +66,7 @@ def sliding_pair_counts(
 def _count_by_panes(calls: DataFrame, length: str, slide: str) -> DataFrame:
     """Counts per slide, summed into the windows: only the counts, not the calls,
     are repeated for each window they fall into."""
-    spark = calls.sparkSession
-    if interval_micros(spark, length) % interval_micros(spark, slide):
+    if interval_micros(length) % interval_micros(slide):
         return calls.groupBy(F.window(CALL_TIME, length, slide).alias("window"), *PAIR).count()
     panes = calls.groupBy(F.window(CALL_TIME, slide).alias("pane"), *PAIR).count()
     window = F.window("pane.start", length, slide).alias("window")

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from callstream.functions.intervals import interval_micros
 from callstream.functions.messages import encode_calls, parse_calls, tail_messages
 from callstream.operators import counts, lookups, microbatch, windows
 from callstream.schemas import CALL_TYPE, CALLS
@@ -280,6 +281,13 @@ def test_batches(spark, tmp_path):
     ]
 
 
+def test_interval_micros():
+    assert interval_micros("10 minutes") == 600_000_000
+    assert interval_micros("1 hour 30 minutes") == 5_400_000_000
+    assert interval_micros("1 WEEK") == 604_800_000_000
+    assert interval_micros("500 milliseconds") == 500_000
+
+
 def test_batch_grid_over_several_chunks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(microbatch, "_CHUNK", 7)
     folder = write_messages(tmp_path / "calls", [[call(minute=0), call(minute=24.99)]])
