@@ -8,5 +8,6 @@ from datetime import timedelta
 def interval_micros(interval: str) -> int:
     """Microseconds in an interval of one or more numbers with their units."""
     words = interval.lower().split()
-    parts = {unit.rstrip("s") + "s": int(n) for n, unit in zip(words[::2], words[1::2], strict=True)}
-    return timedelta(**parts) // timedelta(microseconds=1)
+    parts = zip(words[::2], words[1::2], strict=True)
+    length = timedelta(**{unit.rstrip("s") + "s": int(number) for number, unit in parts})
+    return length // timedelta(microseconds=1)

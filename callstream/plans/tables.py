@@ -14,7 +14,7 @@ NATION = "n_nationkey int, n_regionkey int"
 REGION = "r_regionkey int, r_name string"
 
 # What one micro-batch takes in: a watermark moves, and state leaves, between batches.
-MAX_BYTES = 256 << 30
+MAX_BYTES = 64 << 30
 
 
 def events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:

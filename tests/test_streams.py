@@ -29,6 +29,7 @@ from callstream.streaming import (
     run_to_table,
     show_batch,
     start_query,
+    write_latest,
 )
 from callstream.streaming.live import (
     _batches_since,
@@ -186,6 +187,40 @@ def test_both_tables_from_one_query(spark, tmp_path):
         assert rows(found) == rows(expected)
 
 
+@pytest.mark.parametrize("fails_at", range(4))
+def test_tables_after_a_crash_in_a_batch(spark, tmp_path, monkeypatch, fails_at):
+    folder = write_messages(
+        tmp_path / "calls", [[call("AB"[i % 2], f"{i % 5}") for i in range(n, n + 4)] for n in (0, 2)]
+    )
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    codes = spark.createDataFrame(
+        [(f"{i}", f"d{i % 2}") for i in range(5)],
+        "disposition string, disposition_description string",
+    )
+    writes = iter(range(100))
+
+    def write_or_fail(result, path, batch_id):
+        if next(writes) == fails_at:
+            raise RuntimeError("lost on purpose")
+        write_latest(result, path, batch_id)
+
+    monkeypatch.setattr(jobs, "write_latest", write_or_fail)
+
+    def run():
+        messages = file_messages(spark, folder, max_files=1)
+        jobs.start_statistics_tables(
+            messages, codes, table, AVAILABLE_NOW, checkpoint
+        ).awaitTermination()
+
+    with pytest.raises(StreamingQueryException, match="lost on purpose"):
+        run()
+    run()
+    whole = parse_calls(file_messages(spark, folder, streaming=False), counts.PAIR)
+    expected = counts.description_counts(whole, codes)
+    found = read_latest(spark, f"{table}/description_counts", expected.schema)
+    assert rows(found) == rows(expected)
+
+
 def test_a_failing_query_stops_the_others(spark, tmp_path):
     folder = write_messages(tmp_path / "calls", [[call()]])
     messages = file_messages(spark, folder)
