@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from callstream.functions.messages import encode_calls, parse_calls, tail_messages
+from callstream.functions import messages as codec
 from callstream.operators import counts, lookups, microbatch, windows
 from callstream.plans import tables
 from callstream.plans.jobs import start_statistics_tables
@@ -29,23 +29,23 @@ PAIR = counts.PAIR
 
 
 def _messages(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
-    return encode_calls(tables.calls(spark, sf_dir, streaming))
+    return codec.encode_calls(tables.calls(spark, sf_dir, streaming))
 
 
 # Messages
 
 
-def parsed_calls(spark, sf_dir):
-    return tables.plain_times(parse_calls(_messages(spark, sf_dir)))
+def parse_calls(spark, sf_dir):
+    return tables.plain_times(codec.parse_calls(_messages(spark, sf_dir)))
 
 
-def parsed_malformed(spark, sf_dir):
+def parse_malformed(spark, sf_dir):
     """All messages of one type arrive broken."""
     text = _messages(spark, sf_dir).select(F.col("value").cast("string").alias("text"))
     broken = F.get_json_object("text", f"$.{CALL_TYPE}") == "error"
     value = F.when(broken, F.concat(F.lit("{bad "), F.col("text"))).otherwise(F.col("text"))
     messages = text.select(value.cast("binary").alias("value"))
-    return tables.plain_times(parse_calls(messages))
+    return tables.plain_times(codec.parse_calls(messages))
 
 
 def published_messages(spark, sf_dir):
@@ -65,15 +65,15 @@ def published_records(spark, sf_dir):
     lines, topic = scratch_dir(spark, "records"), scratch_dir(spark, "topic")
     publish_messages(tables.calls(spark, sf_dir), "text", path=lines)
     publish_messages(read_call_file(spark, lines, multi_line=False), "text", path=topic)
-    return tables.plain_times(parse_calls(file_messages(spark, topic, streaming=False)))
+    return tables.plain_times(codec.parse_calls(file_messages(spark, topic, streaming=False)))
 
 
-def tailed_messages(spark, sf_dir):
+def tail_messages(spark, sf_dir):
     calls = tables.calls(spark, sf_dir)
     value = F.to_json(F.struct(*[F.col(name) for name in calls.columns])).cast("binary")
     offset = F.col(CRIME_ID).cast("long")
     messages = calls.select(offset.alias("offset"), value.alias("value"))
-    return tail_messages(messages).select(
+    return codec.tail_messages(messages).select(
         "offset",
         F.try_variant_get("value", "$.original_crime_type_name", "string").alias(CALL_TYPE),
         F.try_variant_get("value", "$.disposition", "string").alias(DISPOSITION),
@@ -122,7 +122,7 @@ def description_counts(spark, sf_dir):
 
 def description_counts_messages(spark, sf_dir):
     """The whole job as a stream: JSON messages, parsed, joined and counted."""
-    calls = parse_calls(_messages(spark, sf_dir, True), PAIR)
+    calls = codec.parse_calls(_messages(spark, sf_dir, True), PAIR)
     found = counts.description_counts(calls, tables.codes(spark, sf_dir))
     return run_to_table(found, "complete")
 
@@ -131,7 +131,7 @@ def description_counts_topic(spark, sf_dir):
     """The same, with the messages published to files first and read from there."""
     topic = scratch_dir(spark, "topic")
     publish_messages(tables.calls(spark, sf_dir), "text", path=topic)
-    calls = parse_calls(file_messages(spark, topic, max_bytes=tables.MAX_BYTES), PAIR)
+    calls = codec.parse_calls(file_messages(spark, topic, max_bytes=tables.MAX_BYTES), PAIR)
     found = counts.description_counts(calls, tables.codes(spark, sf_dir))
     return run_to_table(found, "complete")
 
@@ -293,11 +293,11 @@ def live_batch_totals(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in [
-        parsed_calls,
-        parsed_malformed,
+        parse_calls,
+        parse_malformed,
         published_messages,
         published_records,
-        tailed_messages,
+        tail_messages,
         code_table,
         distinct_pairs,
         distinct_pairs_stream,

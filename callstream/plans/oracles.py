@@ -104,11 +104,11 @@ _HEAD = f"""select * from (
     from ({_windowed()})) where position <= 10"""
 
 ORACLES: dict[str, str] = {
-    "parsed_calls": _CALLS,
-    "parsed_malformed": _BROKEN,
+    "parse_calls": _CALLS,
+    "parse_malformed": _BROKEN,
     "published_messages": f"select *, cast(14 as bigint) as n_fields from ({_CALLS})",
     "published_records": _CALLS,
-    "tailed_messages": f"""select event_id as "offset", event_type as {_KIND},
+    "tail_messages": f"""select event_id as "offset", event_type as {_KIND},
         {_D} as disposition, strftime(ts, '%H:%M') as call_time from events""",
     "code_table": _CODES,
     "distinct_pairs": _PAIRS,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructType
 
 from callstream.streaming.tables import read_latest, write_latest
 from callstream.workspace import scratch_dir
@@ -70,7 +72,8 @@ def run_to_table(
     """Run ``df`` over the input at hand and return its result, written as parquet.
 
     Append results are the rows written; complete results those of the last
-    micro-batch; update results the last row per ``keys``.
+    micro-batch; update results the last row per ``keys``. With the ``path`` and
+    ``checkpoint`` of an earlier run, the result is that of both.
     """
     spark = df.sparkSession
     path = path or scratch_dir(spark, "result")
@@ -79,23 +82,21 @@ def run_to_table(
         start_query(df, mode, "parquet", AVAILABLE_NOW, checkpoint, path=path).awaitTermination()
         return spark.read.schema(df.schema).parquet(path)
 
-    written: list[int] = []
-
     def write(batch: DataFrame, batch_id: int) -> None:
         if mode == "complete":
             write_latest(batch, path, batch_id)
         else:
-            updates = batch.withColumn("_batch", F.lit(batch_id))
-            updates.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        written.append(batch_id)
+            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     start_query(df, mode, write, AVAILABLE_NOW, checkpoint).awaitTermination()
-    if not written:
+    try:
+        if mode == "complete":
+            return read_latest(spark, path, df.schema)
+        stored = StructType([*df.schema.fields]).add("batch_id", LongType())
+        updates = spark.read.schema(stored).parquet(path)
+    except AnalysisException:  # no batch had any input
         return spark.createDataFrame([], df.schema)
-    if mode == "complete":
-        return read_latest(spark, path, df.schema)
-    updates = spark.read.parquet(*[f"{path}/batch_id={batch_id}" for batch_id in written])
-    values = [F.max_by(c, "_batch").alias(c) for c in df.columns if c not in keys]
+    values = [F.max_by(c, "batch_id").alias(c) for c in df.columns if c not in keys]
     return updates.groupBy(*keys).agg(*values).select(*df.columns)
 
 

@@ -128,7 +128,8 @@ def test_window_state_is_evicted(spark, tmp_path, mode):
 
 
 @pytest.mark.parametrize("large_state", [False, True])
-def test_restart_continues(spark, tmp_path, large_state):
+@pytest.mark.parametrize("mode", ["complete", "update"])
+def test_restart_continues(spark, tmp_path, mode, large_state):
     batches = [[call("AB"[i % 2], f"{i}", i) for i in range(n, n + 6)] for n in range(0, 20, 4)]
     folder = tmp_path / "calls"
     codes = spark.createDataFrame(
@@ -139,13 +140,14 @@ def test_restart_continues(spark, tmp_path, large_state):
         for key, value in LARGE_STATE_CONF.items():
             spark.conf.set(key, value)
     try:
-        checkpoint = scratch_dir(spark, "restart")
-        for part in (slice(0, 3), slice(3, None)):
+        checkpoint, table = scratch_dir(spark, "restart"), scratch_dir(spark, "table")
+        # The last run finds nothing new.
+        for part in (slice(0, 3), slice(3, None), slice(len(batches), None)):
             write_messages(folder, batches[part], first=part.start)
             calls = parse_calls(file_messages(spark, str(folder), max_files=2), counts.PAIR)
-            found = run_to_table(
-                counts.description_counts(calls, codes), "complete", checkpoint=checkpoint
-            )
+            running = counts.description_counts(calls, codes)
+            keys = running.columns[:2]
+            found = run_to_table(running, mode, keys, table, checkpoint)
     finally:
         for key in LARGE_STATE_CONF:
             spark.conf.unset(key)
@@ -153,6 +155,14 @@ def test_restart_continues(spark, tmp_path, large_state):
     assert rows(found) == rows(counts.description_counts(whole, codes))
 
 
+def test_no_input(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    calls = parse_calls(file_messages(spark, str(tmp_path / "empty")), counts.PAIR)
+    assert rows(run_to_table(counts.pair_counts(calls), "complete")) == []
+    assert rows(run_to_table(counts.pair_counts(calls), "update", counts.PAIR)) == []
+    assert rows(run_to_table(counts.distinct_pairs(calls), "append")) == []
+
+
 def test_two_queries_over_one_stream(spark, tmp_path, capsys):
     folder = write_messages(tmp_path / "calls", [[call("A", "CAN"), call("A", "22")]])
     queries = jobs.start_call_statistics(
