@@ -12,7 +12,7 @@ from callstream.sources import file_messages, kafka_messages, read_codes
 from callstream.streaming import run_all
 
 
-def arguments() -> argparse.Namespace:
+def arguments(words: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     for name, text in {
@@ -27,7 +27,7 @@ def arguments() -> argparse.Namespace:
         if name != "tail":
             command.add_argument("--path", help="folder of message files instead of a topic")
         command.add_argument("--checkpoint", help="folder to resume from")
-        command.add_argument("--trigger", help='interval such as "5 seconds"')
+        command.add_argument("--trigger", help='"5 seconds", or "available now" to end')
         command.add_argument("--max-offsets", type=int, default=10_000, help="per micro-batch")
         command.add_argument("--min-partitions", type=int, help="split long topic partitions")
         if name == "count":
@@ -42,7 +42,7 @@ def arguments() -> argparse.Namespace:
         if name == "publish":
             command.add_argument("--file", required=True, help="record file")
             command.add_argument("--lines", action="store_true", help="JSON lines, no array")
-    return parser.parse_args()
+    return parser.parse_args(words)
 
 
 def messages(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -57,9 +57,7 @@ def messages(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     )
 
 
-def main() -> None:
-    args = arguments()
-    spark = SparkSession.builder.appName(f"callstream {args.command}").getOrCreate()
+def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "count":
         codes = read_codes(spark, args.codes) if args.codes else default_codes(spark)
         shared = {
@@ -92,6 +90,12 @@ def main() -> None:
         jobs.publish_file(spark, args.file, multi_line=not args.lines, **target)
     else:
         run_all([jobs.start_tail(messages(spark, args))])
+
+
+def main() -> None:
+    args = arguments()
+    spark = SparkSession.builder.appName(f"callstream {args.command}").getOrCreate()
+    run(spark, args)
     spark.stop()
 
 
