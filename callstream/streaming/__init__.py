@@ -1,10 +1,17 @@
 """Starting, watching and delivering streaming queries."""
 
-from callstream.streaming.queries import progress_table, run_all, run_to_table, start_query
+from callstream.streaming.queries import (
+    ProgressLog,
+    progress_table,
+    run_all,
+    run_to_table,
+    start_query,
+)
 from callstream.streaming.sinks import publish_messages, show_batch
 from callstream.streaming.tables import read_latest, write_latest
 
 __all__ = [
+    "ProgressLog",
     "progress_table",
     "publish_messages",
     "read_latest",

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 from pyspark.sql.types import LongType, StructType
 
 from callstream.streaming.tables import read_latest, write_latest
@@ -111,18 +112,39 @@ def run_all(queries: list[StreamingQuery], poll_seconds: float = 1.0) -> None:
             query.stop()
 
 
+def _progress_row(progress: StreamingQueryProgress) -> tuple:
+    return (
+        progress.batchId,
+        progress.timestamp,
+        progress.numInputRows,
+        progress.processedRowsPerSecond,
+        progress.durationMs.get("triggerExecution"),
+        sum(state.numRowsTotal for state in progress.stateOperators),
+        sum(state.numRowsDroppedByWatermark for state in progress.stateOperators),
+    )
+
+
 def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """The recent micro-batches of ``query``, one row each."""
-    rows = [
-        (
-            p.batchId,
-            p.timestamp,
-            p.numInputRows,
-            p.processedRowsPerSecond,
-            p.durationMs.get("triggerExecution"),
-            sum(s.numRowsTotal for s in p.stateOperators),
-            sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
-        )
-        for p in query.recentProgress
-    ]
+    rows = [_progress_row(progress) for progress in query.recentProgress]
     return spark.createDataFrame(rows, PROGRESS_SCHEMA)
+
+
+class ProgressLog(StreamingQueryListener):
+    """Hands one row per micro-batch of any query to ``report``, as it ends; attach with
+    ``spark.streams.addListener``. The columns are those of ``progress_table``."""
+
+    def __init__(self, report: Callable[[tuple], None] = print):
+        self.report = report
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.report(_progress_row(event.progress))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -22,6 +22,7 @@ from callstream.sources import (
     rate_calls,
 )
 from callstream.streaming import (
+    ProgressLog,
     progress_table,
     publish_messages,
     read_latest,
@@ -254,6 +255,26 @@ def test_progress_table(spark, tmp_path):
     ]
 
 
+def test_progress_log(spark, tmp_path):
+    folder = write_messages(tmp_path / "calls", [[call()] * 3])
+    calls = parse_calls(file_messages(spark, folder), counts.PAIR)
+    seen = []
+    log = ProgressLog(seen.append)
+    spark.streams.addListener(log)
+    try:
+        query = start_query(counts.pair_counts(calls), "complete", "noop", AVAILABLE_NOW)
+        query.awaitTermination()
+        deadline = time.time() + 20
+        while not seen and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    (expected,) = progress_table(spark, query).collect()
+    (found,) = seen
+    # The rate comes rounded in one of the two.
+    assert found[:3] + found[4:] == expected[:3] + expected[4:]
+
+
 def test_live_counts(spark, tmp_path, capsys):
     kinds = ["A"] * 5 + ["B"] * 4 + ["C"] * 2 + ["D"]
     folder = write_messages(tmp_path / "calls", [[call(k) for k in kinds], [call("A"), "{bad"]])
