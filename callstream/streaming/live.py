@@ -9,11 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from callstream.operators.microbatch import (
-    fill_empty_batches,
-    windowed_batch_counts,
-    windowed_batch_head,
-)
+from callstream.operators.microbatch import fill_empty_batches, windowed_batch_counts
 from callstream.schemas import CALL_TYPE
 from callstream.streaming.queries import start_query
 from callstream.streaming.sinks import show_batch
@@ -84,7 +80,7 @@ def start_live_counts(
         if end is None:
             return
         if not recent and batch_id > 0:
-            recent.update(_batches_since(spark, path, batch_id, end - length * _MICROS))
+            recent.update(_batches_since(spark, path, batch_id, end - 2 * length * _MICROS))
         before = max(recent.values(), default=end)
         recent[batch_id] = end
         for key in [k for k, v in recent.items() if v <= before - length * _MICROS]:
@@ -119,11 +115,12 @@ def _batches_since(spark: SparkSession, path: str, batch_id: int, since: int) ->
 
 
 def _print_windows(counts: DataFrame, before: int, end: int, length: int, slide: int) -> None:
-    """Print the windows that closed after ``before``, up to ``end``."""
+    """Print the windows that closed after ``before``, up to ``end``, each with its
+    oldest batch first and the most frequent types of a batch first."""
     windowed = windowed_batch_counts(counts, f"{length} seconds", f"{slide} seconds")
-    closed = windowed.where(
-        (F.col("window_end") > F.timestamp_micros(F.lit(before)))
-        & (F.col("window_end") <= F.timestamp_micros(F.lit(end)))
-    )
-    head = windowed_batch_head(closed).orderBy("window_end", "position")
-    show_batch(head.select("window_end", CALL_TYPE, "count"), 10, "Windowed counts:")
+    micros = F.unix_micros("window_end")
+    closed = windowed.where((micros > before) & (micros <= end))
+    ends = closed.groupBy(micros.alias("at")).agg(F.first(F.col("window_end").cast("string")))
+    for at, text in sorted(tuple(row) for row in ends.collect()):
+        listed = closed.where(micros == at).orderBy("batch_end", F.desc("count"), CALL_TYPE)
+        show_batch(listed.select(CALL_TYPE, "count"), title=f"Window to {text}:")

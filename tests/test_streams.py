@@ -200,9 +200,8 @@ def test_both_tables_from_one_query(spark, tmp_path):
 
 @pytest.mark.parametrize("fails_at", range(4))
 def test_tables_after_a_crash_in_a_batch(spark, tmp_path, monkeypatch, fails_at):
-    folder = write_messages(
-        tmp_path / "calls", [[call("AB"[i % 2], f"{i % 5}") for i in range(n, n + 4)] for n in (0, 2)]
-    )
+    batches = [[call("AB"[i % 2], f"{i % 5}") for i in range(n, n + 4)] for n in (0, 2)]
+    folder = write_messages(tmp_path / "calls", batches)
     table, checkpoint = str(tmp_path / "table"), str(tmp_path / "checkpoint")
     codes = spark.createDataFrame(
         [(f"{i}", f"d{i % 2}") for i in range(5)],
@@ -303,16 +302,19 @@ def test_live_windows(spark, capsys):
         f"batch_end timestamp, {CALL_TYPE} string, count long",
     )
     micros = int(START.timestamp()) * 1_000_000
-    _print_windows(counted, micros + 14_000_000, micros + 16_000_000, 10, 5)
-    lines = capsys.readouterr().out.splitlines()
-    end = repr(start + timedelta(seconds=15))
-    # (5, 15]: the batches that ended at 10 and at 15, older one first.
-    assert lines == [
-        "Windowed counts:",
-        f"({end}, 'B', 99)",
-        f"({end}, 'A', 10)",
-        f"({end}, 'B', 99)",
-        f"({end}, 'A', 15)",
+    _print_windows(counted, micros + 14_000_000, micros + 20_000_000, 10, 5)
+    # (5, 15] and (10, 20]: the batches that ended in them, older one first.
+    assert capsys.readouterr().out.splitlines() == [
+        "Window to 2024-01-01 00:00:15:",
+        "('B', 99)",
+        "('A', 10)",
+        "('B', 99)",
+        "('A', 15)",
+        "Window to 2024-01-01 00:00:20:",
+        "('B', 99)",
+        "('A', 15)",
+        "('B', 99)",
+        "('A', 20)",
     ]
 
 
