@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,13 +10,7 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the session's ``spark.checkpoint.dir``.
 
-    Only a ``local`` session may fall back to the machine's temporary folder:
-    executors elsewhere could not see it.
+    Where that is unset, below the warehouse folder, which all executors share as well.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/callstream/{label}-{uuid.uuid4().hex}"
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix=f"callstream-{label}-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/callstream/{label}-{uuid.uuid4().hex}"
