@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+import callstream
 from callstream.workspace import scratch_dir
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what parts words.
@@ -20,6 +25,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_callstream_shipped", False):
+        return
+    root = Path(callstream.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="callstream-code-")) / "callstream_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._callstream_shipped = True
+
+
+def in_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The rows written as a table in the shared folder and read again.
 
@@ -40,18 +65,6 @@ def unpacked(columns: Iterable[str], replaced: Iterable[str] = ()) -> list[Colum
     return [F.col(f"{ROW}.`{c}`").alias(c) for c in columns if c.lower() not in gone]
 
 
-def pick(df: DataFrame, *names: str) -> list[Column]:
-    return [F.col(f"`{name}`") for name in names]
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each text of an Arrow column, null for null."""
     return column.cast(pa.binary()).to_pylist()
-
-
-def arrow_schema(df: DataFrame, ddl: str) -> pa.Schema:
-    """Arrow types of a DDL schema."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callstream.llm.common import ROW, staged, unpacked, whole_row
+from callstream.llm.common import ROW, documents, ship, staged, unpacked, whole_row
 
 #: Sources whose rates are broadcast (about 1 kB each); more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
@@ -106,15 +106,13 @@ def mix_sources(
     empty texts are copied like others. An empty table gives an empty table. Input columns
     named like the two added ones are replaced.
     """
+    ship(docs.sparkSession)
     rates = source_rates(docs, weights, temperature, repetition)
-    rates = staged(
-        rates.select(F.col("source").alias("__source"), "rate").mapInPandas(
-            _with_steps,
-            f"__source {docs.schema['source'].dataType.simpleString()}, rate double, first long, steps array<double>",
-        ),
-        "source-rates",
+    kind = docs.schema["source"].dataType.simpleString()
+    stepped = rates.select(F.col("source").alias("__source"), "rate").mapInPandas(
+        _with_steps, f"__source {kind}, rate double, first long, steps array<double>"
     )
-    rates = rates.drop("rate")
+    rates = staged(stepped.drop("rate"), "source-rates")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     rows = docs.select(
@@ -136,8 +134,6 @@ def mix_sources(
 
 
 def op10_poisson_mix(spark, sf_dir):
-    from callstream.llm.common import documents
-
     return mix_sources(documents(spark, sf_dir))
 
 

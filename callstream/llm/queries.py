@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from callstream.llm import mixing, sharding
+from callstream.llm import language, lines, mixing, sharding
 
 QUERIES = {
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_uniform_shuffle": sharding.op3_uniform_shuffle,
+    "op6_language": language.op6_language,
     "op10_poisson_mix": mixing.op10_poisson_mix,
 }
 
 ORACLES = {
+    "op2_line_dedup": lines.OP2_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
 }

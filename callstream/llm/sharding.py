@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, IntegerType, StructType
 
-from callstream.llm.common import documents, unpacked, whole_row
+from callstream.llm.common import documents, in_arrow, unpacked, whole_row
 
 ADDED = ("shard", "slot")
 #: Above this numpy refuses a draw.
@@ -130,7 +130,7 @@ def shuffle_to_shards(
                 return
         raise RuntimeError(f"partition {part} has other rows than the {expected} counted before")
 
-    dealt = rows.mapInArrow(deal, schema)
+    dealt = in_arrow(rows, deal, schema)
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy("__key", "__at"))
     start = F.element_at(F.lit(starts.tolist()), F.col("__bucket") + 1)
     return dealt.withColumn("__place", place).select(
