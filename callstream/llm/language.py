@@ -23,6 +23,8 @@ MARGIN_DOCUMENTS = 400
 #: Bytes of the dictionary that are encoded before each text: a short text by itself would be
 #: stored as it is, with the same size for all languages.
 LEAD_BYTES = 256
+#: A lead below this is always too narrow; ties have none.
+LEAST_MARGIN = 0.002
 ADDED = ("lang_pred", "score", "rejected")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -96,7 +98,7 @@ def learn_languages(
     labelled: DataFrame,
     dictionary_bytes: int = DICTIONARY_BYTES,
     margin_documents: int = MARGIN_DOCUMENTS,
-    lost: float = 0.002,
+    lost: float = 0.003,
     seed: int = 5,
 ) -> Languages:
     """Dictionaries and margin from a bounded random sample of the labelled documents.
@@ -149,7 +151,7 @@ def learn_languages(
         if found == lang
     )
     if right:
-        model.margin = right[math.floor(lost * len(right))]
+        model.margin = max(LEAST_MARGIN, right[math.floor(lost * len(right))])
     return model
 
 
