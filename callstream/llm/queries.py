@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from callstream.llm import language, lines, mixing, sharding
+from callstream.llm import language, lines, mixing, quality, sharding
 
 QUERIES = {
+    "op1_isolation_forest": quality.op1_isolation_forest,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_uniform_shuffle": sharding.op3_uniform_shuffle,
     "op6_language": language.op6_language,

@@ -40,15 +40,25 @@ def _large_hypergeometric(rng, good: int, bad: int, sample: int) -> int:
 
 
 def draw_columns(rng, sizes: np.ndarray, sample: int) -> np.ndarray:
-    """How many of ``sample`` items drawn without return come from each column."""
+    """How many of ``sample`` items drawn without return come from each column.
+
+    Columns beyond what numpy takes at once are first drawn in groups, then within each.
+    """
     if sizes.sum() < _NUMPY_TOTAL:
         return rng.multivariate_hypergeometric(sizes, sample, method="marginals")
+    if len(sizes) == 1:
+        return np.array([sample], dtype=sizes.dtype)
+    group = np.cumsum(sizes) // (_NUMPY_TOTAL // 2)
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     drawn, rest = np.zeros_like(sizes), int(sizes.sum())
-    for column, size in enumerate(map(int, sizes)):
-        rest -= size
-        if size and sample:
-            drawn[column] = _large_hypergeometric(rng, size, rest, sample) if rest else sample
-            sample -= int(drawn[column])
+    for low, high in zip(cuts, cuts[1:]):
+        own = int(sizes[low:high].sum())
+        rest -= own
+        taken = sample
+        if own and rest and sample:
+            taken = _large_hypergeometric(rng, own, rest, sample)
+        drawn[low:high] = draw_columns(rng, sizes[low:high], taken if own else 0)
+        sample -= taken if own else 0
     return drawn
 
 
@@ -73,7 +83,7 @@ def matrix_row(counts: np.ndarray, sizes: np.ndarray, partition: int, seed: int)
 
 
 def shuffle_to_shards(
-    docs: DataFrame, shards: int, seed: int = 29, bucket_rows: int = 250_000
+    docs: DataFrame, shards: int, seed: int = 29, bucket_rows: int = 50_000
 ) -> DataFrame:
     """All rows in a uniformly random order, cut into shards whose counts differ by one at most.
 
