@@ -35,6 +35,7 @@ DEPTH = 14
 #: Labelled rows, at most about so many, from which the trees draw theirs.
 FIT_ROWS = 20_000
 BINS = 2_000
+GOOD_WEIGHT = 5
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(b"0123456789")] = 1
@@ -223,7 +224,7 @@ def fit_quality_forest(
     The trees draw from about ``fit_rows`` good rows, chosen by the hash of their id, and split
     the box that holds all labelled rows. The threshold is set on all labelled rows: of those
     that keep at least ``1 - lost`` of the good ones, the one with the largest share of bad rows
-    taken less share of good rows lost (in the middle, if several are equal). Without
+    taken less ``GOOD_WEIGHT`` times the share of good rows lost (in the middle of equal ones). Without
     good rows there is no forest, without bad ones no threshold.
     """
     good = labelled.where("quality = 1")
@@ -247,7 +248,7 @@ def fit_quality_forest(
     taken = table[:, ::-1].cumsum(axis=1)[:, ::-1]  # rows at or above each bin
     allowed = taken[1] <= lost * table[1].sum()
     if table[0].sum() and allowed.any():
-        gain = taken[0] / table[0].sum() - taken[1] / max(1, table[1].sum())
+        gain = taken[0] / table[0].sum() - GOOD_WEIGHT * taken[1] / max(1, table[1].sum())
         best = np.flatnonzero(allowed & (gain >= gain[allowed].max() - 1e-12))
         forest.threshold = float(best[len(best) // 2]) / BINS
     return forest

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from callstream.llm import language, lines, mixing, quality, sharding
+from callstream.llm import language, lines, mixing, quality, sharding, warc
 
 QUERIES = {
     "op1_isolation_forest": quality.op1_isolation_forest,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_uniform_shuffle": sharding.op3_uniform_shuffle,
     "op6_language": language.op6_language,
+    "op9_warc": warc.op9_warc,
     "op10_poisson_mix": mixing.op10_poisson_mix,
 }
 
 ORACLES = {
     "op2_line_dedup": lines.OP2_SQL,
+    "op9_warc": warc.OP9_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
 }
