@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from callstream.llm import language, lines, mixing, quality, sharding, warc
+from callstream.llm import (
+    jaccard,
+    language,
+    lines,
+    mixing,
+    packing,
+    pii,
+    quality,
+    sharding,
+    sketches,
+    warc,
+)
 
 QUERIES = {
     "op1_isolation_forest": quality.op1_isolation_forest,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_uniform_shuffle": sharding.op3_uniform_shuffle,
+    "op4_scaled_sketch": sketches.op4_scaled_sketch,
+    "op5_weak_supervision": pii.op5_weak_supervision,
     "op6_language": language.op6_language,
+    "op7_best_fit": packing.op7_best_fit,
+    "op8_chosen_path": jaccard.op8_chosen_path,
     "op9_warc": warc.op9_warc,
     "op10_poisson_mix": mixing.op10_poisson_mix,
 }
