@@ -40,5 +40,11 @@ def encode_calls(calls: DataFrame) -> DataFrame:
 
 
 def tail_messages(messages: DataFrame) -> DataFrame:
-    """``offset`` and parsed value of every message, for looking into a topic."""
-    return messages.select("offset", parse_untyped().alias("value"))
+    """``offset``, parsed ``value`` and ``text`` of every message, for looking into a topic.
+
+    The value of a broken message is NULL; its text is there in any case. Messages of
+    files have no offset.
+    """
+    offset = F.col("offset") if "offset" in messages.columns else F.lit(None).cast("long")
+    text = F.col("value").cast("string").alias("text")
+    return messages.select(offset.alias("offset"), parse_untyped().alias("value"), text)

@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callstream.operators.distinct import distinct_rows
+from callstream.operators.distinct import distinct_rows, first_seen
 from callstream.operators.lookups import (
     BROADCAST_BYTES,
     BROADCAST_ROWS,
-    code_table_size,
-    codes_per_description,
+    CodeTableSize,
     with_description,
 )
 from callstream.schemas import CALL_TYPE, DESCRIPTION, DISPOSITION
 
 PAIR = [CALL_TYPE, DISPOSITION]
-_BITS = 64
 
 
 def distinct_pairs(calls: DataFrame) -> DataFrame:
-    """Distinct (type, disposition) pairs."""
-    return distinct_rows(calls, PAIR)
+    """Distinct (type, disposition) pairs. Output mode update: a pair comes out once."""
+    return first_seen(calls, PAIR) if calls.isStreaming else distinct_rows(calls, PAIR)
 
 
 def pair_counts(calls: DataFrame, dedup: bool = True) -> DataFrame:
@@ -41,39 +39,16 @@ def description_counts(
     codes: DataFrame,
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
+    size: CodeTableSize | None = None,
 ) -> DataFrame:
     """Count per (type, description) of the distinct pairs whose code is known.
 
-    Output mode complete or update.
+    Batch input only. A stream keeps its pairs and counts them per micro-batch
+    (``jobs.start_description_counts``): with descriptions in its state, a code table
+    that changes would leave counts of the old one there.
     """
-    size = code_table_size(codes)
-    known = calls.where(F.col(DISPOSITION).isNotNull())
-    if (
-        calls.isStreaming
-        and size.fits_broadcast(max_rows, max_bytes)
-        and (size.rows <= _BITS or codes_per_description(codes) <= _BITS)
-    ):
-        return _streaming_description_counts(known, codes)
-    joined = with_description(distinct_pairs(known), codes, max_rows, max_bytes, size)
+    if calls.isStreaming:
+        raise ValueError("count the descriptions of a stream by jobs.start_description_counts")
+    known = distinct_pairs(calls.where(F.col(DISPOSITION).isNotNull()))
+    joined = with_description(known, codes, max_rows, max_bytes, size)
     return joined.groupBy(CALL_TYPE, DESCRIPTION).count()
-
-
-def _streaming_description_counts(calls: DataFrame, codes: DataFrame) -> DataFrame:
-    """One bit per code of a description, OR-ed over the calls and then counted.
-
-    A stream allows one aggregate in complete mode, and its ``distinct`` shuffles
-    every call. Bits are combined before the shuffle and the state of a group is
-    one long.
-    """
-    slots = Window.partitionBy(DESCRIPTION).orderBy(DISPOSITION)
-    # In one partition, as every micro-batch would shuffle the measured, small table.
-    bits = codes.coalesce(1).withColumn("_slot", F.row_number().over(slots) - 1).select(
-        DISPOSITION, DESCRIPTION, F.expr("shiftleft(1L, _slot)").alias("_bit")
-    )
-    seen = F.bit_count(F.bit_or("_bit")).cast("long")
-    return (
-        calls.select(*PAIR)
-        .join(F.broadcast(bits), DISPOSITION)
-        .groupBy(CALL_TYPE, DESCRIPTION)
-        .agg(seen.alias("count"))
-    )

@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_SALTS = 256
+#: Tasks that the copies of one key of a stream are first split over.
+SALTS = 16
 _SALT = "_salt"
 
 
-def default_salts(spark: SparkSession) -> int:
-    """One salt per shuffle partition: a hot key reaches all of them."""
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_SALTS)
-
-
 def task_salt(salts: int) -> Column:
     """A salt per scan task: the same after a task is retried, unlike a random one,
-    and spread even over rows that are exact copies of each other."""
+    and spread even over rows that are exact copies of each other. At most as many
+    salts occur as the scan has tasks."""
     return F.pmod(F.spark_partition_id(), F.lit(salts))
 
 
-def distinct_rows(df: DataFrame, keys: list[str], salts: int | None = None) -> DataFrame:
+def first_seen(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The values of ``keys`` of a stream, NULLs equal, each in the micro-batch that
+    first has it.
+
+    Output mode update, into a sink that replaces a repeated micro-batch. An
+    aggregate of the time of the first micro-batch: copies combine before the
+    shuffle, and the state is one row per key.
+    """
+    timed = df.select(*keys, F.current_timestamp().alias("_now"))
+    firsts = timed.groupBy(*keys).agg(F.min("_now").alias("_first"))
+    return firsts.where(F.col("_first") == F.current_timestamp()).select(*keys)
+
+
+def distinct_rows(df: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
     """The distinct values of ``keys``, NULLs equal.
 
     A batch ``distinct`` combines copies before its shuffle. A streaming one does
     not, so copies are first removed per salt: one hot key then arrives in up to
     ``salts`` tasks, and the second step sees each key at most ``salts`` times in
-    the whole life of the query (as long as its state is kept). The number of salts
-    may change when a query is resumed.
+    the whole life of the query (as long as its state is kept). State is up to
+    ``salts`` + 1 rows per key; the number of salts may change when a query is resumed.
     """
     rows = df.select(*keys)
     if not df.isStreaming:
         return rows.distinct()
-    salts = salts or default_salts(df.sparkSession)
-    if salts > 1:
-        salted = rows.withColumn(_SALT, task_salt(salts))
-        rows = salted.dropDuplicates([*keys, _SALT]).drop(_SALT)
-    return rows.dropDuplicates(keys)
+    salted = rows.withColumn(_SALT, task_salt(salts))
+    return salted.dropDuplicates([*keys, _SALT]).drop(_SALT).dropDuplicates(keys)

@@ -35,7 +35,7 @@ DISPOSITION_CODES = [
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
-# Copies of a code table that is too large to broadcast.
+# Copies of a code table that is too large to broadcast, unless the caller asks for more.
 JOIN_SALTS = 16
 
 
@@ -64,30 +64,28 @@ def code_table_size(codes: DataFrame) -> CodeTableSize:
     return CodeTableSize(*codes.agg(F.count(F.lit(1)), size).first())
 
 
-def codes_per_description(codes: DataFrame) -> int:
-    """The most codes that any one description has; runs one small job."""
-    return codes.groupBy(DESCRIPTION).count().agg(F.max("count")).first()[0] or 0
-
-
 def with_description(
     calls: DataFrame,
     codes: DataFrame,
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
     size: CodeTableSize | None = None,
+    salts: int = JOIN_SALTS,
 ) -> DataFrame:
     """Inner join on the disposition code; calls with no or an unknown code drop out.
 
     A code table measured within the bounds is broadcast. A larger one is joined
     by a salted shuffle, so that a code held by a third of all calls is split over
-    many tasks.
+    up to ``salts`` tasks (as many as the scan has, if that is less). Choose them so
+    that the hottest code divided by them fits a task; the code table is copied as
+    often. ``size`` spares the job that measures the table.
     """
     size = size or code_table_size(codes)
     if size.fits_broadcast(max_rows, max_bytes):
         return calls.join(F.broadcast(codes), DISPOSITION)
     salted_calls = calls.where(F.col(DISPOSITION).isNotNull()).withColumn(
-        "_salt", task_salt(JOIN_SALTS)
+        "_salt", task_salt(salts)
     )
-    all_salts = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
+    all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     salted_codes = codes.withColumn("_salt", all_salts).hint("merge")
     return salted_calls.join(salted_codes, [DISPOSITION, "_salt"]).drop("_salt")

@@ -43,7 +43,8 @@ def fill_empty_batches(counted: DataFrame, batch: str = BATCH) -> DataFrame:
     chunks = bounds.where("low IS NOT NULL").select(
         "high", F.expr(f"explode(sequence(low, high, {step} * {_CHUNK}))").alias("low")
     )
-    grid = chunks.select(
+    # Otherwise the one task that knows the bounds would make the whole grid.
+    grid = chunks.repartition("low").select(
         F.expr(f"explode(sequence(low, least(high, low + {step} * {_CHUNK - 1}), {step}))").alias(
             "batch_end"
         ),
@@ -62,7 +63,11 @@ def batch_count_lines(counts: DataFrame) -> DataFrame:
 def batch_type_counts(
     calls: DataFrame, batch: str = BATCH, watermark: str | None = None
 ) -> DataFrame:
-    """Calls per batch and type. A stream in append mode needs a ``watermark``."""
+    """Calls per batch and type.
+
+    A stream in append mode needs a ``watermark`` and gives a batch once, when the
+    watermark has passed it; in update mode it gives every batch, the last ones too.
+    """
     if watermark is not None:
         calls = calls.withWatermark(CALL_TIME, watermark)
     return (

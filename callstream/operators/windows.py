@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callstream.functions.intervals import interval_micros
 from callstream.operators.counts import PAIR
-from callstream.operators.distinct import distinct_rows
+from callstream.operators.distinct import SALTS, distinct_rows
 from callstream.schemas import CALL_TIME
 
 _TICK = "_tick"
@@ -20,6 +20,7 @@ def sliding_pair_counts(
     watermark: str | None = "60 minutes",
     dedup: bool = True,
     output_mode: str = "append",
+    salts: int = SALTS,
 ) -> DataFrame:
     """Count per (window, type, disposition) of the distinct (type, disposition, time).
 
@@ -28,6 +29,10 @@ def sliding_pair_counts(
     and its deduplication state grows without end; append and update drop a call
     from a window only once the watermark has passed the end of that window, and
     evict the state of that window then.
+
+    State of a stream with ``dedup``: in append mode length / slide rows per distinct
+    call until its windows are past; in update and complete mode up to ``salts`` + 1
+    times that (``distinct_rows``), as no aggregate may follow another there.
     """
     mode = output_mode.lower()
     bounded = calls.isStreaming and mode != "complete" and watermark is not None
@@ -41,7 +46,8 @@ def sliding_pair_counts(
     elif not dedup:
         counted = calls.groupBy(window, *PAIR).count()
     elif not bounded:
-        counted = distinct_rows(calls, [*PAIR, CALL_TIME]).groupBy(window, *PAIR).count()
+        once = distinct_rows(calls, [*PAIR, CALL_TIME], salts)
+        counted = once.groupBy(window, *PAIR).count()
     else:
         # Deduplicated per window: the key then expires with its window. The time
         # itself goes along as a number, so the window is the only event time.
@@ -52,7 +58,7 @@ def sliding_pair_counts(
             # not, but only append mode lets a second aggregate follow.
             once = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
         else:
-            once = distinct_rows(placed, keys)
+            once = distinct_rows(placed, keys, salts)
         counted = once.groupBy("window", *PAIR).count()
 
     return counted.select(

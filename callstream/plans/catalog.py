@@ -10,12 +10,18 @@ from pyspark.sql.types import StructType
 
 from callstream.functions import messages as codec
 from callstream.operators import counts, lookups, microbatch, windows
-from callstream.plans import tables
-from callstream.plans.jobs import start_statistics_tables
+from callstream.plans import jobs, tables
+from callstream.plans.jobs import run_description_counts, start_statistics_tables
 from callstream.schemas import CALL_TYPE, CALLS, CRIME_ID, DESCRIPTION, DISPOSITION
 from callstream.sources import file_messages, read_call_file, read_codes
 from callstream.streaming.live import live_type_counts, start_live_counts
-from callstream.streaming.queries import AVAILABLE_NOW, run_to_table
+from callstream.streaming.queries import (
+    AVAILABLE_NOW,
+    progress_table,
+    run_all,
+    run_to_table,
+    start_query,
+)
 from callstream.streaming.sinks import publish_messages
 from callstream.streaming.tables import read_latest
 from callstream.workspace import scratch_dir
@@ -88,6 +94,15 @@ def code_table(spark, sf_dir):
     return read_codes(spark, path, multi_line=False)
 
 
+def code_table_array(spark, sf_dir):
+    """From one JSON array, as the code table of the calls is kept. It is small."""
+    path = scratch_dir(spark, "codes-array")
+    table = tables.codes(spark, sf_dir).toDF("disposition_code", "description")
+    rows = F.collect_list(F.struct(*table.columns))
+    table.agg(F.to_json(rows).alias("value")).write.text(path)
+    return read_codes(spark, path)
+
+
 # Counts
 
 
@@ -96,7 +111,19 @@ def distinct_pairs(spark, sf_dir):
 
 
 def distinct_pairs_stream(spark, sf_dir):
-    return run_to_table(counts.distinct_pairs(tables.calls(spark, sf_dir, True)), "append")
+    return run_to_table(counts.distinct_pairs(tables.calls(spark, sf_dir, True)), "update", PAIR)
+
+
+def _event_files(spark, sf_dir):
+    path = scratch_dir(spark, "event-files")
+    tables.events_in_files(spark, sf_dir, path)
+    return path
+
+
+def distinct_pairs_batches(spark, sf_dir):
+    """Over several micro-batches, each pair from the one that first has it."""
+    calls = tables.calls_of_files(spark, _event_files(spark, sf_dir))
+    return run_to_table(counts.distinct_pairs(calls), "update", PAIR)
 
 
 def pair_counts_distinct(spark, sf_dir):
@@ -123,8 +150,7 @@ def description_counts(spark, sf_dir):
 def description_counts_messages(spark, sf_dir):
     """The whole job as a stream: JSON messages, parsed, joined and counted."""
     calls = codec.parse_calls(_messages(spark, sf_dir, True), PAIR)
-    found = counts.description_counts(calls, tables.codes(spark, sf_dir))
-    return run_to_table(found, "complete")
+    return run_description_counts(calls, tables.codes(spark, sf_dir))
 
 
 def description_counts_topic(spark, sf_dir):
@@ -132,8 +158,44 @@ def description_counts_topic(spark, sf_dir):
     topic = scratch_dir(spark, "topic")
     publish_messages(tables.calls(spark, sf_dir), "text", path=topic)
     calls = codec.parse_calls(file_messages(spark, topic, max_bytes=tables.MAX_BYTES), PAIR)
-    found = counts.description_counts(calls, tables.codes(spark, sf_dir))
-    return run_to_table(found, "complete")
+    return run_description_counts(calls, tables.codes(spark, sf_dir))
+
+
+def description_counts_resumed(spark, sf_dir):
+    """Stopped, and resumed with further files and a code table that has grown."""
+    path, checkpoint = scratch_dir(spark, "resumed"), scratch_dir(spark, "checkpoint")
+    files, codes = scratch_dir(spark, "event-files"), tables.codes(spark, sf_dir)
+    for first, table in ((0, codes.where(F.col(DISPOSITION) < "2")), (2, codes)):
+        tables.events_in_files(spark, sf_dir, files, first, first + 2)
+        calls = tables.calls_of_files(spark, files)
+        found = run_description_counts(calls, table, path, checkpoint)
+    return found
+
+
+def call_statistics(spark, sf_dir):
+    """Both counts of one stream by two queries, which run together."""
+    path = scratch_dir(spark, "call-statistics")
+    messages = codec.encode_calls(tables.calls_of_files(spark, _event_files(spark, sf_dir)))
+    deliver = jobs.into_tables(path)
+    codes = tables.codes(spark, sf_dir)
+    run_all(jobs.start_call_statistics(messages, codes, deliver, AVAILABLE_NOW))
+    found = []
+    for name, value in (("pair_counts", DISPOSITION), ("description_counts", DESCRIPTION)):
+        schema = StructType.fromDDL(f"{CALL_TYPE} string, {value} string, count long")
+        rows = read_latest(spark, f"{path}/{name}", schema)
+        result, value = F.lit(name).alias("result"), F.col(value).alias("value")
+        found.append(rows.select(result, CALL_TYPE, value, "count"))
+    return found[0].union(found[1])
+
+
+def query_progress(spark, sf_dir):
+    """What the progress of a query says it has read, added up over its micro-batches."""
+    calls = tables.calls_of_files(spark, _event_files(spark, sf_dir))
+    query = start_query(counts.pair_counts(calls), "complete", "noop", AVAILABLE_NOW)
+    query.awaitTermination()
+    progress = progress_table(spark, query)
+    rows, several = F.sum("input_rows").alias("input_rows"), (F.count("*") > 1).alias("several")
+    return progress.where("input_rows > 0").agg(rows, several)
 
 
 def description_counts_table(spark, sf_dir):
@@ -153,7 +215,7 @@ def description_counts_by_user(spark, sf_dir):
 
 def description_counts_by_user_stream(spark, sf_dir):
     calls = tables.calls(spark, sf_dir, True, call_type="user_id")
-    return run_to_table(counts.description_counts(calls, tables.codes(spark, sf_dir)), "complete")
+    return run_description_counts(calls, tables.codes(spark, sf_dir))
 
 
 def description_counts_by_user_large_table(spark, sf_dir):
@@ -164,8 +226,7 @@ def description_counts_by_user_large_table(spark, sf_dir):
 
 def description_counts_by_user_large_table_stream(spark, sf_dir):
     calls = tables.calls(spark, sf_dir, True, call_type="user_id")
-    found = counts.description_counts(calls, tables.codes(spark, sf_dir), max_rows=0)
-    return run_to_table(found, "complete")
+    return run_description_counts(calls, tables.codes(spark, sf_dir), max_rows=0)
 
 
 # Join without an aggregate
@@ -220,6 +281,13 @@ def sliding_counts_append(spark, sf_dir):
     return _sliding_stream(spark, sf_dir, "append")
 
 
+def sliding_counts_append_batches(spark, sf_dir):
+    """Over several micro-batches, between which the watermark moves and state leaves."""
+    calls = tables.calls_of_files(spark, _event_files(spark, sf_dir))
+    found = windows.sliding_pair_counts(calls, output_mode="append")
+    return tables.plain_times(run_to_table(found, "append"))
+
+
 def sliding_counts_append_hourly(spark, sf_dir):
     return _sliding_stream(spark, sf_dir, "append", time_unit="hour")
 
@@ -250,6 +318,14 @@ def batch_type_counts(spark, sf_dir):
 
 
 def batch_type_counts_stream(spark, sf_dir):
+    """Every batch, the last ones too: in update mode."""
+    calls = tables.calls_of_files(spark, _event_files(spark, sf_dir))
+    found = microbatch.batch_type_counts(calls, BATCH)
+    return tables.plain_times(run_to_table(found, "update", ["batch_end", CALL_TYPE]))
+
+
+def batch_type_counts_closed_stream(spark, sf_dir):
+    """The batches that the watermark has passed, each once: in append mode."""
     calls = tables.calls(spark, sf_dir, True)
     found = microbatch.batch_type_counts(calls, BATCH, watermark="60 minutes")
     return tables.plain_times(run_to_table(found, "append"))
@@ -270,6 +346,14 @@ def windowed_batch_counts(spark, sf_dir):
 
 
 def windowed_batch_counts_stream(spark, sf_dir):
+    calls = tables.calls_of_files(spark, _event_files(spark, sf_dir))
+    counted = microbatch.batch_type_counts(calls, BATCH)
+    placed = microbatch.windowed_batch_counts(counted, LENGTH, SLIDE)
+    keys = ["window_end", "batch_end", CALL_TYPE]
+    return tables.plain_times(run_to_table(placed, "update", keys))
+
+
+def windowed_batch_counts_closed_stream(spark, sf_dir):
     calls = tables.calls(spark, sf_dir, True)
     counted = microbatch.batch_type_counts(calls, BATCH, watermark="60 minutes")
     placed = microbatch.windowed_batch_counts(counted, LENGTH, SLIDE)
@@ -282,6 +366,22 @@ def windowed_batch_head(spark, sf_dir):
     return tables.plain_times(microbatch.windowed_batch_head(placed))
 
 
+def live_batches(spark, sf_dir):
+    """Each processing-time batch against the input of its own files: how many batches,
+    how many calls, and whether any batch counted other than its files hold."""
+    path, files = scratch_dir(spark, "live"), _event_files(spark, sf_dir)
+    source = spark.readStream.schema(tables.EVENTS).option("maxFilesPerTrigger", 1).parquet(files)
+    query = start_live_counts(
+        tables.calls_from_events(source), path, AVAILABLE_NOW, report=False
+    )
+    query.awaitTermination()
+    counted = live_type_counts(spark, path).groupBy("batch_end").agg(F.sum("count").alias("n"))
+    held = spark.read.schema(tables.EVENTS).parquet(files)
+    held = held.groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n"))
+    same = counted.select("n").exceptAll(held.select("n")).count() == 0
+    return counted.agg(F.sum("n").alias("calls")).withColumn("as_in_files", F.lit(same))
+
+
 def live_batch_totals(spark, sf_dir):
     """Counts of processing-time batches, added up: when they ran varies, this not."""
     path = scratch_dir(spark, "live")
@@ -299,8 +399,10 @@ QUERIES: dict[str, Query] = {
         published_records,
         tail_messages,
         code_table,
+        code_table_array,
         distinct_pairs,
         distinct_pairs_stream,
+        distinct_pairs_batches,
         pair_counts_distinct,
         pair_counts_distinct_stream,
         pair_counts_occurrences,
@@ -308,6 +410,9 @@ QUERIES: dict[str, Query] = {
         description_counts,
         description_counts_messages,
         description_counts_topic,
+        description_counts_resumed,
+        call_statistics,
+        query_progress,
         description_counts_table,
         description_counts_by_user,
         description_counts_by_user_stream,
@@ -321,17 +426,21 @@ QUERIES: dict[str, Query] = {
         sliding_counts_hourly,
         sliding_counts_complete,
         sliding_counts_append,
+        sliding_counts_append_batches,
         sliding_counts_append_hourly,
         sliding_counts_append_occurrences,
         sliding_counts_update_hourly,
         batch_counts,
         batch_type_counts,
         batch_type_counts_stream,
+        batch_type_counts_closed_stream,
         batch_top_types,
         batch_top_types_hourly,
         windowed_batch_counts,
         windowed_batch_counts_stream,
+        windowed_batch_counts_closed_stream,
         windowed_batch_head,
+        live_batches,
         live_batch_totals,
     ]
 }

@@ -2,42 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from callstream.functions.messages import parse_calls, tail_messages
 from callstream.operators.counts import PAIR, description_counts, pair_counts
-from callstream.operators.lookups import code_table_size, with_description
+from callstream.operators.lookups import BROADCAST_BYTES, BROADCAST_ROWS
 from callstream.schemas import CALL_TYPE, DESCRIPTION
 from callstream.sources import file_messages, read_call_file
-from callstream.streaming.live import start_live_counts
-from callstream.streaming.queries import start_query
-from callstream.streaming.sinks import publish_messages
+from callstream.streaming.live import EmptyTriggers, start_live_counts
+from callstream.streaming.queries import AVAILABLE_NOW, start_query
+from callstream.streaming.sinks import print_messages, publish_messages, show_result
 from callstream.streaming.tables import read_latest, write_latest
 from callstream.workspace import scratch_dir
 
+Deliver = Callable[[str, DataFrame, int], None]
+
+
+def start_description_counts(
+    calls: DataFrame,
+    codes: DataFrame,
+    deliver: Deliver,
+    trigger: str | None = None,
+    checkpoint: str | None = None,
+    **bounds: int,
+) -> StreamingQuery:
+    """Count per (type, description) of a stream, handed as ("description_counts", counts,
+    batch id) to ``deliver`` after each micro-batch.
+
+    The state holds the pairs found so far, of which there are few; each micro-batch joins
+    them with the code table as it is then. So a query may be resumed with another code
+    table, larger or smaller, and its counts are those of the batch form. ``bounds`` are
+    ``max_rows`` and ``max_bytes`` of a table that is broadcast.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counted = description_counts(batch, codes, **bounds)
+        deliver("description_counts", counted, batch_id)
+
+    return start_query(pair_counts(calls), "complete", write, trigger, checkpoint)
+
+
+def run_description_counts(
+    calls: DataFrame,
+    codes: DataFrame,
+    path: str | None = None,
+    checkpoint: str | None = None,
+    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """The same over the input at hand; with the ``path`` and ``checkpoint`` of an earlier
+    run, over that of both."""
+    spark = calls.sparkSession
+    path = path or scratch_dir(spark, "descriptions")
+    deliver = into_tables(path)
+    bounds = {"max_rows": max_rows, "max_bytes": max_bytes}
+    start_description_counts(
+        calls, codes, deliver, AVAILABLE_NOW, checkpoint, **bounds
+    ).awaitTermination()
+    schema = f"{CALL_TYPE} string, {DESCRIPTION} string, count long"
+    return read_latest(spark, f"{path}/description_counts", StructType.fromDDL(schema))
+
+
+def into_tables(path: str) -> Deliver:
+    """Keep each result as a table below ``path``; read it with ``read_latest``."""
+
+    def deliver(name: str, result: DataFrame, batch_id: int) -> None:
+        write_latest(result, f"{path}/{name}", batch_id)
+
+    return deliver
+
+
+def onto_console(rows: int = 20) -> Deliver:
+    """Print the first ``rows`` groups of each result, and how many are left out."""
+
+    def deliver(name: str, result: DataFrame, batch_id: int) -> None:
+        show_result(result, rows, f"{name}, batch {batch_id}:")
+
+    return deliver
+
 
 def start_call_statistics(
     messages: DataFrame,
     codes: DataFrame,
-    sink: str = "console",
+    deliver: Deliver | None = None,
     trigger: str | None = None,
     checkpoint: str | None = None,
     dedup: bool = True,
 ) -> list[StreamingQuery]:
     """Two queries over one stream: counts per code and counts per description.
 
-    Pass the queries to ``run_all``. To resume, name the same ``checkpoint``.
+    Pass the queries to ``run_all``. To resume, name the same ``checkpoint``. Printed
+    unless ``deliver`` says otherwise.
     """
     checkpoint = checkpoint or scratch_dir(messages.sparkSession, "statistics")
+    deliver = deliver or onto_console()
     calls = parse_calls(messages, PAIR)
-    results = {
-        "pair_counts": pair_counts(calls, dedup),
-        "description_counts": description_counts(calls, codes),
-    }
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        deliver("pair_counts", batch, batch_id)
+
     return [
-        start_query(result, "complete", sink, trigger, f"{checkpoint}/{name}", name)
-        for name, result in results.items()
+        start_query(
+            pair_counts(calls, dedup), "complete", write, trigger, f"{checkpoint}/pair_counts"
+        ),
+        start_description_counts(
+            calls, codes, deliver, trigger, f"{checkpoint}/description_counts"
+        ),
     ]
 
 
@@ -57,13 +131,11 @@ def start_statistics_tables(
     """
     spark = messages.sparkSession
     pairs = pair_counts(parse_calls(messages, PAIR), dedup)
-    size = code_table_size(codes)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         write_latest(batch, f"{path}/pair_counts", batch_id)
         found = read_latest(spark, f"{path}/pair_counts", pairs.schema).select(*PAIR)
-        described = with_description(found, codes, size=size)
-        counted = described.groupBy(CALL_TYPE, DESCRIPTION).count()
+        counted = description_counts(found, codes)
         write_latest(counted, f"{path}/description_counts", batch_id)
 
     return start_query(pairs, "complete", write, trigger, checkpoint)
@@ -80,13 +152,16 @@ def start_call_report(
     ``top``, and ``length`` and ``slide`` of the windows in seconds."""
     table = table or scratch_dir(messages.sparkSession, "live-counts")
     calls = parse_calls(messages, [CALL_TYPE])
-    return start_live_counts(calls, table, trigger, checkpoint, **report)
+    query = start_live_counts(calls, table, trigger, checkpoint, **report)
+    messages.sparkSession.streams.addListener(EmptyTriggers(str(query.id)))
+    return query
 
 
 def publish_file(
     spark: SparkSession, file: str, fmt: str = "kafka", multi_line: bool = True, **options: str
 ) -> None:
-    """Publish a record file: a JSON array, or JSON lines, which go out as they are."""
+    """Publish a record file: a JSON array, each record with all its fields, or JSON lines,
+    which go out as they are."""
     if multi_line:
         publish_messages(read_call_file(spark, file), fmt, **options)
         return
@@ -96,6 +171,8 @@ def publish_file(
     lines.write.format(fmt).mode("append").options(**options).save()
 
 
-def start_tail(messages: DataFrame, rows: int = 1000) -> StreamingQuery:
-    """Print offset and value of the messages, from the first one on."""
-    return start_query(tail_messages(messages), "append", "console", numRows=str(rows))
+def start_tail(
+    messages: DataFrame, trigger: str | None = None, checkpoint: str | None = None
+) -> StreamingQuery:
+    """Print offset and text of every message, from the first one on."""
+    return start_query(tail_messages(messages), "append", print_messages, trigger, checkpoint)

@@ -111,8 +111,10 @@ ORACLES: dict[str, str] = {
     "tail_messages": f"""select event_id as "offset", event_type as {_KIND},
         {_D} as disposition, strftime(ts, '%H:%M') as call_time from events""",
     "code_table": _CODES,
+    "code_table_array": _CODES,
     "distinct_pairs": _PAIRS,
     "distinct_pairs_stream": _PAIRS,
+    "distinct_pairs_batches": _PAIRS,
     "pair_counts_distinct": f"select *, cast(1 as bigint) as count from ({_PAIRS})",
     "pair_counts_distinct_stream": f"select *, cast(1 as bigint) as count from ({_PAIRS})",
     "pair_counts_occurrences": _OCCURRENCES,
@@ -120,7 +122,14 @@ ORACLES: dict[str, str] = {
     "description_counts": _descriptions("event_type"),
     "description_counts_messages": _descriptions("event_type"),
     "description_counts_topic": _descriptions("event_type"),
+    "description_counts_resumed": _descriptions("event_type"),
     "description_counts_table": _descriptions("event_type"),
+    "call_statistics": f"""
+        select 'pair_counts' as result, {_KIND}, disposition as value, cast(1 as bigint) as count
+        from ({_PAIRS}) union all
+        select 'description_counts', {_KIND}, disposition_description, count
+        from ({_descriptions("event_type")})""",
+    "query_progress": "select count(*) as input_rows, true as several from events",
     "description_counts_by_user": _descriptions("cast(user_id as varchar)"),
     "description_counts_by_user_stream": _descriptions("cast(user_id as varchar)"),
     "description_counts_by_user_large_table": _descriptions("cast(user_id as varchar)"),
@@ -133,16 +142,20 @@ ORACLES: dict[str, str] = {
     "sliding_counts_hourly": _sliding(_HOUR, "distinct"),
     "sliding_counts_complete": _sliding(_HOUR, "distinct"),
     "sliding_counts_append": _sliding("ts", "distinct", closed=True),
+    "sliding_counts_append_batches": _sliding("ts", "distinct", closed=True),
     "sliding_counts_append_hourly": _sliding(_HOUR, "distinct", closed=True),
     "sliding_counts_append_occurrences": _sliding(_HOUR, "", closed=True),
     "sliding_counts_update_hourly": _sliding(_HOUR, "distinct"),
     "batch_counts": _BATCH_COUNTS,
     "batch_type_counts": _batches(),
-    "batch_type_counts_stream": f"select * from ({_batches()}) where {_CLOSED_BATCH}",
+    "batch_type_counts_stream": _batches(),
+    "batch_type_counts_closed_stream": f"select * from ({_batches()}) where {_CLOSED_BATCH}",
     "batch_top_types": _top("5 minute"),
     "batch_top_types_hourly": _top("1 hour"),
     "windowed_batch_counts": _windowed(),
-    "windowed_batch_counts_stream": _windowed(_CLOSED_BATCH),
+    "windowed_batch_counts_stream": _windowed(),
+    "windowed_batch_counts_closed_stream": _windowed(_CLOSED_BATCH),
     "windowed_batch_head": _HEAD,
+    "live_batches": "select count(*) as calls, true as as_in_files from events",
     "live_batch_totals": f"select event_type as {_KIND}, count(*) as count from events group by 1",
 }

@@ -25,6 +25,26 @@ def events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFra
     return reader.parquet(f"{sf_dir}/events.parque[t]")
 
 
+def events_in_files(
+    spark: SparkSession, sf_dir: str, path: str, first: int = 0, last: int = 4, parts: int = 4
+) -> None:
+    """Write the parts ``first`` to ``last`` of the events, cut evenly by ``ts``, as files of
+    rising age below ``path``."""
+    table = events(spark, sf_dir)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = table.agg(F.min(micros), F.max(micros)).first()
+    step = (high - low) // parts + 1
+    for part in range(first, last):
+        inside = micros.between(low + part * step, low + (part + 1) * step - 1)
+        table.where(inside).write.mode("append").parquet(path)
+
+
+def calls_of_files(spark: SparkSession, path: str, max_files: int = 1, **shape) -> DataFrame:
+    """The written events as a stream of calls, few files per micro-batch."""
+    reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files)
+    return calls_from_events(reader.parquet(path), **shape)
+
+
 def calls_from_events(
     table: DataFrame, call_type: str = "event_type", time_unit: str | None = None
 ) -> DataFrame:

@@ -30,10 +30,6 @@ CALLS = StructType(
     ]
 )
 
-# The same fields as plain text: a record on its way to a topic keeps its
-# timestamp strings as they were written.
-RAW_CALLS = StructType([StructField(name, StringType()) for name in CALLS.names])
-
 # Fields of the code table file. Codes stay strings ("22" is one).
 CODES = StructType(
     [

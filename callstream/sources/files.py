@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from callstream.schemas import CODES, DESCRIPTION, DISPOSITION, RAW_CALLS
+from callstream.schemas import CODES, DESCRIPTION, DISPOSITION
 
 _VALUE = StructType([StructField("value", BinaryType())])
 
@@ -34,17 +34,23 @@ def file_messages(
 
 
 def read_call_file(
-    spark: SparkSession, path: str, schema: StructType = RAW_CALLS, multi_line: bool = True
+    spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = True
 ) -> DataFrame:
     """Call records from a JSON array file (``multi_line``) or from JSON lines.
 
+    Every field is read, with the type that its values have; a ``schema`` spares the
+    pass that finds the types and leaves other fields out. Broken JSON is an error.
     One task streams through each array file, since arrays cannot be split; large
     inputs belong in JSON lines.
     """
-    return spark.read.schema(schema).json(path, multiLine=multi_line)
+    reader = spark.read.option("mode", "FAILFAST")
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.json(path, multiLine=multi_line)
 
 
 def read_codes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """The code table, renamed to join with call records."""
-    codes = spark.read.schema(CODES).json(path, multiLine=multi_line)
+    """The code table, renamed to join with call records. Broken JSON is an error: a table
+    read in part would let the join drop calls."""
+    codes = spark.read.schema(CODES).option("mode", "FAILFAST").json(path, multiLine=multi_line)
     return codes.withColumnsRenamed({"disposition_code": DISPOSITION, "description": DESCRIPTION})

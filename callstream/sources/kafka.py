@@ -12,18 +12,31 @@ def kafka_options(
     max_offsets: int | None = 10_000,
     min_partitions: int | None = None,
     streaming: bool = True,
+    ending: str | None = None,
+    pattern: bool = False,
+    group_prefix: str | None = None,
+    **options: str,
 ) -> dict[str, str]:
     """Options of the Kafka source.
 
+    ``pattern`` takes ``topic`` as a pattern of names; ``ending`` ends a batch read there;
+    ``group_prefix`` names the consumer group. ``options`` are passed on as they are:
+    ``failOnDataLoss``, or security settings such as ``kafka.security.protocol``.
+
     ``max_offsets`` limits what one micro-batch admits. ``min_partitions`` splits
     long topic partitions by offset range, so that a topic with few partitions, or
     one hot partition, is still read by many tasks.
     """
     options = {
         "kafka.bootstrap.servers": servers,
-        "subscribe": topic,
+        "subscribePattern" if pattern else "subscribe": topic,
         "startingOffsets": starting,
+        **options,
     }
+    if not streaming and ending is not None:
+        options["endingOffsets"] = ending
+    if group_prefix is not None:
+        options["groupIdPrefix"] = group_prefix
     if streaming and max_offsets is not None:
         options["maxOffsetsPerTrigger"] = str(max_offsets)
     if min_partitions is not None:

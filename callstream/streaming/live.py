@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from callstream.operators.microbatch import fill_empty_batches, windowed_batch_counts
 from callstream.schemas import CALL_TYPE
 from callstream.streaming.queries import start_query
 from callstream.streaming.sinks import show_batch
+from callstream.streaming.tables import committed, drop_folder
 
 _SCHEMA = f"batch_end timestamp, {CALL_TYPE} string, count long"
 _MICROS = 1_000_000
+#: Batches that are folded into one folder once they are well past.
+FOLD = 500
 
 
 def _folder(path: str, batch_id: int) -> str:
@@ -27,9 +29,31 @@ def _read(spark: SparkSession, path: str, batch_ids: Iterable[int]) -> DataFrame
     return spark.read.schema(_SCHEMA).parquet(*folders)
 
 
+def _folded(path: str, first: int) -> str:
+    return f"{path}/_folded/first={first}"
+
+
+def fold_batches(spark: SparkSession, path: str, first: int) -> None:
+    """Write ``FOLD`` batches from ``first`` on into one folder, then drop their own."""
+    ids = range(first, first + FOLD)
+    there = [i for i in ids if committed(spark, _folder(path, i))]
+    if not there:
+        return
+    if not committed(spark, _folded(path, first)):
+        _read(spark, path, there).write.mode("overwrite").parquet(_folded(path, first))
+    for batch_id in there:
+        drop_folder(spark, _folder(path, batch_id))
+
+
 def live_type_counts(spark: SparkSession, path: str) -> DataFrame:
     """The counts written by ``start_live_counts``, ready for the batch operators."""
+    folds = []
+    while committed(spark, _folded(path, len(folds) * FOLD)):
+        folds.append(_folded(path, len(folds) * FOLD))
     counts = spark.read.schema(f"{_SCHEMA}, batch_id long").parquet(path)
+    counts = counts.where(F.col("batch_id") >= len(folds) * FOLD).drop("batch_id")
+    if folds:
+        counts = counts.unionByName(spark.read.schema(_SCHEMA).parquet(*folds))
     return counts.select("batch_end", CALL_TYPE, "count")
 
 
@@ -60,7 +84,8 @@ def start_live_counts(
 
     Printed per batch: how many calls, the ``top`` types, and the first rows of each
     window of ``length`` seconds that has closed. A batch id has its own folder, so
-    a repeated batch replaces itself. A trigger without input makes no batch.
+    a repeated batch replaces itself; every ``FOLD`` batches, earlier ones are folded into
+    one folder. A trigger without input makes no batch.
     """
     spark = calls.sparkSession
     # The time of a micro-batch is kept in its offset log: a repeat counts the same.
@@ -70,6 +95,9 @@ def start_live_counts(
     def write(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy("batch_end", CALL_TYPE).count()
         counts.write.mode("overwrite").parquet(_folder(path, batch_id))
+        if batch_id % FOLD == FOLD - 1 and batch_id >= 2 * FOLD - 1:
+            # The last FOLD batches stay as they are: windows may still need them.
+            fold_batches(spark, path, batch_id + 1 - 2 * FOLD)
         if not report:
             return
         written = _read(spark, path, [batch_id])
@@ -91,6 +119,30 @@ def start_live_counts(
     return start_query(timed, "append", write, trigger, checkpoint)
 
 
+class EmptyTriggers(StreamingQueryListener):
+    """Prints a count of 0 for a query that found no input.
+
+    Spark reports an idle query every ``spark.sql.streaming.noDataProgressEventInterval``
+    milliseconds: set that to the trigger for a line per empty trigger.
+    """
+
+    def __init__(self, query_id: str):
+        self.query_id = query_id
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        if str(event.id) == self.query_id:
+            print("Events in this batch: 0", flush=True)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def _totals(counts: DataFrame) -> tuple[int, int | None]:
     """Calls in the batches of ``counts``, and the last batch time in microseconds."""
     return counts.agg(
@@ -103,10 +155,9 @@ def _batches_since(spark: SparkSession, path: str, batch_id: int, since: int) ->
     after ``since``; looks back one batch folder at a time, as far as there are any."""
     found = {}
     for earlier in range(batch_id - 1, -1, -1):
-        try:
-            _, end = _totals(_read(spark, path, [earlier]))
-        except AnalysisException:
+        if not committed(spark, _folder(path, earlier)):
             break
+        _, end = _totals(_read(spark, path, [earlier]))
         if end is not None and end <= since:
             break
         if end is not None:

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.listener import StreamingQueryProgress
-from pyspark.sql.types import LongType, StructType
 
-from callstream.streaming.tables import read_latest, write_latest
+from callstream.streaming.tables import merge_latest, read_latest, write_latest
 from callstream.workspace import scratch_dir
 
 AVAILABLE_NOW = "available now"
@@ -73,7 +70,8 @@ def run_to_table(
     """Run ``df`` over the input at hand and return its result, written as parquet.
 
     Append results are the rows written; complete results those of the last
-    micro-batch; update results the last row per ``keys``. With the ``path`` and
+    micro-batch; update results the last row per ``keys``, replaced as they change, so
+    the table does not grow with the number of micro-batches. With the ``path`` and
     ``checkpoint`` of an earlier run, the result is that of both.
     """
     spark = df.sparkSession
@@ -87,18 +85,12 @@ def run_to_table(
         if mode == "complete":
             write_latest(batch, path, batch_id)
         else:
-            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            kept = batch.persist()  # used twice: else the micro-batch would run twice
+            merge_latest(spark, kept, path, batch_id, keys)
+            kept.unpersist()
 
     start_query(df, mode, write, AVAILABLE_NOW, checkpoint).awaitTermination()
-    try:
-        if mode == "complete":
-            return read_latest(spark, path, df.schema)
-        stored = StructType([*df.schema.fields]).add("batch_id", LongType())
-        updates = spark.read.schema(stored).parquet(path)
-    except AnalysisException:  # no batch had any input
-        return spark.createDataFrame([], df.schema)
-    values = [F.max_by(c, "batch_id").alias(c) for c in df.columns if c not in keys]
-    return updates.groupBy(*keys).agg(*values).select(*df.columns)
+    return read_latest(spark, path, df.schema)
 
 
 def run_all(queries: list[StreamingQuery], poll_seconds: float = 1.0) -> None:
@@ -125,7 +117,8 @@ def _progress_row(progress: StreamingQueryProgress) -> tuple:
 
 
 def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """The recent micro-batches of ``query``, one row each."""
+    """The recent micro-batches of ``query``, one row each: Spark keeps the last 100 (its
+    ``spark.sql.streaming.numRecentProgressUpdates``). ``ProgressLog`` reports all."""
     rows = [_progress_row(progress) for progress in query.recentProgress]
     return spark.createDataFrame(rows, PROGRESS_SCHEMA)
 

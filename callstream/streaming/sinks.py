@@ -31,6 +31,27 @@ def publish_messages(
     return None
 
 
+def show_result(result: DataFrame, rows: int = 20, title: str = "") -> None:
+    """Print the first ``rows`` rows, and how many there are besides."""
+    kept = result.persist()
+    try:
+        more = kept.count() - rows
+        show_batch(kept, rows, title)
+        if more > 0:
+            print(f"{more} more rows are not printed", flush=True)
+    finally:
+        kept.unpersist()
+
+
+def print_messages(batch: DataFrame, batch_id: int) -> None:
+    """Print every message: its offset and its value, or its raw text if that is broken.
+
+    One partition after the other is fetched, not the whole batch.
+    """
+    for row in batch.select("offset", "text").toLocalIterator():
+        print(row["offset"], row["text"], flush=True)
+
+
 def show_batch(batch: DataFrame, n: int = 10, title: str = "") -> None:
     """Print the first ``n`` rows, then "..." if there are more."""
     rows = batch.limit(n + 1).collect()

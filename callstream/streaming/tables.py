@@ -1,4 +1,4 @@
-"""The latest result of a query in complete mode, as a table."""
+"""The latest result of a query, as a table that readers see only whole."""
 
 from __future__ import annotations
 
@@ -7,18 +7,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 _BATCH = "_batch"
+#: Results kept: a reader has the time of two further batches before its own goes.
+_SLOTS = 4
+
+
+def _hadoop(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
+
+
+def committed(spark: SparkSession, folder: str) -> bool:
+    """Whether Spark has finished writing ``folder``."""
+    files, marker = _hadoop(spark, f"{folder}/_SUCCESS")
+    return files.exists(marker)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    files, path = _hadoop(spark, folder)
+    files.delete(path, True)
 
 
 def write_latest(result: DataFrame, path: str, batch_id: int) -> None:
-    """Replace the older of two folders, so that the last whole result stays while the
+    """Replace the oldest of some folders, so that the last whole results stay while the
     next one is written. A repeated batch replaces itself."""
     rows = result.withColumn(_BATCH, F.lit(batch_id).cast("long"))
-    rows.write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
+    rows.write.mode("overwrite").parquet(f"{path}/slot={batch_id % _SLOTS}")
 
 
-def read_latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The result of the last batch written."""
+def read_latest(
+    spark: SparkSession, path: str, schema: StructType, before: int | None = None
+) -> DataFrame:
+    """The result of the last batch written whole (of those before batch ``before``)."""
     stored = StructType([*schema.fields]).add(_BATCH, LongType())
-    table = spark.read.schema(stored).parquet(path)
-    latest = table.agg(F.max(_BATCH)).first()[0]
-    return table.where(F.col(_BATCH) == F.lit(latest)).select(*schema.names)
+    newest, found = -1, None
+    for slot in range(_SLOTS):
+        folder = f"{path}/slot={slot}"
+        if not committed(spark, folder):
+            continue
+        rows = spark.read.schema(stored).parquet(folder)
+        batch = rows.agg(F.max(_BATCH)).first()[0]
+        if batch is not None and batch > newest and (before is None or batch < before):
+            newest, found = batch, rows
+    if found is None:
+        return spark.createDataFrame([], schema)
+    return found.select(*schema.names)
+
+
+def merge_latest(
+    spark: SparkSession, batch: DataFrame, path: str, batch_id: int, keys: list[str]
+) -> None:
+    """The latest result with the rows of ``batch`` in place of those with equal ``keys``."""
+    earlier = read_latest(spark, path, batch.schema, before=batch_id)
+    same = [earlier[key].eqNullSafe(batch[key]) for key in keys]
+    kept = earlier.join(batch, same, "left_anti")
+    write_latest(kept.unionByName(batch), path, batch_id)

@@ -13,6 +13,7 @@ from callstream.functions.intervals import interval_micros
 from callstream.functions.messages import encode_calls, parse_calls, tail_messages
 from callstream.operators import counts, lookups, microbatch, windows
 from callstream.schemas import CALL_TYPE, CALLS
+from callstream.plans.jobs import run_description_counts
 from callstream.sources import file_messages, read_call_file, read_codes
 from callstream.streaming import publish_messages, run_to_table
 from helpers import START, call, ordered, rows, write_messages
@@ -48,6 +49,11 @@ def result(df, mode="complete", keys=None):
     return rows(run_to_table(df, mode, keys) if df.isStreaming else df)
 
 
+def described(calls, codes, **bounds):
+    count = run_description_counts if calls.isStreaming else counts.description_counts
+    return rows(count(calls, codes, **bounds))
+
+
 def test_parse(spark, edges):
     found = {r["line"]: r for r in _with_lines(spark, edges).collect()}
     assert all(found["{bad json"][name] is None for name in CALLS.names)
@@ -88,7 +94,7 @@ PAIRS += [(None, "ARR"), (None, None)]
 @pytest.mark.parametrize("streaming", [False, True])
 def test_pairs(spark, edges, streaming):
     calls = parsed(spark, edges, streaming, max_files=1)
-    assert result(counts.distinct_pairs(calls), "append") == ordered(PAIRS)
+    assert result(counts.distinct_pairs(calls), "update", counts.PAIR) == ordered(PAIRS)
     ones = ordered((*pair, 1) for pair in PAIRS)
     assert result(counts.pair_counts(calls)) == ones
     assert result(counts.pair_counts(calls), "update", counts.PAIR) == ones
@@ -101,10 +107,7 @@ def test_pairs(spark, edges, streaming):
 def test_descriptions(spark, edges, codes, streaming, max_rows):
     calls = parsed(spark, edges, streaming, max_files=1)
     expected = [("A", "Cancel", 2), ("C", "Arrest", 1), (None, "Arrest", 1)]
-    found = counts.description_counts(calls, codes, max_rows=max_rows)
-    assert result(found) == ordered(expected)
-    keys = [CALL_TYPE, "disposition_description"]
-    assert result(found, "update", keys) == ordered(expected)
+    assert described(calls, codes, max_rows=max_rows) == ordered(expected)
     joined = lookups.with_description(calls.select(*counts.PAIR), codes, max_rows=max_rows)
     assert joined.columns == ["disposition", CALL_TYPE, "disposition_description"]
     assert result(joined, "append") == ordered(
@@ -130,7 +133,7 @@ def test_many_codes_of_one_description(spark, tmp_path, n_codes):
     expected = [("A", "other", 1), ("A", "same", n_codes), ("A", None, 1)]
     for streaming in (False, True):
         calls = parsed(spark, folder, streaming)
-        assert result(counts.description_counts(calls, table)) == ordered(expected)
+        assert described(calls, table) == ordered(expected)
 
 
 def test_repeated_code_rows_count_as_in_the_join(spark, edges):
@@ -139,16 +142,15 @@ def test_repeated_code_rows_count_as_in_the_join(spark, edges):
     )
     for streaming in (False, True):
         calls = parsed(spark, edges, streaming)
-        assert result(counts.description_counts(calls, table)) == [("A", "Cancel", 2)]
+        assert described(calls, table) == [("A", "Cancel", 2)]
 
 
 def test_code_table_size(spark, codes):
     size = lookups.code_table_size(codes)
-    assert (size.rows, lookups.codes_per_description(codes)) == (19, 2)
+    assert size.rows == 19
     assert size.bytes == sum(len(c) + len(d) for c, d in lookups.DISPOSITION_CODES)
     empty = lookups.code_table_size(codes.limit(0))
     assert (empty.rows, empty.bytes) == (0, 0)
-    assert lookups.codes_per_description(codes.limit(0)) == 0
 
 
 def test_read_codes(spark, tmp_path, codes):
@@ -158,6 +160,14 @@ def test_read_codes(spark, tmp_path, codes):
     assert rows(read_codes(spark, str(path))) == rows(codes)
 
 
+def test_broken_arrays_are_errors(spark, tmp_path):
+    path = tmp_path / "broken.json"
+    path.write_text(json.dumps([{"disposition_code": "A", "description": "x"}] * 3)[:-20])
+    for read in (read_codes, read_call_file):
+        with pytest.raises(Exception, match="(?i)malformed|parse|corrupt"):
+            read(spark, str(path)).collect()
+
+
 @pytest.mark.parametrize("mode", [None, "append", "update", "complete"])
 def test_repeated_calls_count_once_in_a_window(spark, tmp_path, mode):
     same = [call("A", "CAN", 12)] * 3
@@ -307,18 +317,19 @@ def test_no_calls(spark):
 def test_published_records_keep_text_and_nulls(spark, tmp_path):
     records = [
         {**call("A", None), "crime_id": "1", "call_date_time": "01/02/2019 03:04:05 PM"},
-        {"crime_id": 2, "address": 'quote " and é'},
+        {"crime_id": "2", "address": 'quote " and é', "n": 7, "geo": {"x": [1.5]}},
     ]
     source = tmp_path / "records.json"
     source.write_text(json.dumps(records))
     target = str(tmp_path / "topic")
     publish_messages(read_call_file(spark, str(source)), "text", path=target)
     sent = [json.loads(r[0]) for r in spark.read.text(target).collect()]
-    assert {tuple(r) for r in sent} == {tuple(CALLS.names)}
     by_id = {r["crime_id"]: r for r in sent}
     assert by_id["1"]["call_date_time"] == "01/02/2019 03:04:05 PM"
     assert by_id["1"]["disposition"] is None
     assert by_id["2"]["address"] == 'quote " and é'
+    # Fields that no call has, with their types.
+    assert (by_id["2"]["n"], by_id["2"]["geo"]) == (7, {"x": [1.5]})
 
 
 def test_encode_keeps_microseconds(spark, tmp_path):
@@ -333,5 +344,8 @@ def test_tail(spark):
     messages = spark.createDataFrame(
         [(5, b'{"a": 1, "b": {"c": null}}'), (6, b"{bad")], "offset long, value binary"
     )
-    found = tail_messages(messages).selectExpr("offset", "to_json(value) AS text")
-    assert rows(found) == [(5, '{"a":1,"b":{"c":null}}'), (6, None)]
+    found = tail_messages(messages).selectExpr("offset", "to_json(value) AS value", "text")
+    assert rows(found) == [
+        (5, '{"a":1,"b":{"c":null}}', '{"a": 1, "b": {"c": null}}'),
+        (6, None, "{bad"),
+    ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql.types import StructType
 
 import main
@@ -20,7 +21,8 @@ def test_publish_count_and_report(spark, tmp_path, capsys):
     def run(*words):
         main.run(spark, main.arguments([*words, "--path", topic, "--trigger", "available now"]))
 
-    run("publish", "--file", str(tmp_path / "calls.json"))
+    publish = ["publish", "--file", str(tmp_path / "calls.json"), "--path", topic]
+    main.run(spark, main.arguments(publish))
     run("count", "--tables", tables, "--occurrences")
     schema = StructType.fromDDL(f"{PAIR[0]} string, {PAIR[1]} string, count long")
     assert rows(read_latest(spark, f"{tables}/pair_counts", schema)) == [
@@ -34,5 +36,21 @@ def test_publish_count_and_report(spark, tmp_path, capsys):
         ("B", "Arrest", 1),
     ]
     capsys.readouterr()
+    run("tail")
+    assert len(capsys.readouterr().out.splitlines()) == 4
     run("report", "--top", "1")
     assert capsys.readouterr().out.splitlines() == ["Events in this batch: 4", "('A', 3)", "..."]
+
+
+@pytest.mark.parametrize(
+    "words",
+    [
+        ["count"],
+        ["tail", "--topic", "t"],
+        ["publish", "--file", "f", "--path", "p", "--trigger", "available now"],
+        ["count", "--path", "p", "--option", "novalue"],
+    ],
+)
+def test_what_a_command_needs_or_does_not_take(words):
+    with pytest.raises(SystemExit):
+        main.arguments(words)

@@ -8,9 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-
-QUERIES = driver.queries()
-ORACLES = driver.oracle_sql()
+from callstream.plans.catalog import QUERIES
+from callstream.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +28,8 @@ def ordered(names, rows):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 from datetime import timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -32,6 +33,7 @@ from callstream.streaming import (
     start_query,
     write_latest,
 )
+from callstream.streaming import live
 from callstream.streaming.live import (
     _batches_since,
     _print_windows,
@@ -129,8 +131,7 @@ def test_window_state_is_evicted(spark, tmp_path, mode):
 
 
 @pytest.mark.parametrize("large_state", [False, True])
-@pytest.mark.parametrize("mode", ["complete", "update"])
-def test_restart_continues(spark, tmp_path, mode, large_state):
+def test_restart_continues(spark, tmp_path, large_state):
     batches = [[call("AB"[i % 2], f"{i}", i) for i in range(n, n + 6)] for n in range(0, 20, 4)]
     folder = tmp_path / "calls"
     codes = spark.createDataFrame(
@@ -146,9 +147,7 @@ def test_restart_continues(spark, tmp_path, mode, large_state):
         for part in (slice(0, 3), slice(3, None), slice(len(batches), None)):
             write_messages(folder, batches[part], first=part.start)
             calls = parse_calls(file_messages(spark, str(folder), max_files=2), counts.PAIR)
-            running = counts.description_counts(calls, codes)
-            keys = running.columns[:2]
-            found = run_to_table(running, mode, keys, table, checkpoint)
+            found = jobs.run_description_counts(calls, codes, table, checkpoint)
     finally:
         for key in LARGE_STATE_CONF:
             spark.conf.unset(key)
@@ -156,22 +155,120 @@ def test_restart_continues(spark, tmp_path, mode, large_state):
     assert rows(found) == rows(counts.description_counts(whole, codes))
 
 
+@pytest.mark.parametrize("changed", ["gains", "loses", "past 64", "past the bound"])
+def test_resumed_with_another_code_table(spark, tmp_path, changed):
+    def table(size, extra=()):
+        rows = [(f"{i}", f"d{i % 2}") for i in range(size)] + list(extra)
+        return spark.createDataFrame(rows, "disposition string, disposition_description string")
+
+    first, second, bounds = {
+        "gains": (table(4), table(6, [("new", "d0")]), {}),
+        "loses": (table(6), table(2), {}),
+        "past 64": (table(10), table(300), {}),
+        "past the bound": (table(4), table(50), {"max_rows": 10}),
+    }[changed]
+    folder = tmp_path / "calls"
+    path, checkpoint = scratch_dir(spark, "table"), scratch_dir(spark, "checkpoint")
+    for number, codes in enumerate((first, second)):
+        batch = [call("A", f"{i}") for i in range(number, number + 5)] + [call("A", "new")]
+        write_messages(folder, [batch], first=number)
+        calls = parse_calls(file_messages(spark, str(folder)), counts.PAIR)
+        found = jobs.run_description_counts(calls, codes, path, checkpoint, **bounds)
+        whole = parse_calls(file_messages(spark, str(folder), streaming=False), counts.PAIR)
+        assert rows(found) == rows(counts.description_counts(whole, codes))
+
+
+def test_resume_after_a_change_of_shuffle_partitions(spark, tmp_path):
+    folder, before = tmp_path / "calls", spark.conf.get("spark.sql.shuffle.partitions")
+    path, checkpoint = scratch_dir(spark, "table"), scratch_dir(spark, "checkpoint")
+    try:
+        for number, partitions in enumerate((1, 4)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            write_messages(folder, [[call("A", f"{i}") for i in range(number, number + 3)]], number)
+            calls = parse_calls(file_messages(spark, str(folder)), counts.PAIR)
+            found = run_to_table(counts.distinct_pairs(calls), "update", counts.PAIR, path, checkpoint)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rows(found) == [("A", f"{i}") for i in range(4)]
+
+
+def test_a_half_written_result_is_not_read(spark, tmp_path):
+    path, schema = str(tmp_path / "table"), spark.range(1).schema
+    assert rows(read_latest(spark, path, schema)) == []
+    write_latest(spark.range(100), path, 0)
+    write_latest(spark.range(200).repartition(4), path, 1)
+    (tmp_path / "table/slot=1/_SUCCESS").unlink()
+    assert read_latest(spark, path, schema).count() == 100
+
+
+def test_updates_replace_rows_by_key(spark, tmp_path):
+    batches = [[call("A"), call("B")], [call("A")], [call("A"), call("C")]]
+    folder = write_messages(tmp_path / "calls", batches)
+    calls = parse_calls(file_messages(spark, folder, max_files=1), [CALL_TYPE])
+    path = tmp_path / "table"
+    found = run_to_table(calls.groupBy(CALL_TYPE).count(), "update", [CALL_TYPE], str(path))
+    assert rows(found) == [("A", 3), ("B", 1), ("C", 1)]
+    assert spark.read.parquet(str(path / "slot=2")).count() == 3
+
+
+def test_tail_prints_every_message(spark, tmp_path, capsys):
+    lines = [f'{{"n": {i}}}' for i in range(3000)] + ["{bad"]
+    folder = write_messages(tmp_path / "calls", [lines])
+    jobs.start_tail(file_messages(spark, folder), AVAILABLE_NOW).awaitTermination()
+    assert capsys.readouterr().out.splitlines() == [f"None {line}" for line in lines]
+
+
+def test_printed_counts_say_what_is_left_out(spark, tmp_path, capsys):
+    folder = write_messages(tmp_path / "calls", [[call(f"t{i}", "CAN") for i in range(30)]])
+    deliver = jobs.onto_console(10)
+    run_all(
+        jobs.start_call_statistics(
+            file_messages(spark, folder), lookups.default_codes(spark), deliver, AVAILABLE_NOW
+        )
+    )
+    out = capsys.readouterr().out
+    assert out.count("20 more rows are not printed") == 2
+    assert out.count("'CAN'") == 10
+
+
+def test_an_idle_trigger_counts_0(spark, tmp_path, capsys):
+    folder = write_messages(tmp_path / "calls", [[call("A")]])
+    key = "spark.sql.streaming.noDataProgressEventInterval"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "500")
+    try:
+        query = jobs.start_call_report(file_messages(spark, folder), trigger="500 milliseconds")
+        deadline, out = time.time() + 30, ""
+        while "batch: 0" not in out and time.time() < deadline:
+            time.sleep(0.5)
+            out += capsys.readouterr().out
+        query.stop()
+    finally:
+        spark.conf.set(key, before)
+    assert "Events in this batch: 0" in out
+
+
 def test_no_input(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     calls = parse_calls(file_messages(spark, str(tmp_path / "empty")), counts.PAIR)
     assert rows(run_to_table(counts.pair_counts(calls), "complete")) == []
     assert rows(run_to_table(counts.pair_counts(calls), "update", counts.PAIR)) == []
-    assert rows(run_to_table(counts.distinct_pairs(calls), "append")) == []
+    assert rows(run_to_table(counts.distinct_pairs(calls), "update", counts.PAIR)) == []
 
 
-def test_two_queries_over_one_stream(spark, tmp_path, capsys):
+def test_two_queries_over_one_stream(spark, tmp_path):
     folder = write_messages(tmp_path / "calls", [[call("A", "CAN"), call("A", "22")]])
-    queries = jobs.start_call_statistics(
-        file_messages(spark, folder), lookups.default_codes(spark), "memory", AVAILABLE_NOW
-    )
-    run_all(queries)
-    assert rows(spark.table("pair_counts")) == [("A", "22", 1), ("A", "CAN", 1)]
-    assert rows(spark.table("description_counts")) == [("A", "Cancel", 2)]
+    found = {}
+
+    def deliver(name, result, batch_id):
+        found[name] = rows(result)
+
+    codes = lookups.default_codes(spark)
+    run_all(jobs.start_call_statistics(file_messages(spark, folder), codes, deliver, AVAILABLE_NOW))
+    assert found == {
+        "pair_counts": [("A", "22", 1), ("A", "CAN", 1)],
+        "description_counts": [("A", "Cancel", 2)],
+    }
 
 
 def test_both_tables_from_one_query(spark, tmp_path):
@@ -291,6 +388,18 @@ def test_live_counts(spark, tmp_path, capsys):
     assert sorted(_batches_since(spark, table, 2, 0)) == [0, 1]
 
 
+def test_earlier_live_batches_are_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "FOLD", 3)
+    folder = write_messages(tmp_path / "calls", [[call("A")] * (n + 1) for n in range(10)])
+    calls = parse_calls(file_messages(spark, folder, max_files=1), [CALL_TYPE])
+    table = tmp_path / "table"
+    start_live_counts(calls, str(table), AVAILABLE_NOW, report=False).awaitTermination()
+    left = sorted(int(p.name.split("=")[1]) for p in table.glob("batch_id=*"))
+    assert left == [6, 7, 8, 9]
+    counted = live_type_counts(spark, str(table))
+    assert sorted(r["count"] for r in counted.collect()) == list(range(1, 11))
+
+
 def test_live_windows(spark, capsys):
     start = START.replace(tzinfo=None)
     counted = spark.createDataFrame(
@@ -388,6 +497,11 @@ def test_kafka_options():
     assert batch["minPartitions"] == "64"
     assert "maxOffsetsPerTrigger" not in batch
     assert offsets_per_trigger(10_000, 2, 5) == 100_000
+    further = {"kafka.security.protocol": "SASL_SSL", "failOnDataLoss": "false"}
+    named = kafka_options("h:1", "t.*", pattern=True, group_prefix="g", **further)
+    assert named["subscribePattern"] == "t.*" and "subscribe" not in named
+    assert named["groupIdPrefix"] == "g" and further.items() <= named.items()
+    assert kafka_options("h:1", "t", streaming=False, ending="latest")["endingOffsets"] == "latest"
 
 
 def test_kafka_needs_its_package(spark):
@@ -398,3 +512,7 @@ def test_kafka_needs_its_package(spark):
 def test_scratch_dir_is_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark, "x").startswith(f"{shared}/callstream/x-")
+    warehouse = {"spark.sql.warehouse.dir": "/shared/warehouse/"}
+    conf = SimpleNamespace(get=lambda key, default=None: warehouse.get(key, default))
+    unset = SimpleNamespace(conf=conf)
+    assert scratch_dir(unset, "x").startswith("/shared/warehouse/callstream/x-")
