@@ -338,7 +338,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = both.join(least(both), "u").where("v > u")
+        large = large.select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = staged(large.where("a != b").distinct(), f"{label}-large")
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         small = down.join(least(down), "u")
@@ -431,7 +432,8 @@ def similar_documents(
     verified = staged(
         in_arrow(blocked, _verified(words, similarity), "a binary, b binary, links long"), "links"
     )
-    links = verified.where("b IS NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
+    links = verified.where("b IS NULL").groupBy(F.col("a").alias("set_id"))
+    links = links.agg(F.sum("links").alias("links"))
     classes = components(verified.where("b IS NOT NULL").select("a", "b"), "classes")
     named = classes.withColumnRenamed("node", "set_id").join(reps.select("set_id", "copy_of"), "set_id")
     least = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import LongType, StructType
 
 from callstream.llm.common import as_bytes, documents, in_arrow, staged
 
@@ -242,7 +242,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_RO
     rows = pieces.select(*[f"`{c}`" for c in pieces.columns if c.lower() not in gone])
     whole = rows.where(F.col("length") >= capacity)
     full = whole.select(
-        "*", (-2 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        "*",
+        (-2 - F.monotonically_increasing_id()).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
     )
     open_rows = rows.where(F.col("length") < capacity)
     count = open_rows.count()

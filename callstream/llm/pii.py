@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -155,10 +157,12 @@ def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[str, i
     """(kind, start, end, votes, features) of base spans and of wider ones that overlap none."""
     found = [(kind, s, e, *judge_span(text, kind, s, e, True)) for s, kind, e in base]
     taken = sorted((s, e) for s, _, e in base)
+    starts = [s for s, _ in taken]
+    ends = list(accumulate((e for _, e in taken), max))
     for kind, pattern in _LOOSE.items():
         for m in pattern.finditer(text):
-            low = int(np.searchsorted([s for s, _ in taken], m.end()))
-            if all(e <= m.start() for _, e in taken[:low]):
+            before = bisect_left(starts, m.end())
+            if not before or ends[before - 1] <= m.start():
                 found.append((kind, m.start(), m.end(), *judge_span(text, kind, *m.span(), False)))
     return found
 

@@ -60,12 +60,14 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "
     rows = rows.join(revisits, on, "left")
 
     def urn(column):
-        return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(">"))
+        page = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        return F.concat(F.lit("<urn:page:"), page, F.lit(">"))
 
     def line(name, value):
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
     revisit = F.col("refers_to").isNotNull()
+    profile = line("WARC-Profile", F.lit(_PROFILE))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"),
         line("Content-Length", F.octet_length("html").cast("string")),
@@ -79,11 +81,12 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"\s", "%20")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", urn("refers_to")), line("WARC-Profile", F.lit(_PROFILE)))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Refers-To", urn("refers_to")), profile)).otherwise(""),
         F.lit("Content-Type: application/http;msgtype=response\r\n"),
     )
     written = rows.select(head.alias("head"), block.alias("block"))
-    record = F.concat("head", line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"), "block")
+    length = line("Content-Length", F.octet_length("block").cast("string"))
+    record = F.concat("head", length, F.lit("\r\n"), "block")
     written.select(record.alias("value")).write.option("lineSep", _END).text(path)
 
 
@@ -299,9 +302,11 @@ def read_warc(
     an empty table. A record cut by the end of its file has null digest and is not intact.
     """
     chunks = staged(in_arrow(_scanned(spark, path), _chunks, _CHUNK), "warc-chunks")
-    used = chunks.groupBy("file", "split_start").agg(F.max(F.col("rel") + F.col("size") + len(MAGIC)).alias("used"))
-    earlier = Window.partitionBy("file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
-    bases = used.select("file", "split_start", F.coalesce(F.sum("used").over(earlier), F.lit(0)).alias("base"))
+    end = F.max(F.col("rel") + F.col("size") + len(MAGIC))
+    used = chunks.groupBy("file", "split_start").agg(end.alias("used"))
+    splits = Window.partitionBy("file").orderBy("split_start")
+    earlier = F.sum("used").over(splits.rowsBetween(Window.unboundedPreceding, -1))
+    bases = used.select("file", "split_start", F.coalesce(earlier, F.lit(0)).alias("base"))
     placed = staged(
         chunks.join(bases, ["file", "split_start"]).withColumn("at", F.col("base") + F.col("rel")),
         "warc-placed",
@@ -323,21 +328,33 @@ def read_warc(
         owned = owned.where("cut")
     if payloads or records.where("payload_digest IS NULL").limit(1).count():
         joined = _payloads(spark, path, owned).select(
-            "file", "start", "payload", F.sha1("payload").alias("joined_digest"), F.octet_length("payload").cast("long").alias("joined_bytes")
+            "file",
+            "start",
+            "payload",
+            F.sha1("payload").alias("joined_digest"),
+            F.octet_length("payload").cast("long").alias("joined_bytes"),
         )
         records = records.join(joined, ["file", "start"], "left")
     else:
         nothing = F.lit(None)
-        records = records.withColumns({"payload": nothing.cast("binary"), "joined_digest": nothing.cast("string"), "joined_bytes": nothing.cast("long")})
+        records = records.withColumns(
+            {
+                "payload": nothing.cast("binary"),
+                "joined_digest": nothing.cast("string"),
+                "joined_bytes": nothing.cast("long"),
+            }
+        )
 
     revisit = F.col("kind") == "revisit"
     digest = F.when(revisit, F.col("digest")).otherwise(F.coalesce("payload_digest", "joined_digest"))
+    length = F.coalesce("payload_bytes", "joined_bytes")
+    length = F.when(revisit, F.col("http_length")).otherwise(length)
     found = records.select(
         "file",
         F.col("start").alias("offset"),
         F.col("kind").alias("record_type"),
         F.regexp_extract("page", r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long").alias("page_id"),
-        F.when(revisit, F.col("http_length")).otherwise(F.coalesce("payload_bytes", "joined_bytes")).alias("payload_bytes"),
+        length.alias("payload_bytes"),
         digest.alias("payload_digest"),
         F.regexp_extract("refers_to", r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long").alias("refers_to"),
         (digest == F.col("digest")).alias("intact"),
