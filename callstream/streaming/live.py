@@ -12,7 +12,8 @@ from callstream.operators.microbatch import fill_empty_batches, windowed_batch_c
 from callstream.schemas import CALL_TYPE
 from callstream.streaming.queries import start_query
 from callstream.streaming.sinks import show_batch
-from callstream.streaming.tables import committed, drop_folder
+from callstream.streaming.tables import committed
+from callstream.workspace import drop_folder
 
 _SCHEMA = f"batch_end timestamp, {CALL_TYPE} string, count long"
 _MICROS = 1_000_000

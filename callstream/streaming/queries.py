@@ -85,9 +85,7 @@ def run_to_table(
         if mode == "complete":
             write_latest(batch, path, batch_id)
         else:
-            kept = batch.persist()  # used twice: else the micro-batch would run twice
-            merge_latest(spark, kept, path, batch_id, keys)
-            kept.unpersist()
+            merge_latest(spark, batch, path, batch_id, keys)
 
     start_query(df, mode, write, AVAILABLE_NOW, checkpoint).awaitTermination()
     return read_latest(spark, path, df.schema)

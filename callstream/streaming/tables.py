@@ -3,60 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import StructType
+
+from callstream.workspace import hadoop_path
 
-_BATCH = "_batch"
 #: Results kept: a reader has the time of two further batches before its own goes.
 _SLOTS = 4
 
 
-def _hadoop(spark: SparkSession, path: str):
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
+def finished_at(spark: SparkSession, folder: str) -> int | None:
+    """When Spark finished writing ``folder``, in milliseconds; None if it has not."""
+    files, marker = hadoop_path(spark, f"{folder}/_SUCCESS")
+    return files.getFileStatus(marker).getModificationTime() if files.exists(marker) else None
 
 
 def committed(spark: SparkSession, folder: str) -> bool:
-    """Whether Spark has finished writing ``folder``."""
-    files, marker = _hadoop(spark, f"{folder}/_SUCCESS")
-    return files.exists(marker)
-
+    return finished_at(spark, folder) is not None
 
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    files, path = _hadoop(spark, folder)
-    files.delete(path, True)
 
-
-def write_latest(result: DataFrame, path: str, batch_id: int) -> None:
+def write_latest(result: DataFrame, path: str, batch_id: int) -> str:
     """Replace the oldest of some folders, so that the last whole results stay while the
-    next one is written. A repeated batch replaces itself."""
-    rows = result.withColumn(_BATCH, F.lit(batch_id).cast("long"))
-    rows.write.mode("overwrite").parquet(f"{path}/slot={batch_id % _SLOTS}")
+    next one is written. A repeated batch replaces itself. Returns the folder."""
+    folder = f"{path}/slot={batch_id % _SLOTS}"
+    result.write.mode("overwrite").parquet(folder)
+    return folder
 
 
 def read_latest(
     spark: SparkSession, path: str, schema: StructType, before: int | None = None
 ) -> DataFrame:
-    """The result of the last batch written whole (of those before batch ``before``)."""
-    stored = StructType([*schema.fields]).add(_BATCH, LongType())
-    newest, found = -1, None
-    for slot in range(_SLOTS):
-        folder = f"{path}/slot={slot}"
-        if not committed(spark, folder):
-            continue
-        rows = spark.read.schema(stored).parquet(folder)
-        batch = rows.agg(F.max(_BATCH)).first()[0]
-        if batch is not None and batch > newest and (before is None or batch < before):
-            newest, found = batch, rows
-    if found is None:
+    """The result of the last batch written whole (before batch ``before`` is written, once
+    more perhaps). Empty if there is none."""
+    slots = [slot for slot in range(_SLOTS) if before is None or slot != before % _SLOTS]
+    times = {folder: finished_at(spark, folder) for folder in (f"{path}/slot={s}" for s in slots)}
+    whole = {folder: at for folder, at in times.items() if at is not None}
+    if not whole:
         return spark.createDataFrame([], schema)
-    return found.select(*schema.names)
+    return spark.read.schema(schema).parquet(max(whole, key=whole.get))
 
 
 def merge_latest(
     spark: SparkSession, batch: DataFrame, path: str, batch_id: int, keys: list[str]
 ) -> None:
-    """The latest result with the rows of ``batch`` in place of those with equal ``keys``."""
+    """The latest result with the rows of ``batch`` in place of those with equal ``keys``.
+
+    The batch is written first, as it is read twice and a micro-batch should run once.
+    """
+    folder = write_latest(batch, f"{path}/_changes", batch_id)
+    batch = spark.read.schema(batch.schema).parquet(folder)
     earlier = read_latest(spark, path, batch.schema, before=batch_id)
     same = [earlier[key].eqNullSafe(batch[key]) for key in keys]
     kept = earlier.join(batch, same, "left_anti")

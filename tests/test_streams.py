@@ -11,6 +11,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from callstream import workspace
 from callstream.functions.messages import parse_calls
 from callstream.operators import counts, lookups, windows
 from callstream.plans import jobs
@@ -42,7 +43,7 @@ from callstream.streaming.live import (
     start_live_counts,
 )
 from callstream.streaming.queries import AVAILABLE_NOW, LARGE_STATE_CONF
-from callstream.workspace import scratch_dir
+from callstream.workspace import clear_scratch, scratch_dir
 from helpers import START, call, rows, write_messages
 
 LENGTH, SLIDE, DELAY = 10, 5, 20  # minutes
@@ -516,3 +517,12 @@ def test_scratch_dir_is_in_the_shared_folder(spark):
     conf = SimpleNamespace(get=lambda key, default=None: warehouse.get(key, default))
     unset = SimpleNamespace(conf=conf)
     assert scratch_dir(unset, "x").startswith("/shared/warehouse/callstream/x-")
+
+
+def test_scratch_folders_are_dropped(spark, monkeypatch):
+    monkeypatch.setattr(workspace, "_FOLDERS", [])
+    folder = scratch_dir(spark, "x")
+    spark.range(3).write.parquet(folder)
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
