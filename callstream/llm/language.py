@@ -23,6 +23,9 @@ MARGIN_DOCUMENTS = 400
 #: Bytes of the dictionary that are encoded before each text: a short text by itself would be
 #: stored as it is, with the same size for all languages.
 LEAD_BYTES = 256
+#: Bytes of text that are encoded at a time, afresh: a longer text would be encoded by what it
+#: repeats of itself, and the dictionary would leave the window.
+PIECE_BYTES = 8 * 1024
 #: A lead below this is always too narrow; ties have none.
 LEAST_MARGIN = 0.002
 ADDED = ("lang_pred", "score", "rejected")
@@ -58,7 +61,10 @@ class Languages:
         return self.__dict__ | {"_ready": []}
 
     def sizes(self, text: str) -> list[int]:
-        """Bytes that the text, in lower case, adds to the encoding of each language's lead."""
+        """Bytes that the text, in lower case, adds to the encoding of each language's lead.
+
+        Each piece of PIECE_BYTES is encoded by itself and the sizes are added up.
+        """
         if not self._ready:
             parameters = _parameters()
             for sample in self.samples.values():
@@ -72,7 +78,11 @@ class Languages:
                 lead = sample[:LEAD_BYTES]
                 self._ready.append((encoder, lead, len(encoder.compress(lead))))
         data = folded(text)
-        return [len(encoder.compress(lead + data)) - own for encoder, lead, own in self._ready]
+        pieces = [data[at : at + PIECE_BYTES] for at in range(0, len(data), PIECE_BYTES)]
+        return [
+            sum(len(encoder.compress(lead + piece)) - own for piece in pieces)
+            for encoder, lead, own in self._ready
+        ]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, lead of the smallest size over the next (0 to 1), whether it is too narrow."""
@@ -177,8 +187,8 @@ def _predicted(shared) -> Callable:
 def identify_languages(docs: DataFrame, model: Languages) -> DataFrame:
     """The documents with ``lang_pred``, ``score`` and ``rejected``.
 
-    The whole text is compressed with each language's dictionary; the smallest result names
-    the language, and the text is rejected if its lead is narrower than the model's margin.
+    The whole text is compressed, piece by piece, with each language's dictionary; the smallest
+    sum of sizes names the language, and the text is rejected if its lead is narrower than the model's margin.
     A null text or one without a letter is ``und``, score 0, rejected; so are all texts if no
     language was learned. Equal texts get equal results; an empty table gives an empty table.
     Input columns with the added names are replaced.

@@ -54,6 +54,20 @@ def test_a_text_between_languages_has_a_narrow_lead(spark, make_docs):
     assert model.predict(mixed)[1] < model.predict(plain)[1]
 
 
+def test_a_clean_text_of_megabytes_is_not_rejected(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("held", held_out_fold(F.col("doc_id")))
+    model = learn_languages(docs.where("NOT held").drop("held"))
+    rows = docs.where("held AND lang IS NOT NULL").orderBy("doc_id").select("lang", "text").collect()
+    for lang in model.samples:
+        words = " ".join(r["text"] for r in rows if r["lang"] == lang).split()
+        random.Random(3).shuffle(words)
+        short = model.predict(" ".join(words[:1500]))
+        long = model.predict(" ".join(random.Random(4).choices(words, k=300_000)))
+        assert (short[0], short[2]) == (lang, False)
+        assert (long[0], long[2]) == (lang, False)
+        assert long[1] > 0.5 * short[1]
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumn("held", held_out_fold(F.col("doc_id")))
     model = learn_languages(docs.where("NOT held"))
