@@ -115,9 +115,10 @@ def learn_languages(
 
     All rows are counted; of each language, documents enter the sample by the hash of their id
     until about ``dictionary_bytes`` and ``margin_documents`` are met. The dictionary takes a
-    stretch of each sampled text, so that long ones do not fill it. The margin is the largest
-    that rejects at most the share ``lost`` of the sampled documents, not in a dictionary,
-    whose language is predicted rightly. Ties go to the language with more documents.
+    stretch of each sampled text, so that long ones do not fill it, and of a small sample at
+    least half the texts. The margin is the largest that rejects at most the share ``lost`` of
+    the sampled documents, not in a dictionary, whose language is predicted rightly. Ties go to
+    the language with more documents.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text != ''")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -142,7 +143,7 @@ def learn_languages(
         found.sort()
         parts: list[bytes] = []
         used = size = 0
-        limit = max(1, len(found) - margin_documents // 2)
+        limit = max(1, len(found) // 2, len(found) - margin_documents // 2)
         for draw_at, text in found[:limit]:
             if size >= share:
                 break

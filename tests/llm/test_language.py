@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from callstream.llm.common import documents
@@ -68,6 +69,18 @@ def test_a_clean_text_of_megabytes_is_not_rejected(spark, sf_dir):
         assert long[1] > 0.5 * short[1]
 
 
+@pytest.mark.parametrize("labelled", [50, 200])
+def test_a_rare_language_is_learned_beside_large_ones(spark, labelled):
+    docs = documents(spark, "/root/testdata/sf0.1").withColumn("held", held_out_fold(F.col("doc_id")))
+    rare = docs.where("lang = 'es' AND text != ''").dropDuplicates(["text"])
+    drawn = rare.orderBy(F.xxhash64(F.lit(77), "doc_id")).limit(labelled + 225).collect()
+    known, unseen = drawn[:labelled], [r["text"] for r in drawn[labelled:]]
+    known = docs.where(F.col("doc_id").isin([r["doc_id"] for r in known]))
+    model = learn_languages(docs.where("NOT held AND lang != 'es'").unionByName(known).drop("held"))
+    right = [found == "es" and not narrow for found, _, narrow in map(model.predict, unseen)]
+    assert sum(right) >= 0.97 * len(right)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumn("held", held_out_fold(F.col("doc_id")))
     model = learn_languages(docs.where("NOT held"))
