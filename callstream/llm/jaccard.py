@@ -357,7 +357,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 def _candidate_edges(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
     """(a, b) stars over sets that meet in a bucket and whose samples agree."""
-    runs = runs_needed(similarity, recall)
+    runs = runs_needed(similarity, recall, LEVELS)
     some = reps.where("size > 0").select("set_id", "sample")
     schema = "path long, set_id binary"
     rows = staged(in_arrow(some, _first_paths(runs, similarity), schema), "paths")

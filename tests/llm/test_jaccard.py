@@ -105,3 +105,13 @@ def test_components_of_long_chains(spark):
 
 def test_runs_follow_the_recall():
     assert jaccard.runs_needed(0.8, 0.9) < jaccard.runs_needed(0.8, 0.999) < jaccard.runs_needed(0.8, 0.999, 3)
+
+
+def test_pairs_that_meet_at_the_last_level(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 1)  # each shared bucket is split over all levels
+    pairs, rows = 5000, []
+    for pair in range(pairs):
+        words = [f"{pair}w{at}" for at in range(104)]  # 80 of 100 shingles in common
+        rows += [(2 * pair, " ".join(words[:94])), (2 * pair + 1, " ".join(words[10:]))]
+    linked = jaccard.similar_documents(make_docs(rows)).where("n_links = 1").count() // 2
+    assert pairs - linked <= 2 * pairs * (1 - jaccard.RECALL)
