@@ -83,50 +83,45 @@ def fingerprint(sketch: Column) -> Column:
     return F.concat_ws(":", sketch["scale"].cast("string"), F.array_join(digits, ""))
 
 
-def with_previous(docs: DataFrame) -> DataFrame:
+def with_previous(docs: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, previous_id, previous_chars) by ascending id; before the first comes the last.
 
     The ids are range-partitioned; across the borders of partitions a table of one row per
-    partition is used. Rows with a null id are left out; ids are expected to be unique.
+    partition is used. Rows with a null id are left out; ids are expected to be unique, or with
+    ``key``, a column that orders rows of one id, pairs of both; ``previous_key`` is added then.
     """
     chars = F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("chars")
+    names = ["doc_id", *([key] if key else [])]
     ranged = staged(
         docs.where("doc_id IS NOT NULL")
-        .select("doc_id", chars)
-        .repartitionByRange("doc_id")
+        .select(*names, chars)
+        .repartitionByRange(*names)
         .withColumn("part", F.spark_partition_id()),
         "ranged-ids",
     )
-    here = F.struct("doc_id", "chars")
+    here = F.struct(*names, "chars")
     ends = ranged.groupBy("part").agg(F.max(here).alias("end"))
     order = Window.orderBy("part")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     border = F.coalesce(F.lag("end").over(order), F.last("end").over(everything))
     borders = staged(ends.select("part", border.alias("border")), "range-borders")
-    inside = F.lag(here).over(Window.partitionBy("part").orderBy("doc_id"))
+    inside = F.lag(here).over(Window.partitionBy("part").orderBy(*names))
     return (
         ranged.withColumn("inside", inside)
         .join(F.broadcast(borders), "part")
         .withColumn("previous", F.coalesce("inside", "border"))
         .select(
-            "doc_id",
+            *names,
             F.col("previous.doc_id").alias("previous_id"),
+            *([F.col(f"previous.{key}").alias("previous_key")] if key else []),
             F.col("previous.chars").alias("previous_chars"),
         )
     )
 
 
-def op4_scaled_sketch(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = staged(with_previous(docs), "previous-ids")
-    # Each document sends its own sketch and the start of its text to the one before it.
-    sent = docs.join(order, "doc_id")
-    sent = with_sketch(sent, "text", "next_sketch").select(
-        F.col("previous_id").alias("doc_id"),
-        F.substring("text", F.lit(1), F.floor(F.col("previous_chars") / 4).cast("int")).alias("start"),
-        "next_sketch",
-    )
-    rows = docs.join(sent, "doc_id").withColumn("n_chars", F.char_length("text").cast("long"))
+def _described(rows: DataFrame, *kept: str) -> DataFrame:
+    """Results of rows with ``text``, ``start`` (of the next text) and ``next_sketch``."""
+    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     left = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), left), "start"))
     rows = with_sketch(with_sketch(rows, "text", "own"), "edited", "changed")
@@ -139,4 +134,63 @@ def op4_scaled_sketch(spark, sf_dir):
         fingerprint(changed).alias("edited_fingerprint"),
         similarity(own, changed).alias("near_edited"),
         similarity(own, F.col("next_sketch")).alias("near_next"),
+        *kept,
+    )
+
+
+def _without_next(docs: DataFrame) -> DataFrame:
+    """Results of rows that have no next one: null but for the row's own."""
+    rows = with_sketch(docs, "text", "own")
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.lit(None).cast("string").alias("edited_sha256"),
+        fingerprint(F.col("own")).alias("fingerprint"),
+        F.lit(None).cast("string").alias("edited_fingerprint"),
+        F.lit(None).cast("double").alias("near_edited"),
+        F.lit(None).cast("double").alias("near_next"),
+    )
+
+
+def describe_beside_next(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: its fingerprint, and what becomes of both when it is edited.
+
+    The edited text is the text with its last quarter replaced by the start of the next one, by
+    ascending id; the last row's next is the first. Rows that repeat an id are in the order of
+    the hashes of their texts; of rows that repeat the text too, all but the last are followed
+    by a copy of themselves. Rows with a null id have no place in the order: their columns of
+    the edit and of the next text are null. A null text counts as empty.
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    placed = docs.where("doc_id IS NOT NULL")
+    nameless = _without_next(docs.where("doc_id IS NULL"))
+    repeated = placed.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    copies = None
+    names = ["doc_id"]
+    if repeated:
+        names.append("key")
+        placed = placed.withColumn("key", F.xxhash64("text"))
+        many = staged(placed.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+        single = placed.join(many, names, "left_anti")
+        whole = placed.join(many, names).dropDuplicates(names)
+        copied = whole.withColumn(
+            "start", F.substring("text", F.lit(1), F.floor(F.char_length("text") / 4).cast("int"))
+        )
+        copied = _described(with_sketch(copied, "text", "next_sketch"), "n")
+        copies = copied.withColumn("n", F.explode(F.sequence(F.lit(2).cast("long"), "n"))).drop("n")
+        placed = single.unionByName(whole.drop("n"))
+    order = staged(with_previous(placed, *names[1:]), "previous-ids")
+    # Each document sends its own sketch and the start of its text to the one before it.
+    sent = with_sketch(placed.join(order, names), "text", "next_sketch").select(
+        F.col("previous_id").alias("doc_id"),
+        *[F.col("previous_key").alias(name) for name in names[1:]],
+        F.substring("text", F.lit(1), F.floor(F.col("previous_chars") / 4).cast("int")).alias("start"),
+        "next_sketch",
     )
+    found = _described(placed.join(sent, names)).unionByName(nameless)
+    return found.unionByName(copies) if copies is not None else found
+
+
+def op4_scaled_sketch(spark, sf_dir):
+    """Every row of ``documents`` gives one row, also with a null or a repeated ``doc_id``."""
+    return describe_beside_next(documents(spark, sf_dir))

@@ -89,3 +89,29 @@ def test_order_of_ids(spark):
         doc: (before, before + 4) for doc, before in zip(order, order[-1:] + order[:-1])
     }
     assert sketches.with_previous(df.limit(0)).collect() == []
+
+
+def test_every_row_gives_one_row(spark, tmp_path):
+    rng = random.Random(10)
+    one, other, third, lost = (prose(rng, n) for n in (40, 60, 80, 30))
+    rows = [(1, one), (2, one), (2, other), (2, other), (2, other), (3, third), (None, lost), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    found = sketches.op4_scaled_sketch(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in found) == sorted((d or 0, len(t or "")) for d, t in rows)
+    hashes = {r["text"]: r["key"] for r in df.select("text", F.xxhash64("text").alias("key")).collect()}
+    texts = sorted(((d, t) for d, t in rows if d), key=lambda row: (row[0], hashes[row[1]]))
+    expected = []
+    for at, (doc, text) in enumerate(texts):
+        after = texts[(at + 1) % len(texts)][1]
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        near = jaccard(shingles(text), shingles(edited)), jaccard(shingles(text), shingles(after))
+        expected.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), *near))
+    names = ("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next")
+    assert sorted(tuple(r[n] for n in names) for r in found if r["doc_id"]) == sorted(expected)
+    prints = {(r["n_chars"], r["fingerprint"]) for r in found if r["doc_id"] == 2}
+    assert len(prints) == 2
+    for r in found:
+        if r["doc_id"] is None:
+            assert r["fingerprint"].startswith("1:") and r["n_chars"] in (0, len(lost))
+            assert [r[n] for n in names[2:]] == [None] * 3 and r["edited_fingerprint"] is None
