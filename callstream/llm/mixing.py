@@ -146,10 +146,11 @@ WITH sizes AS (
       * (sum(size) OVER ())::DOUBLE / size
     ELSE 1.0 END AS rate
   FROM sizes
+), counts AS (
+  SELECT source, rate, unnest(range(0, floor(rate + 12 * sqrt(rate) + 40)::BIGINT + 1)) AS k
+  FROM rates
 ), pmf AS (
-  SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1.0)) AS p
-  FROM rates, range(0, 2000) AS ks(k)
-  WHERE k <= rate + 12 * sqrt(rate) + 40
+  SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1.0)) AS p FROM counts
 ), cdf AS (
   SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf
 ), drawn AS (

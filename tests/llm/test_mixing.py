@@ -4,9 +4,10 @@ import hashlib
 import math
 from collections import Counter
 
+import duckdb
 import pytest
 
-from callstream.llm.mixing import mix_sources, poisson_steps
+from callstream.llm.mixing import OP10_SQL, mix_sources, op10_poisson_mix, poisson_steps
 
 
 def draw(doc_id, seed=17):
@@ -82,3 +83,14 @@ def test_poisson_steps(rate):
             assert found == copies(rate, u)
         else:
             assert abs(found - rate) < 12 * math.sqrt(rate) + 41
+
+
+def test_sql_of_a_tiny_source(spark, make_docs, tmp_path):
+    docs = [(doc, "x" * 4_000_000, "en", "web") for doc in range(4)] + [(9, "a", "en", "tiny")]
+    make_docs(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    expected = connection.execute(f"select doc_id, copy, mix_key from ({OP10_SQL})").fetchall()
+    found = op10_poisson_mix(spark, str(tmp_path)).select("doc_id", "copy", "mix_key").collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+    assert sum(doc == 9 for doc, *_ in expected) > 3000
