@@ -12,6 +12,7 @@ from callstream.llm import (
     quality,
     sharding,
     sketches,
+    spelling,
     warc,
 )
 
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_chosen_path": jaccard.op8_chosen_path,
     "op9_warc": warc.op9_warc,
     "op10_poisson_mix": mixing.op10_poisson_mix,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES = {
     "op2_line_dedup": lines.OP2_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
