@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from callstream.llm import (
+    conversations,
     jaccard,
     language,
     lines,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_chosen_path": jaccard.op8_chosen_path,
     "op9_warc": warc.op9_warc,
     "op10_poisson_mix": mixing.op10_poisson_mix,
+    "op12_viterbi": conversations.op12_viterbi,
     "op13_spelling": spelling.op13_spelling,
 }
 
@@ -34,5 +36,6 @@ ORACLES = {
     "op2_line_dedup": lines.OP2_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
+    "op12_viterbi": conversations.OP12_SQL,
     "op13_spelling": spelling.OP13_SQL,
 }

@@ -1,0 +1,196 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from itertools import product
+
+import pytest
+
+from callstream.llm import conversations as op
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def faults(rows):
+    """(turn, role, text, fault) in order, of rows with nulls already filled."""
+    out, seen = [], set()
+    for turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode())):
+        fault = None
+        if not text.strip(BLANK):
+            fault = "blank"
+        elif (role, text) in seen:
+            fault = "duplicate"
+        elif text.rstrip(BLANK)[-1] not in ".!?":
+            fault = "truncated"
+        seen.add((role, text))
+        out.append((turn, role, text, fault))
+    return out
+
+
+def brute(rows):
+    """All courses of edits of up to two inserts between rows, the least by cost and letters."""
+    rows = faults(rows)
+    if not rows:
+        return (0,) * 6 + ("", hashlib.sha256().hexdigest())
+    gaps = [[]] + [[x] for x in "ua"] + [[x, y] for x in "ua" for y in "ua"]
+    best = None
+    for own in product(*[("D",) if r[3] in ("blank", "duplicate") else ("K", "D", "Ru", "Ra") for r in rows]):
+        for inserts in product(gaps, repeat=len(rows) + 1):
+            roles, letters, cost, lines = "", "", 0, []
+            for at in range(len(rows) + 1):
+                for x in inserts[at]:
+                    roles, letters, cost = roles + x, letters + "I", cost + 2
+                    lines.append({"u": "user:", "a": "assistant:"}[x])
+                if at == len(rows):
+                    break
+                turn, role, text, fault = rows[at]
+                letters += own[at][0]
+                if own[at] == "D":
+                    cost += 3
+                    continue
+                if own[at] != "K":
+                    role = {"u": "user", "a": "assistant"}[own[at][1]]
+                    cost += 2
+                cost += fault == "truncated"
+                roles += role[:1] or "?"
+                lines.append(f"{role}:{text}")
+            if re.fullmatch("(s?(ua)+)?", roles) and (best is None or (cost, letters) < best[:2]):
+                best = (cost, letters, "\n".join(lines))
+    turns = {r[0] for r in rows} - {None}
+    count = [sum(r[3] == f for r in rows) for f in ("blank", "duplicate", "truncated")]
+    pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:])]
+    illegal = sum(p not in ("su", "ua", "au") for p in pairs)
+    gap = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    return (gap, *count, illegal, best[0], best[1], hashlib.sha256(best[2].encode()).hexdigest())
+
+
+def digests(spark, rows):
+    edits = op.repair_conversations(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    schema = "conv_id long, " + ", ".join(f"{c} long" for c in op._COUNTS) + ", audit string, repaired_sha256 string"
+    return {r[0]: tuple(r)[1:] for r in op.in_arrow(edits, op._digested, schema).collect()}
+
+
+def test_against_all_courses(spark):
+    rng = random.Random(4)
+    texts = ["One.", "Two!", "cut", "", " \n", "Three? \t", None]
+    roles = ["system", "user", "assistant", "tool", "", None]
+    conversations, expected = [], {}
+    for conv in range(60):
+        rows = [
+            (rng.choice([None, 0, 1, 2, 5]), rng.choices(roles, [2, 6, 6, 1, 1, 1])[0], rng.choice(texts))
+            for _ in range(rng.randint(1, 3))
+        ]
+        conversations += [(conv, *r) for r in rows]
+        filled = [(t, " " if r is None else r, " " if x is None else x) for t, r, x in rows]
+        expected[conv] = brute(filled)
+    assert digests(spark, conversations) == expected
+
+
+def plain(rows):
+    """The same search without the tree: whole audit strings per state."""
+    best = {0: (0, "")}
+
+    def closed(best):
+        for state, sources in ((2, (0, 1, 3)), (3, (2,))):
+            for s in sources:
+                if s in best:
+                    way = (best[s][0] + 2, best[s][1] + "I")
+                    best[state] = min(best.get(state, way), way)
+        return best
+
+    for _, role, _, fault in faults(rows):
+        found = {}
+        for state, (cost, letters) in closed(best).items():
+            ways = [(state, 3, "D")]
+            if fault not in ("blank", "duplicate"):
+                late = fault == "truncated"
+                keep = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}.get(role[:1], {}).get(state)
+                ways += [(keep, late, "K")] if keep else []
+                ways.append((3 if state == 2 else 2, 2 + late, "R"))
+            for to, more, letter in ways:
+                way = (cost + more, letters + letter)
+                found[to] = min(found.get(to, way), way)
+        best = found
+    return min(v for k, v in closed(best).items() if k in (0, 3))
+
+
+@pytest.mark.parametrize("weights", [(1, 8, 8), (1, 20, 1), (0, 1, 0), (3, 1, 6)])
+def test_long_conversations(spark, weights):
+    rng = random.Random(sum(weights))
+    rows = []
+    for conv in range(12):
+        for turn in range(rng.randint(60, 200)):
+            role = rng.choices(["system", "user", "assistant"], weights)[0]
+            rows.append((conv, turn, role, rng.choice(["yes.", f"t{turn}.", f"t{turn}", f"t{turn}!", ""])))
+    found = digests(spark, rows)
+    for conv in range(12):
+        assert found[conv][5:7] == plain([r[1:] for r in rows if r[0] == conv])
+
+
+def test_settled_edits_are_not_kept():
+    search, held = op.Survivors(), 0
+    for turn in range(20_000):
+        role = "user" if turn % 2 == 0 or turn % 97 == 0 else "assistant"
+        search.step((turn, role, f"{turn}.", None))
+        nodes, open_nodes = 0, [search.root]
+        while open_nodes:
+            nodes += 1
+            open_nodes += open_nodes.pop().children
+        held = max(held, nodes)
+    assert held < 100
+
+
+def test_edges(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert op.repair_conversations(empty).collect() == []
+    long = "word " * 200_000 + "."
+    rows = [
+        (None, None, None, None),
+        (None, None, "user", long),
+        (None, 3, "assistant", "Yes."),
+        (7, 1, "user", "Hello."),
+        (7, 1, "user", "Hello."),
+        (7, 9, "assistant", "Well."),
+    ]
+    clash = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", fault string, place long")
+    found = op.repair_conversations(clash).orderBy("conv_id", "place").collect()
+    assert [(r["conv_id"], r["edit"], r["role"]) for r in found] == [
+        (None, "D", None),
+        (None, "K", "user"),
+        (None, "K", "assistant"),
+        (7, "K", "user"),
+        (7, "D", None),
+        (7, "K", "assistant"),
+    ]
+    assert found[1]["text"] == long and found[4]["fault"] == "duplicate"
+
+
+def test_query(spark, tmp_path):
+    """Damage, faults and repair of the registered query, nulls and dropped rows included."""
+    rng = random.Random(9)
+    rows = [
+        (conv, rng.choice([turn, turn, None]), rng.choice(["user", "assistant", None]), rng.choice(["A.", "b", None, "C! d?"]))
+        for conv in [None, *range(400)]
+        for turn in range(rng.randint(1, 3))
+    ]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    expected = {}
+    for conv in {r[0] for r in rows}:
+        after = []
+        for _, turn, role, text in [r for r in rows if r[0] == conv]:
+            role, text = " " if role is None else role, " " if text is None else text
+            key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+            fault = zlib.crc32(key.encode()) % 20
+            text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+            role = "user" if fault == 4 else role
+            after += [(turn, role, text)] * {0: 0, 3: 2}.get(fault, 1)
+        if len(after) < 3:
+            expected[conv] = brute(after)
+    found = op.op12_viterbi(spark, str(tmp_path))
+    assert found.columns == ["conv_id", *op._DIGEST]
+    got = {r[0]: tuple(r)[1:] for r in found.collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert {k: v for k, v in got.items() if k in expected} == expected
