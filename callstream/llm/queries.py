@@ -7,6 +7,7 @@ from callstream.llm import (
     jaccard,
     language,
     lines,
+    minhash,
     mixing,
     packing,
     pii,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_chosen_path": jaccard.op8_chosen_path,
     "op9_warc": warc.op9_warc,
     "op10_poisson_mix": mixing.op10_poisson_mix,
+    "op11_one_permutation": minhash.op11_one_permutation,
     "op12_viterbi": conversations.op12_viterbi,
     "op13_spelling": spelling.op13_spelling,
 }
@@ -36,6 +38,7 @@ ORACLES = {
     "op2_line_dedup": lines.OP2_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
+    "op11_one_permutation": minhash.OP11_SQL,
     "op12_viterbi": conversations.OP12_SQL,
     "op13_spelling": spelling.OP13_SQL,
 }
