@@ -21,13 +21,16 @@ PERCENT = 80
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-#: Share of equal bins from which a pair is verified: 0.25 below the threshold, seven standard
-#: deviations of 128 bins.
-PLAUSIBLE = 0.55
-#: Sets that one task compares with each other (or with as many others).
-BUCKET = 512
+#: Share of equal bins from which a pair is verified: five standard deviations of 128 bins below
+#: the threshold.
+PLAUSIBLE = 0.62
+#: Signatures that one task compares with each other (or with as many others), and full sets.
+BUCKET = 1_024
+GROUP = 512
+#: Blocks from which a bucket is split by its other bands: beyond, a split copies less.
+BLOCKS = BANDS
 #: Members that one task compares with a hub.
-STAR = 2_048
+STAR = 256
 #: Rows up to which the ids of wanted texts are broadcast: 16 MB of longs.
 BROADCAST_IDS = 2_000_000
 
@@ -106,30 +109,44 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, band, node, part, signature) of large buckets to rows of the buckets that a further
-    band makes of them. Two sets that share several bands meet by the first two."""
+    """(key, band, node, part, size, signature) of large buckets to rows of the buckets that a
+    further band makes of them. Two sets that share several bands meet by the first two."""
     for batch in batches:
-        keys = band_keys(_matrix(batch.column(4)))
+        keys = band_keys(_matrix(batch.column(5)))
         own = np.asarray(batch.column(0)).view(np.uint64)
-        later = np.arange(BANDS)[None, :] > np.asarray(batch.column(1))[:, None]
-        rows, bands = np.nonzero(later)
+        first = np.asarray(batch.column(1))
+        rows, bands = np.nonzero(np.arange(BANDS)[None, :] > first[:, None])
         found = mix(keys[rows, bands] ^ mix(own[rows] + np.uint64(1)))
         take = pa.array(rows)
+        both = pa.array((first[rows] + 1) * BANDS + bands, pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(found.view(np.int64)), *(batch.column(k).take(take) for k in (2, 3, 4))],
-            names=["key", "node", "part", "signature"],
+            [pa.array(found.view(np.int64)), both, *(batch.column(k).take(take) for k in (2, 3, 4, 5))],
+            names=["key", "band", "node", "part", "size", "signature"],
         )
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, node, hub's signature, node's) to (hub, node, equal bins) of plausible pairs."""
-    for batch in batches:
-        equal = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(axis=1)
-        keep = pa.array(np.flatnonzero(equal >= PLAUSIBLE * BINS))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(keep), batch.column(1).take(keep), pa.array(equal).take(keep)],
-            names=["hub", "node", "equal"],
-        )
+def _alike(one: np.ndarray, two: np.ndarray, size: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of signatures, and of set sizes, a link can have."""
+    fits = 100 * np.minimum(size, sizes) >= percent * np.maximum(size, sizes)
+    return fits & ((one == two).sum(axis=1) >= PLAUSIBLE * BINS)
+
+
+def _agreeing(percent: int) -> Callable:
+    """(hub, node, sizes and signatures of both) to (hub, node, equal bins) of plausible pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.asarray(batch.column(k)) for k in (2, 3)]
+            both = [_matrix(batch.column(k)) for k in (4, 5)]
+            keep = np.flatnonzero(_alike(*both, *sizes, percent))
+            equal = (both[0][keep] == both[1][keep]).sum(axis=1)
+            take = pa.array(keep)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(equal, pa.int64())],
+                names=["hub", "node", "equal"],
+            )
+
+    return run
 
 
 def _linked(common, sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
@@ -194,39 +211,51 @@ def _apart(rows: pa.RecordBatch, part: np.ndarray) -> np.ndarray:
     return apart
 
 
-def _still_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a bucket that agree with one of another part: (cluster, node, part).
+def _met_here(one: np.ndarray, others: np.ndarray, band: int) -> np.ndarray:
+    """Whether this bucket's band (or pair of bands) is the first that the sets share: of the
+    buckets that hold a pair, one looks at it."""
+    same = one[None, :] == others
+    first = same.argmax(axis=1)
+    if band < BANDS:
+        return first == band
+    same[np.arange(len(others)), first] = False
+    return (first == band // BANDS - 1) & (same.argmax(axis=1) == band % BANDS) & same.any(axis=1)
 
-    A cluster is what such pairs connect, named by its members: the same one from several
-    buckets is the same cluster.
+
+def _still_apart(percent: int) -> Callable:
+    """Members of a bucket that agree with one of another part: (group, node, part).
+
+    A group is what such pairs connect, named by its members.
     """
-    for rows in _groups(batches, 3):
-        nodes = rows.column(4).to_numpy()
-        part = rows.column(5).to_numpy()
-        signatures = _matrix(rows.column(6))
-        if (part == part[0]).all():
-            continue
-        close = _apart(rows, part)
-        for at in range(len(nodes) - 1):
-            wanted = np.flatnonzero(close[at, at + 1 :]) + at + 1
-            equal = (signatures[wanted] == signatures[at]).sum(axis=1)
-            close[at, wanted] = equal >= PLAUSIBLE * BINS
-        left, right = np.nonzero(np.triu(close, 1))
-        clusters: dict[int, list[int]] = {}
-        for first, other in spanning_stars(len(nodes), left, right):
-            clusters.setdefault(first, [first]).append(other)
-        for members in clusters.values():
-            ids = np.sort(nodes[members])
-            order = {node: p for node, p in zip(nodes[members].tolist(), part[members].tolist())}
-            name = xxhash.xxh3_64_intdigest(ids.tobytes()) >> 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(ids), name, np.int64)),
-                    pa.array(ids),
-                    pa.array([order[i] for i in ids.tolist()], pa.int64()),
-                ],
-                names=["group", "node", "part"],
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            nodes, part = rows.column(4).to_numpy(), rows.column(5).to_numpy()
+            size, signatures = rows.column(6).to_numpy(), _matrix(rows.column(7))
+            if (part == part[0]).all():
+                continue
+            band = rows.column(8)[0].as_py()
+            bands = np.ascontiguousarray(signatures).view(np.uint64)
+            close = np.triu(_apart(rows, part), 1)
+            for at in range(len(nodes) - 1):
+                to = np.flatnonzero(close[at])
+                alike = _alike(signatures[to], signatures[at], size[at], size[to], percent)
+                close[at, to[~alike]] = False
+                to = to[alike]
+                close[at, to] = _met_here(bands[at], bands[to], band)
+            found: dict[int, list[int]] = {}
+            for first, other in spanning_stars(len(nodes), *np.nonzero(close)):
+                found.setdefault(first, [first]).append(other)
+            for members in found.values():
+                members = np.array(members)[np.argsort(nodes[members])]
+                ids = nodes[members]
+                name = xxhash.xxh3_64_intdigest(ids.tobytes()) >> 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), name, np.int64)), pa.array(ids), pa.array(part[members])],
+                    names=["group", "node", "part"],
+                )
+
+    return run
 
 
 def _confirmed(words: int, percent: int) -> Callable:
@@ -257,69 +286,87 @@ def _texts(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return staged(texts.join(wanted, "node", "left_semi"), "wanted-texts")
 
 
-def _star_links(sets: DataFrame, reps: DataFrame, bands: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links of each set with the hub that agrees with it best; see ``near_duplicates``."""
+def _star_edges(reps: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, equal): each set with the least ones of its buckets, if they may be linked."""
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
     edges = bands.join(hubs.where("hub < last"), "key").where("node > hub")
     edges = staged(edges.select("hub", "node").distinct(), "star-edges")
-    signed = reps.select("node", "signature")
-    both = edges.join(signed, "node").join(
-        signed.select(F.col("node").alias("hub"), F.col("signature").alias("of_hub")), "hub"
+    centres = reps.select(
+        F.col("node").alias("hub"), F.col("size").alias("of_size"), F.col("signature").alias("of_hub")
     )
-    agreeing = in_arrow(
-        both.select("hub", "node", "of_hub", "signature"), _agreeing, "hub long, node long, equal long"
-    )
-    best = F.max(F.struct("equal", (-F.col("hub")).alias("hub"))).alias("best")
-    chosen = agreeing.groupBy("node").agg(best).select((-F.col("best.hub")).alias("hub"), "node")
-    chosen = staged(chosen, "stars")
-    sizes = chosen.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("blocks"))
+    both = edges.join(reps, "node").join(centres, "hub")
+    both = both.select("hub", "node", "of_size", "size", "of_hub", "signature")
+    return staged(in_arrow(both, _agreeing(percent), "hub long, node long, equal long"), "plausible")
+
+
+def _verified(sets: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
+    """The edges (hub, node) that are links, from the full sets; a hub's text is sent once per
+    STAR members."""
+    sizes = edges.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
-    members = chosen.join(sizes, "hub").select("hub", block, "node")
-    used = staged(members, "star-members")
-    centres = used.select("hub", "block").distinct().withColumn("node", F.col("hub"))
-    every = used.unionByName(centres)
+    members = staged(edges.join(sizes, "hub").select("hub", block, "node"), "star-members")
+    centres = members.select("hub", "block").distinct().withColumn("node", F.col("hub"))
+    every = members.unionByName(centres)
     rows = every.join(_texts(sets, every), "node").select("hub", "block", "node", "text")
     keys = ["hub", "block"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "node")  # the hub has the least id
     return staged(in_arrow(rows, _stars(words, percent), "a long, b long"), "star-links")
 
 
+def _parts(links: DataFrame) -> DataFrame:
+    found = staged(components(links, "parts"), "parts")
+    return found.select(F.col("node").alias("member"), "root")
+
+
+def _star_links(sets: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links of each set with the hub that agrees with it best, then with the others that are
+    in a part of their own still."""
+    best = F.max(F.struct("equal", (-F.col("hub")).alias("hub"))).alias("best")
+    chosen = edges.groupBy("node").agg(best).select((-F.col("best.hub")).alias("hub"), "node")
+    links = _verified(sets, chosen, words, percent)
+    parts = _parts(links)
+    placed = edges.select("hub", "node")
+    for end in ("hub", "node"):
+        placed = placed.join(parts, F.col(end) == F.col("member"), "left").withColumn(
+            f"{end}_part", F.coalesce("root", end)
+        )
+        placed = placed.drop("member", "root")
+    rest = placed.where("hub_part != node_part").select("hub", "node").join(chosen, ["hub", "node"], "left_anti")
+    return links.unionByName(_verified(sets, staged(rest, "other-hubs"), words, percent))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of the buckets with sets of several parts, with their number as ``count``."""
+    counts = rows.groupBy("key").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("count")
+    )
+    return rows.join(counts.where("low < high").select("key", "count"), "key")
+
+
 def _rest_links(
     sets: DataFrame, reps: DataFrame, bands: DataFrame, parts: DataFrame, words: int, percent: int
 ) -> DataFrame:
     """Links between sets that share a bucket, but no part yet."""
-    part = F.coalesce("root", "node")
-    placed = bands.join(parts, "node", "left").select("key", "band", "node", part.alias("part"))
-    open_keys = placed.groupBy("key").agg(
-        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("count")
-    )
-    open_keys = open_keys.where("low < high").select("key", "count")
-    members = staged(placed.join(open_keys, "key"), "open-buckets")
-    signed = reps.select("node", "signature")
-    small = members.where(F.col("count") <= BUCKET).join(signed, "node")
-    small = small.select(F.col("key").alias("group"), "count", "node", "part", "signature")
-    large = members.where(F.col("count") > BUCKET)
-    if large.limit(1).count():
+    placed = bands.join(parts, F.col("node") == F.col("member"), "left")
+    placed = placed.select("key", "band", "node", F.coalesce("root", "node").alias("part"))
+    members = staged(_open(placed), "open-buckets")
+    columns = ["key", "count", "node", "part", "size", "signature", "band"]
+    large = F.col("count") > BUCKET * BLOCKS
+    open_rows = members.where(~large).join(reps, "node").select(*columns)
+    split = members.where(large)
+    if split.limit(1).count():
         split = in_arrow(
-            large.join(signed, "node").select("key", "band", "node", "part", "signature"),
+            split.join(reps, "node").select("key", "band", "node", "part", "size", "signature"),
             _split,
-            "key long, node long, part long, signature binary",
-        )
-        split = staged(split, "split-buckets")
-        counts = split.groupBy("key").agg(
-            F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("count")
+            "key long, band int, node long, part long, size long, signature binary",
         )
-        counts = counts.where("low < high").select("key", "count")
-        split = split.join(counts, "key")
-        small = small.unionByName(
-            split.select(F.col("key").alias("group"), "count", "node", "part", "signature")
-        )
-    found = in_arrow(_dealt(small, BUCKET), _still_apart, "group long, node long, part long")
-    found = staged(found.distinct(), "clusters")
+        open_rows = open_rows.unionByName(_open(staged(split, "split-buckets")).select(*columns))
+    dealt = _dealt(open_rows.withColumnRenamed("key", "group"), BUCKET)
+    found = in_arrow(dealt, _still_apart(percent), "group long, node long, part long")
+    found = staged(found.distinct(), "groups")
     counted = found.join(found.groupBy("group").count(), "group")
     rows = counted.join(_texts(sets, found), "node").select("group", "count", "node", "part", "text")
-    # A cluster has the members of two blocks at most, so it is one block here.
-    return staged(in_arrow(_dealt(rows, 2 * BUCKET), _confirmed(words, percent), "a long, b long"), "rest-links")
+    return staged(in_arrow(_dealt(rows, GROUP), _confirmed(words, percent), "a long, b long"), "rest-links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -331,13 +378,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
     Equal sets become one. A set is hashed once; the least hash of each of BINS ranges, empty
     ranges filled by optimal densification, gives a signature of BANDS bands. The sets of a
-    bucket (an equal band) are joined to its least one only, so n sets give n - 1 edges; of the
-    hubs whose signature agrees with a set's, the best is compared with it on the full sets, and
-    the links make parts. What stars may miss are links between sets of one bucket in different
-    parts: those buckets, the signatures of which still agree across parts, are compared
-    exactly, a cluster of at most 2 * BUCKET sets at a time. A bucket with more than BUCKET sets
-    of different parts is split by a second band first, and dealt into blocks where that leaves
-    more; then a set is copied once per block.
+    bucket (an equal band) are joined to its least one only, so n sets give n - 1 edges. Of the
+    hubs whose size and signature allow a link, the best is compared with the set on the full
+    sets, then the others that are not connected with it by then. What stars may miss are links
+    between sets of one bucket that no hub connects: in buckets with several parts, signatures
+    are compared across parts, and what agrees is compared on the full sets, each pair in one
+    bucket. Large buckets are dealt into blocks, a set is copied once per block; beyond BLOCKS
+    blocks they are split by their other bands first.
 
     A text with fewer than ``words`` words is one shingle. Texts that are null or have no word
     have no shingle and are linked with nothing, not even with each other. A null id counts for
@@ -350,14 +397,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     sets = staged(in_arrow(docs.select("doc_id", "text"), _hashed(words), schema), "shingle-sets")
     same = sets.where("size > 0").groupBy("set_id")
     same = same.agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    signatures = sets.select(F.col("row").alias("node"), "signature")
+    signatures = sets.select(F.col("row").alias("node"), "size", "signature")
     distinct = staged(same, "distinct-sets")
     reps = staged(distinct.select("node").join(signatures, "node"), "signatures")
-    bands = staged(in_arrow(reps, _banded, "key long, node long, band int"), "bands")
-    stars = _star_links(sets, reps, bands, words, percent)
-    parts = staged(components(stars, "parts"), "parts").withColumnRenamed("node", "__node")
-    parts = parts.select(F.col("__node").alias("node"), "root")
-    rest = _rest_links(sets, reps, bands, parts, words, percent)
+    signed = reps.select("node", "signature")
+    bands = staged(in_arrow(signed, _banded, "key long, node long, band int"), "bands")
+    stars = _star_links(sets, _star_edges(reps, bands, percent), words, percent)
+    rest = _rest_links(sets, reps, bands, _parts(stars), words, percent)
     named = components(stars.unionByName(rest), "near-duplicates")
     named = named.join(distinct.select("node", "set_id", "least"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
