@@ -95,7 +95,8 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the base patterns, in code points."""
     found = [(s, 0, e) for s, e in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        parts = [p.lstrip("0") for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if 14 <= m.end() - m.start():

@@ -73,6 +73,9 @@ def test_edges(spark, make_docs):
     assert found[3] == [[("email", 0, 6, True)]] * 2
     assert found[None] == [[("ip", 2, 10, True)]]
     assert found[5] == [[("email", 400_002, 400_008, True)]]
+    digits = [(6, "0" * 5000 + ".1.1.1"), (7, "1.1.1." + "0" * 4400 + "7"), (8, "1.1.1." + "9" * 4400)]
+    found = spans(spark, make_docs(digits))
+    assert [len(found[i][0]) for i in (6, 7, 8)] == [1, 1, 0]
     assert pii.find_personal_data(make_docs([])).collect() == []
 
 
