@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -244,10 +245,29 @@ def _chained(candidates: DataFrame, block_bytes: int) -> DataFrame:
     )
 
 
+@contextmanager
+def _splits_fixed(spark: SparkSession) -> Iterator[None]:
+    """Within, files are cut into the same splits by each scan, whatever executors come or go."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    fixed = {name: spark.conf.get(name) for name in names}
+    name = "spark.sql.files.minPartitionNum"
+    fixed[name] = spark.conf.get(name, None) or str(spark.sparkContext.defaultParallelism)
+    before = {name: spark.conf.get(name, None) for name in fixed}
+    for name, value in fixed.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def _joined_payload(frame: pd.DataFrame) -> pd.DataFrame:
     """Payload of a record from its chunks, between which the magics stood."""
     frame = frame.sort_values("at")
-    whole = MAGIC.join(frame["chunk"])
+    if any(len(chunk or b"") != size for chunk, size in zip(frame["chunk"], frame["size"])):
+        raise RuntimeError(f"a second scan found other chunks of the record at {frame['start'].iloc[0]}")
+    whole = MAGIC.join(chunk or b"" for chunk in frame["chunk"])
     first = frame.iloc[0]
     head = int(first["head"])
     block = whole[head : int(first["length"]) - len(MAGIC) - len(_END)]
@@ -274,12 +294,15 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _payloads(spark: SparkSession, path: str, owned: DataFrame) -> DataFrame:
-    """(file, start, payload) of the records that own the given chunks, by a second scan."""
+    """(file, start, payload) of the records that own the given chunks, by a second scan.
+
+    Raises if that scan lacks a chunk: splits are held the same, but files may have changed.
+    """
     numbered = in_arrow(
         _scanned(spark, path), _numbered, "file long, split_start long, rel long, chunk binary"
     )
     return (
-        numbered.join(owned, ["file", "split_start", "rel"])
+        owned.join(numbered, ["file", "split_start", "rel"], "left")
         .groupBy("file", "start")
         .applyInPandas(_joined_payload, "file long, start long, payload binary")
     )
@@ -301,6 +324,11 @@ def read_warc(
     the header), and ``payload`` on demand (null for revisits). A folder without records gives
     an empty table. A record cut by the end of its file has null digest and is not intact.
     """
+    with _splits_fixed(spark):
+        return _read(spark, path, payloads, block_bytes)
+
+
+def _read(spark: SparkSession, path: str, payloads: bool, block_bytes: int) -> DataFrame:
     chunks = staged(in_arrow(_scanned(spark, path), _chunks, _CHUNK), "warc-chunks")
     end = F.max(F.col("rel") + F.col("size") + len(MAGIC))
     used = chunks.groupBy("file", "split_start").agg(end.alias("used"))
@@ -321,13 +349,13 @@ def read_warc(
     order = Window.partitionBy("file").orderBy("at")
     own = F.struct("start", "head", "length", (F.col("payload_digest").isNull()).alias("cut"))
     owner = F.last(F.when(F.col("reached"), own), True).over(order).alias("owner")
-    owned = marked.select("file", "split_start", "rel", "at", owner)
-    owned = owned.select("file", "split_start", "rel", "at", "owner.*")
+    owned = marked.select("file", "split_start", "rel", "size", "at", owner)
+    owned = owned.select("file", "split_start", "rel", "size", "at", "owner.*")
     owned = owned.where(F.col("at") < F.col("start") + F.col("length"))
     if not payloads:
         owned = owned.where("cut")
     if payloads or records.where("payload_digest IS NULL").limit(1).count():
-        joined = _payloads(spark, path, owned).select(
+        joined = staged(_payloads(spark, path, owned), "warc-payloads").select(
             "file",
             "start",
             "payload",

@@ -109,3 +109,31 @@ def test_cut_archive_is_not_intact(spark, tmp_path):
     found = sorted(warc.read_warc(spark, str(tmp_path)).collect(), key=lambda r: r["offset"])
     assert [r["payload_bytes"] for r in found] == [5, found[1]["payload_bytes"]]
     assert not found[1]["intact"]
+
+
+def _second_scan_after(spark, monkeypatch, name, value):
+    """Change a setting between the two scans of a read."""
+    before, payloads = spark.conf.get(name, None), warc._payloads
+
+    def later(*args):
+        spark.conf.set(name, value)
+        try:
+            return warc.staged(payloads(*args), "late-payloads")
+        finally:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+    monkeypatch.setattr(warc, "_payloads", later)
+
+
+def test_executors_may_come_between_the_scans(spark, small_splits, monkeypatch):
+    pages = hostile_pages()
+    _second_scan_after(spark, monkeypatch, "spark.sql.leafNodeDefaultParallelism", "64")
+    small_splits(5000)
+    assert digests(read(spark, pages)) == expected(pages)
+
+
+def test_other_chunks_in_the_second_scan_are_an_error(spark, small_splits, monkeypatch):
+    _second_scan_after(spark, monkeypatch, "spark.sql.files.maxPartitionBytes", "1500")
+    small_splits(5000)
+    with pytest.raises(Exception, match="other chunks"):
+        read(spark, hostile_pages()).collect()
