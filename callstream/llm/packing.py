@@ -26,19 +26,35 @@ _tokenizers: dict[str, _WordIds] = {}
 
 
 class _WordIds:
-    """Ids of words by a tokenizer that never joins text over blanks, most looked up once."""
+    """Ids of words by a tokenizer that never joins text over blanks, most looked up once.
+
+    Texts that hold one of its added tokens, in whatever case, are encoded whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content.lower().encode() for token in added]
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        split = [(text or b"").split() for text in texts]
+        whole = {}
+        for at, text in enumerate(texts):
+            lower = text.lower() if text else b""
+            if any(token in lower for token in self.added):
+                found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
+                whole[at] = np.array(found.ids, "<u4").tobytes()
+        split = [[] if at in whole else (text or b"").split() for at, text in enumerate(texts)]
+        encoded = self._encoded(split)
+        for at, ids in whole.items():
+            encoded[at] = ids
+        return encoded
+
+    def _encoded(self, split: list[list[bytes]]) -> list[bytes]:
         known = self.known
         new = list({w for words in split for w in words if w not in known})
         here = {}

@@ -31,10 +31,10 @@ def placed(rows, capacity):
 
 def test_pieces_are_those_of_the_tokenizer(spark, make_docs):
     texts = ["The cat's 12th naïve DOG!!  it'll run", "", "é é ﬁ ①②\ttabs\r\nand…", "日本 語 <|endoftext|> x"]
+    texts += ["<|startoftext|>", "a<|endoftext|>b \n<|EndOfText|>", "<|endoftext|><|endoftext|>  <|startoftext|> x" * 40]
     texts += ["word%d " % i * 700 for i in range(3)]
     docs = make_docs(list(enumerate(texts)) + [(90, None), (None, "no id"), (91, "same"), (91, "same")])
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     found = defaultdict(list)
     for r in tokenized_pieces(docs, capacity=64).collect():
         assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
