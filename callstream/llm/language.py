@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ PIECE_BYTES = 8 * 1024
 #: A lead below this is always too narrow; ties have none.
 LEAST_MARGIN = 0.002
 ADDED = ("lang_pred", "score", "rejected")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
@@ -86,7 +84,7 @@ class Languages:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, lead of the smallest size over the next (0 to 1), whether it is too narrow."""
-        if text is None or not self.samples or not _LETTER.search(text):
+        if text is None or not self.samples or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         sizes = self.sizes(text)
         best = min(range(len(sizes)), key=sizes.__getitem__)

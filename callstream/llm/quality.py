@@ -283,4 +283,5 @@ def judge_quality(
 
 def op1_isolation_forest(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judge_quality(documents(spark, sf_dir), labels)
+    found = judge_quality(documents(spark, sf_dir), labels)
+    return found.select(*[c for c in found.columns if c != "anomaly"], "anomaly")
