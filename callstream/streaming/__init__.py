@@ -8,10 +8,12 @@ from callstream.streaming.queries import (
     start_query,
 )
 from callstream.streaming.sinks import publish_messages, show_batch
-from callstream.streaming.tables import read_latest, write_latest
+from callstream.streaming.tables import append_rows, merge_latest, read_latest, version, write_latest
 
 __all__ = [
     "ProgressLog",
+    "append_rows",
+    "merge_latest",
     "progress_table",
     "publish_messages",
     "read_latest",
@@ -19,5 +21,6 @@ __all__ = [
     "run_to_table",
     "show_batch",
     "start_query",
+    "version",
     "write_latest",
 ]

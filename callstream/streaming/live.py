@@ -2,60 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import LongType, StringType, StructType, TimestampType
 
 from callstream.operators.microbatch import fill_empty_batches, windowed_batch_counts
 from callstream.schemas import CALL_TYPE
 from callstream.streaming.queries import start_query
 from callstream.streaming.sinks import show_batch
-from callstream.streaming.tables import committed
-from callstream.workspace import drop_folder
+from callstream.streaming.tables import append_rows, read_latest
 
-_SCHEMA = f"batch_end timestamp, {CALL_TYPE} string, count long"
+_SCHEMA = (
+    StructType().add("batch_end", TimestampType()).add(CALL_TYPE, StringType()).add("count", LongType())
+)
 _MICROS = 1_000_000
-#: Batches that are folded into one folder once they are well past.
-FOLD = 500
-
-
-def _folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"
-
-
-def _read(spark: SparkSession, path: str, batch_ids: Iterable[int]) -> DataFrame:
-    folders = [_folder(path, batch_id) for batch_id in batch_ids]
-    return spark.read.schema(_SCHEMA).parquet(*folders)
-
 
-def _folded(path: str, first: int) -> str:
-    return f"{path}/_folded/first={first}"
 
-
-def fold_batches(spark: SparkSession, path: str, first: int) -> None:
-    """Write ``FOLD`` batches from ``first`` on into one folder, then drop their own."""
-    ids = range(first, first + FOLD)
-    there = [i for i in ids if committed(spark, _folder(path, i))]
-    if not there:
-        return
-    if not committed(spark, _folded(path, first)):
-        _read(spark, path, there).write.mode("overwrite").parquet(_folded(path, first))
-    for batch_id in there:
-        drop_folder(spark, _folder(path, batch_id))
-
-
-def live_type_counts(spark: SparkSession, path: str) -> DataFrame:
+def live_type_counts(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The counts written by ``start_live_counts``, ready for the batch operators."""
-    folds = []
-    while committed(spark, _folded(path, len(folds) * FOLD)):
-        folds.append(_folded(path, len(folds) * FOLD))
-    counts = spark.read.schema(f"{_SCHEMA}, batch_id long").parquet(path)
-    counts = counts.where(F.col("batch_id") >= len(folds) * FOLD).drop("batch_id")
-    if folds:
-        counts = counts.unionByName(spark.read.schema(_SCHEMA).parquet(*folds))
-    return counts.select("batch_end", CALL_TYPE, "count")
+    return read_latest(spark, path, _SCHEMA, version)
 
 
 def live_batch_counts(spark: SparkSession, path: str, trigger: str = "5 seconds") -> DataFrame:
@@ -84,38 +50,35 @@ def start_live_counts(
     """Count the types of each micro-batch into a table, and print what came in.
 
     Printed per batch: how many calls, the ``top`` types, and the first rows of each
-    window of ``length`` seconds that has closed. A batch id has its own folder, so
-    a repeated batch replaces itself; every ``FOLD`` batches, earlier ones are folded into
-    one folder. A trigger without input makes no batch.
+    window of ``length`` seconds that has closed. The batches are layers of one table
+    (``tables.append_rows``): a repeated batch is there once, and readers see whole
+    batches. A trigger without input makes no batch.
     """
     spark = calls.sparkSession
     # The time of a micro-batch is kept in its offset log: a repeat counts the same.
     timed = calls.select(CALL_TYPE, F.current_timestamp().alias("batch_end"))
-    recent: dict[int, int] = {}
+    last: list[int] = []  # the end of the batch before
 
     def write(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy("batch_end", CALL_TYPE).count()
-        counts.write.mode("overwrite").parquet(_folder(path, batch_id))
-        if batch_id % FOLD == FOLD - 1 and batch_id >= 2 * FOLD - 1:
-            # The last FOLD batches stay as they are: windows may still need them.
-            fold_batches(spark, path, batch_id + 1 - 2 * FOLD)
+        folder = append_rows(counts, path, batch_id)
         if not report:
             return
-        written = _read(spark, path, [batch_id])
+        written = spark.read.schema(_SCHEMA).parquet(f"{path}/{folder}") if folder else counts
         total, end = _totals(written)
         print(f"Events in this batch: {total}", flush=True)
         ranked = written.select(CALL_TYPE, "count").orderBy(F.desc("count"), CALL_TYPE)
         show_batch(ranked, top)
         if end is None:
             return
-        if not recent and batch_id > 0:
-            recent.update(_batches_since(spark, path, batch_id, end - 2 * length * _MICROS))
-        before = max(recent.values(), default=end)
-        recent[batch_id] = end
-        for key in [k for k, v in recent.items() if v <= before - length * _MICROS]:
-            del recent[key]
+        table = live_type_counts(spark, path)
+        if not last:
+            earlier = table.where(F.col("batch_end") < F.timestamp_micros(F.lit(end)))
+            last.append(_totals(earlier)[1] or end)
+        before, last[0] = last[0], max(end, last[0])
         if end // (slide * _MICROS) > before // (slide * _MICROS):
-            _print_windows(_read(spark, path, recent), before, end, length, slide)
+            since = F.timestamp_micros(F.lit(before - length * _MICROS))
+            _print_windows(table.where(F.col("batch_end") > since), before, end, length, slide)
 
     return start_query(timed, "append", write, trigger, checkpoint)
 
@@ -151,21 +114,6 @@ def _totals(counts: DataFrame) -> tuple[int, int | None]:
     ).first()
 
 
-def _batches_since(spark: SparkSession, path: str, batch_id: int, since: int) -> dict[int, int]:
-    """Ids and times of the batches before ``batch_id`` that an earlier run wrote
-    after ``since``; looks back one batch folder at a time, as far as there are any."""
-    found = {}
-    for earlier in range(batch_id - 1, -1, -1):
-        if not committed(spark, _folder(path, earlier)):
-            break
-        _, end = _totals(_read(spark, path, [earlier]))
-        if end is not None and end <= since:
-            break
-        if end is not None:
-            found[earlier] = end
-    return found
-
-
 def _print_windows(counts: DataFrame, before: int, end: int, length: int, slide: int) -> None:
     """Print the windows that closed after ``before``, up to ``end``, each with its
     oldest batch first and the most frequent types of a batch first."""

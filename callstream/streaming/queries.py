@@ -70,8 +70,8 @@ def run_to_table(
     """Run ``df`` over the input at hand and return its result, written as parquet.
 
     Append results are the rows written; complete results those of the last
-    micro-batch; update results the last row per ``keys``, replaced as they change, so
-    the table does not grow with the number of micro-batches. With the ``path`` and
+    micro-batch; update results the last row per ``keys``: each micro-batch writes the rows
+    that it changes, and layers of them are merged. With the ``path`` and
     ``checkpoint`` of an earlier run, the result is that of both.
     """
     spark = df.sparkSession
@@ -85,7 +85,7 @@ def run_to_table(
         if mode == "complete":
             write_latest(batch, path, batch_id)
         else:
-            merge_latest(spark, batch, path, batch_id, keys)
+            merge_latest(batch, path, batch_id, keys)
 
     start_query(df, mode, write, AVAILABLE_NOW, checkpoint).awaitTermination()
     return read_latest(spark, path, df.schema)

@@ -1,57 +1,211 @@
-"""The latest result of a query, as a table that readers see only whole."""
+"""Results of queries as tables whose readers see one whole version.
+
+Rows lie in folders that never change. A version is a small file, made in one step, that names the
+folders of the table; readers take the newest one or stay with one they have chosen. Three kinds
+of change make a version: a new result, more rows, and rows that replace others by key. The last two
+add a layer; ``FAN`` layers of a level are merged into one of the next level, so a row is written
+once per level, however large the table.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from callstream.workspace import hadoop_path
+from callstream.workspace import drop_folder, hadoop_path
+
+#: Layers of one level that are merged into one.
+FAN = 8
+#: A version that is not the newest stays at least so long for those who read it.
+RETAIN_SECONDS = 600
+_LAYER = "_layer"
+
+
+@dataclass(frozen=True)
+class Version:
+    """What a table holds: its layers, oldest first, as (folder, level)."""
+
+    number: int = -1
+    layers: list[tuple[str, int]] = field(default_factory=list)
+    keys: list[str] | None = None
+    #: The last micro-batch of each query that is in the table.
+    done: dict[str, int] = field(default_factory=dict)
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, int]:
+    """Number of each version and when it was made, in milliseconds."""
+    files, folder = hadoop_path(spark, f"{path}/_versions")
+    if not files.exists(folder):
+        return {}
+    found = [(s.getPath().getName(), s.getModificationTime()) for s in files.listStatus(folder)]
+    return {int(name[:-5]): at for name, at in found if name.endswith(".json")}
 
-#: Results kept: a reader has the time of two further batches before its own goes.
-_SLOTS = 4
 
+def version(spark: SparkSession, path: str, number: int | None = None) -> Version:
+    """A version of the table, the newest by default; one without layers if there is none."""
+    known = _versions(spark, path)
+    if number is None:
+        number = max(known, default=None)
+        if number is None:
+            return Version()
+    elif number not in known:
+        raise ValueError(f"{path} has no version {number} any more")
+    files, file = hadoop_path(spark, f"{path}/_versions/{number:020d}.json")
+    stream = files.open(file)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    said = json.loads(text)
+    return Version(number, [tuple(layer) for layer in said["layers"]], said["keys"], said["done"])
 
-def finished_at(spark: SparkSession, folder: str) -> int | None:
-    """When Spark finished writing ``folder``, in milliseconds; None if it has not."""
-    files, marker = hadoop_path(spark, f"{folder}/_SUCCESS")
-    return files.getFileStatus(marker).getModificationTime() if files.exists(marker) else None
 
+def _publish(spark: SparkSession, path: str, new: Version) -> None:
+    """Make ``new`` a version in one step; an error if another writer has made that number."""
+    files, draft = hadoop_path(spark, f"{path}/_versions/.{uuid.uuid4().hex}")
+    said = {"layers": new.layers, "keys": new.keys, "done": new.done}
+    stream = files.create(draft, False)
+    stream.write(bytearray(json.dumps(said).encode()))
+    stream.close()
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        files.getUri(), spark._jsparkSession.sessionState().newHadoopConf()
+    )
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    never_replace = spark.sparkContext._gateway.new_array(rename, 1)
+    never_replace[0] = rename.NONE
+    _, name = hadoop_path(spark, f"{path}/_versions/{new.number:020d}.json")
+    context.rename(files.makeQualified(draft), files.makeQualified(name), never_replace)
 
-def committed(spark: SparkSession, folder: str) -> bool:
-    return finished_at(spark, folder) is not None
 
+def _forget(spark: SparkSession, path: str) -> None:
+    """Drop versions that newer ones replaced ``RETAIN_SECONDS`` ago, and their folders."""
+    made = _versions(spark, path)
+    numbers = sorted(made)
+    newest = made[numbers[-1]]
+    # A version is current until the next one is made.
+    gone = [n for n, after in zip(numbers, numbers[1:]) if newest - made[after] > 1000 * RETAIN_SECONDS]
+    if not gone:
+        return
+    kept = {folder for folder, _ in version(spark, path, numbers[len(gone)]).layers}
+    for number in gone:
+        for folder, _ in version(spark, path, number).layers:
+            if folder not in kept:  # a folder that left the table never returns
+                drop_folder(spark, f"{path}/{folder}")
+    for number in gone:
+        drop_folder(spark, f"{path}/_versions/{number:020d}.json")
 
-def write_latest(result: DataFrame, path: str, batch_id: int) -> str:
-    """Replace the oldest of some folders, so that the last whole results stay while the
-    next one is written. A repeated batch replaces itself. Returns the folder."""
-    folder = f"{path}/slot={batch_id % _SLOTS}"
-    result.write.mode("overwrite").parquet(folder)
+
+def _writer(spark: SparkSession) -> str | None:
+    """The id of the streaming query that runs this micro-batch."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def _written(rows: DataFrame, path: str, order: int) -> str:
+    """The rows in a folder of their own. Names sort as the layers do."""
+    folder = f"data/{order:020d}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{folder}")
     return folder
 
 
-def read_latest(
-    spark: SparkSession, path: str, schema: StructType, before: int | None = None
+def _new_rows(rows: DataFrame, path: str, known: Version, batch_id: int) -> str | None:
+    """The rows in a folder, or None if the table has this micro-batch. It is run in any case:
+    a query with state must see each of its micro-batches run."""
+    folder = _written(rows, path, known.number + 1)
+    if known.done.get(_writer(rows.sparkSession) or "", -1) < batch_id:
+        return folder
+    drop_folder(rows.sparkSession, f"{path}/{folder}")
+    return None
+
+
+def _after(spark: SparkSession, known: Version, batch_id: int, **changed) -> Version:
+    writer = _writer(spark)
+    done = known.done | ({writer: batch_id} if writer else {})
+    return replace(known, number=known.number + 1, done=done, **changed)
+
+
+def write_latest(result: DataFrame, path: str, batch_id: int) -> None:
+    """Make ``result`` the table. A micro-batch that is repeated changes nothing.
+
+    One writer at a time: a second one fails.
+    """
+    spark = result.sparkSession
+    known = version(spark, path)
+    folder = _new_rows(result, path, known, batch_id)
+    if folder is None:
+        return
+    _publish(spark, path, _after(spark, known, batch_id, layers=[(folder, 0)], keys=None))
+    _forget(spark, path)
+
+
+def append_rows(rows: DataFrame, path: str, batch_id: int) -> str | None:
+    """Add ``rows`` to the table, once per micro-batch; the folder written, or None if the
+    micro-batch had been added before."""
+    return _add_layer(rows, path, batch_id, None)
+
+
+def merge_latest(rows: DataFrame, path: str, batch_id: int, keys: list[str]) -> None:
+    """Put ``rows`` in place of those with equal ``keys``. Only they are written; readers and
+    merges of layers take the newest row of a key."""
+    _add_layer(rows, path, batch_id, keys)
+
+
+def _add_layer(rows: DataFrame, path: str, batch_id: int, keys: list[str] | None) -> str | None:
+    spark, schema = rows.sparkSession, rows.schema
+    known = version(spark, path)
+    folder = _new_rows(rows, path, known, batch_id)
+    if folder is None:
+        return None
+    _publish(spark, path, _after(spark, known, batch_id, layers=[*known.layers, (folder, 0)], keys=keys))
+    for new in _folds(spark, path, schema):
+        _publish(spark, path, new)
+    _forget(spark, path)
+    return folder
+
+
+def _folds(spark: SparkSession, path: str, schema: StructType) -> Iterator[Version]:
+    """Versions with the same rows in fewer layers, as long as a level is full."""
+    while True:
+        known = version(spark, path)
+        last = known.layers[-FAN:]
+        if len(last) < FAN or len({level for _, level in last}) > 1:
+            return
+        folders = [folder for folder, _ in last]
+        order = int(folders[-1].split("/")[1].split("-")[0])
+        folder = _written(_rows(spark, path, schema, folders, known.keys), path, order)
+        layers = [*known.layers[:-FAN], (folder, last[0][1] + 1)]
+        yield replace(known, number=known.number + 1, layers=layers)
+
+
+def _rows(
+    spark: SparkSession, path: str, schema: StructType, folders: list[str], keys: list[str] | None
 ) -> DataFrame:
-    """The result of the last batch written whole (before batch ``before`` is written, once
-    more perhaps). Empty if there is none."""
-    slots = [slot for slot in range(_SLOTS) if before is None or slot != before % _SLOTS]
-    times = {folder: finished_at(spark, folder) for folder in (f"{path}/slot={s}" for s in slots)}
-    whole = {folder: at for folder, at in times.items() if at is not None}
-    if not whole:
+    if not folders:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(max(whole, key=whole.get))
+    found = spark.read.schema(schema).parquet(*[f"{path}/{folder}" for folder in folders])
+    if not keys or len(folders) == 1:
+        return found
+    name = F.regexp_extract("_metadata.file_path", "/data/([0-9]+)-[^/]*/[^/]*$", 1).alias(_LAYER)
+    others = [F.col(f"`{c}`") for c in schema.names if c not in keys]
+    value = F.struct(*others, F.lit(0).alias(_LAYER)).alias("_value")
+    newest = found.select(*keys, value, name).groupBy(*keys)
+    newest = newest.agg(F.max_by("_value", _LAYER).alias("_value"))
+    return newest.select(*[c if c in keys else F.col(f"_value.`{c}`").alias(c) for c in schema.names])
 
 
-def merge_latest(
-    spark: SparkSession, batch: DataFrame, path: str, batch_id: int, keys: list[str]
-) -> None:
-    """The latest result with the rows of ``batch`` in place of those with equal ``keys``.
+def read_latest(
+    spark: SparkSession, path: str, schema: StructType, number: int | None = None
+) -> DataFrame:
+    """The table as of a version, the newest by default. Empty if there is none.
 
-    The batch is written first, as it is read twice and a micro-batch should run once.
+    What the version names is read, whatever is written meanwhile, for ``RETAIN_SECONDS``
+    after it has been replaced.
     """
-    folder = write_latest(batch, f"{path}/_changes", batch_id)
-    batch = spark.read.schema(batch.schema).parquet(folder)
-    earlier = read_latest(spark, path, batch.schema, before=batch_id)
-    same = [earlier[key].eqNullSafe(batch[key]) for key in keys]
-    kept = earlier.join(batch, same, "left_anti")
-    write_latest(kept.unionByName(batch), path, batch_id)
+    known = version(spark, path, number)
+    return _rows(spark, path, schema, [folder for folder, _ in known.layers], known.keys)
