@@ -48,3 +48,21 @@ def tail_messages(messages: DataFrame) -> DataFrame:
     offset = F.col("offset") if "offset" in messages.columns else F.lit(None).cast("long")
     text = F.col("value").cast("string").alias("text")
     return messages.select(offset.alias("offset"), parse_untyped().alias("value"), text)
+
+
+def parse_or_keep(messages: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """The fields of every message, ``broken``, and ``offset`` and ``text`` of the broken ones.
+
+    Broken is what is no JSON object; its fields are NULL and its text is as it came. A bad field
+    of an object is a NULL, as in ``parse_calls``. Messages of files have no offset.
+    """
+    offset = F.col("offset") if "offset" in messages.columns else F.lit(None).cast("long")
+    text = F.col("value").cast("string")
+    broken = F.json_object_keys(text).isNull()
+    call = F.from_json(text, narrowed(fields))
+    return messages.select(
+        F.inline(F.array(call)),
+        broken.alias("broken"),
+        F.when(broken, offset).alias("offset"),
+        F.when(broken, text).alias("text"),
+    )

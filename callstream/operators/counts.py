@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callstream.operators.distinct import distinct_rows, first_seen
+from callstream.operators.distinct import distinct_rows, distinct_within, first_seen
 from callstream.operators.lookups import (
     BROADCAST_BYTES,
     BROADCAST_ROWS,
     CodeTableSize,
     with_description,
 )
-from callstream.schemas import CALL_TYPE, DESCRIPTION, DISPOSITION
+from callstream.schemas import CALL_TIME, CALL_TYPE, DESCRIPTION, DISPOSITION
 
 PAIR = [CALL_TYPE, DISPOSITION]
 
@@ -22,6 +22,12 @@ def distinct_pairs(calls: DataFrame) -> DataFrame:
     return first_seen(calls, PAIR) if calls.isStreaming else distinct_rows(calls, PAIR)
 
 
+def distinct_pairs_within(calls: DataFrame, horizon: str = "60 minutes") -> DataFrame:
+    """Distinct pairs of a stream without end, with the time they are seen at: one that has not
+    come out for ``horizon`` may come out again, and its state leaves (``distinct_within``)."""
+    return distinct_within(calls, PAIR, CALL_TIME, horizon)
+
+
 def pair_counts(calls: DataFrame, dedup: bool = True) -> DataFrame:
     """Count per (type, disposition): of distinct pairs, or of calls without ``dedup``.
 

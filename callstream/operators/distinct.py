@@ -44,3 +44,21 @@ def distinct_rows(df: DataFrame, keys: list[str], salts: int = SALTS) -> DataFra
         return rows.distinct()
     salted = rows.withColumn(_SALT, task_salt(salts))
     return salted.dropDuplicates([*keys, _SALT]).drop(_SALT).dropDuplicates(keys)
+
+
+def distinct_within(
+    df: DataFrame, keys: list[str], time: str, horizon: str, salts: int = SALTS
+) -> DataFrame:
+    """Rows of a stream with new values of ``keys``: a value comes out once, and again only for a
+    row whose ``time`` is more than ``horizon`` later.
+
+    The state of a value leaves when the watermark, ``horizon`` behind the latest time, has passed
+    the value's own time by ``horizon``: it holds what the last two horizons brought, not what the
+    whole stream did. The time is no part of the key. Copies of a hot value are split over salts
+    first (``distinct_rows``). Output mode append. A batch has no horizon: use ``distinct_rows``.
+    """
+    if not df.isStreaming:
+        raise ValueError("a horizon bounds the state of a stream; take distinct_rows for a batch")
+    rows = df.select(*keys, time).withWatermark(time, horizon).withColumn(_SALT, task_salt(salts))
+    once = rows.dropDuplicatesWithinWatermark([*keys, _SALT]).drop(_SALT)
+    return once.dropDuplicatesWithinWatermark(keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -12,11 +12,12 @@ from callstream.functions import messages as codec
 from callstream.operators import counts, lookups, microbatch, windows
 from callstream.plans import jobs, tables
 from callstream.plans.jobs import run_description_counts, start_statistics_tables
-from callstream.schemas import CALL_TYPE, CALLS, CRIME_ID, DESCRIPTION, DISPOSITION
+from callstream.schemas import CALL_TIME, CALL_TYPE, CALLS, CRIME_ID, DESCRIPTION, DISPOSITION
 from callstream.sources import file_messages, read_call_file, read_codes
 from callstream.streaming.live import live_type_counts, start_live_counts
 from callstream.streaming.queries import (
     AVAILABLE_NOW,
+    observed_table,
     progress_table,
     run_all,
     run_to_table,
@@ -54,6 +55,41 @@ def parse_malformed(spark, sf_dir):
     return tables.plain_times(codec.parse_calls(messages))
 
 
+def _half_broken(messages):
+    """The messages, those of one type with a text in front that makes them no JSON."""
+    text = F.col("value").cast("string")
+    broken = F.get_json_object(text, f"$.{CALL_TYPE}") == "error"
+    value = F.when(broken, F.concat(F.lit("{bad "), text)).otherwise(text)
+    return messages.select(value.cast("binary").alias("value"))
+
+
+def _message_table(spark, sf_dir):
+    path, fields = scratch_dir(spark, "messages"), [*PAIR, CALL_TIME]
+    messages = codec.encode_calls(tables.calls_of_files(spark, _event_files(spark, sf_dir)))
+    query = jobs.start_message_table(_half_broken(messages), path, AVAILABLE_NOW, fields=fields)
+    query.awaitTermination()
+    return query, path, fields
+
+
+def kept_messages_stream(spark, sf_dir):
+    """Parsed calls and the texts of broken ones, counted by type, over several micro-batches."""
+    _, path, fields = _message_table(spark, sf_dir)
+    parsed = jobs.parsed_calls(spark, path, fields)
+    broken = jobs.broken_messages(spark, path, fields)
+    kind = F.regexp_extract("text", f'"{CALL_TYPE}":"([^"]*)"', 1).alias(CALL_TYPE)
+    found = [parsed.select(F.lit("parsed").alias("side"), CALL_TYPE, F.col(CALL_TIME).isNotNull().alias("timed"))]
+    found.append(broken.select(F.lit("broken"), kind, F.lit(False)))
+    return found[0].union(found[1]).groupBy("side", CALL_TYPE, "timed").count()
+
+
+def observed_messages_stream(spark, sf_dir):
+    """What the query itself counted in its micro-batches, added up."""
+    query, _, _ = _message_table(spark, sf_dir)
+    seen = observed_table(spark, query, jobs.OBSERVED, jobs.OBSERVED_SCHEMA)
+    sums = [F.sum(name).alias(name) for name in ("events", "broken", "without_time")]
+    return seen.agg(*sums, (F.count("*") > 1).alias("several"))
+
+
 def published_messages(spark, sf_dir):
     """Published to files, read back and decoded field by field, NULLs still there."""
     path = scratch_dir(spark, "published")
@@ -126,6 +162,20 @@ def distinct_pairs_batches(spark, sf_dir):
     return run_to_table(counts.distinct_pairs(calls), "update", PAIR)
 
 
+HORIZON = "6 hours"
+
+
+def distinct_pairs_within_stream(spark, sf_dir):
+    """The pairs that come out of a stream with a horizon, and whether the times at which one
+    came out are as far apart."""
+    calls = tables.calls_of_files(spark, _event_files(spark, sf_dir))
+    found = run_to_table(counts.distinct_pairs_within(calls, HORIZON), "append")
+    before = F.lag(CALL_TIME).over(Window.partitionBy(*PAIR).orderBy(CALL_TIME))
+    near = F.col(CALL_TIME) <= before + F.expr(f"INTERVAL {HORIZON}")
+    spaced = found.select(*PAIR, F.coalesce(near, F.lit(False)).alias("near"))
+    return spaced.groupBy(*PAIR).agg((~F.bool_or("near")).alias("apart"))
+
+
 def pair_counts_distinct(spark, sf_dir):
     return counts.pair_counts(tables.calls(spark, sf_dir))
 
@@ -288,6 +338,30 @@ def sliding_counts_append_batches(spark, sf_dir):
     return tables.plain_times(run_to_table(found, "append"))
 
 
+def sliding_counts_panes_batches(spark, sf_dir):
+    """Through panes of one slide, over several micro-batches."""
+    calls = tables.calls_of_files(spark, _event_files(spark, sf_dir))
+    return tables.plain_times(run_to_table(windows.sliding_pair_counts_by_panes(calls), "append"))
+
+
+def sliding_counts_panes_hourly(spark, sf_dir):
+    """The same with repeated calls, which count once."""
+    calls = tables.calls_of_files(spark, _event_files(spark, sf_dir), time_unit="hour")
+    return tables.plain_times(run_to_table(windows.sliding_pair_counts_by_panes(calls), "append"))
+
+
+def sliding_type_estimates(spark, sf_dir):
+    """Users as call types, of which a window has many; fewer than a sketch keeps exactly."""
+    calls = tables.calls(spark, sf_dir, call_type="user_id")
+    return tables.plain_times(windows.sliding_type_estimates(calls, "24 hours", "6 hours"))
+
+
+def sliding_type_estimates_stream(spark, sf_dir):
+    calls = tables.calls_of_files(spark, _event_files(spark, sf_dir), call_type="user_id")
+    found = windows.sliding_type_estimates(calls, "24 hours", "6 hours")
+    return tables.plain_times(run_to_table(found, "append"))
+
+
 def sliding_counts_append_hourly(spark, sf_dir):
     return _sliding_stream(spark, sf_dir, "append", time_unit="hour")
 
@@ -395,6 +469,8 @@ QUERIES: dict[str, Query] = {
     for query in [
         parse_calls,
         parse_malformed,
+        kept_messages_stream,
+        observed_messages_stream,
         published_messages,
         published_records,
         tail_messages,
@@ -403,6 +479,7 @@ QUERIES: dict[str, Query] = {
         distinct_pairs,
         distinct_pairs_stream,
         distinct_pairs_batches,
+        distinct_pairs_within_stream,
         pair_counts_distinct,
         pair_counts_distinct_stream,
         pair_counts_occurrences,
@@ -427,6 +504,10 @@ QUERIES: dict[str, Query] = {
         sliding_counts_complete,
         sliding_counts_append,
         sliding_counts_append_batches,
+        sliding_counts_panes_batches,
+        sliding_counts_panes_hourly,
+        sliding_type_estimates,
+        sliding_type_estimates_stream,
         sliding_counts_append_hourly,
         sliding_counts_append_occurrences,
         sliding_counts_update_hourly,

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from callstream.functions.messages import parse_calls, tail_messages
+from callstream.functions.messages import parse_calls, parse_or_keep, tail_messages
 from callstream.operators.counts import PAIR, description_counts, pair_counts
 from callstream.operators.lookups import BROADCAST_BYTES, BROADCAST_ROWS
-from callstream.schemas import CALL_TYPE, DESCRIPTION
+from callstream.schemas import CALL_TIME, CALL_TYPE, DESCRIPTION, narrowed
 from callstream.sources import file_messages, read_call_file
 from callstream.streaming.live import EmptyTriggers, start_live_counts
 from callstream.streaming.queries import AVAILABLE_NOW, start_query
 from callstream.streaming.sinks import print_messages, publish_messages, show_result
-from callstream.streaming.tables import read_latest, write_latest
+from callstream.streaming.tables import append_rows, read_latest, write_latest
 from callstream.workspace import scratch_dir
 
 Deliver = Callable[[str, DataFrame, int], None]
@@ -141,6 +142,59 @@ def start_statistics_tables(
     return start_query(pairs, "complete", write, trigger, checkpoint)
 
 
+#: What ``start_message_table`` observes of each micro-batch, and under which name.
+OBSERVED = "messages"
+OBSERVED_SCHEMA = "events long, broken long, without_time long"
+
+
+def start_message_table(
+    messages: DataFrame,
+    path: str,
+    trigger: str | None = None,
+    checkpoint: str | None = None,
+    fields: list[str] | None = None,
+) -> StreamingQuery:
+    """Keep every message: the parsed calls and, beside them, the text of what does not parse.
+
+    Both go into one table, by one write of each micro-batch, so that a repeated one leaves
+    neither out nor doubles it; read them with ``parsed_calls`` and ``broken_messages``. In the
+    same pass each micro-batch is observed: its messages, the broken ones, and the calls without
+    a time (of ``fields`` that have one); see ``queries.observed_table``.
+    """
+    rows = parse_or_keep(messages, fields)
+
+    def number(condition) -> Column:
+        return F.coalesce(F.count_if(condition), F.lit(0))
+
+    no_time = F.col(CALL_TIME).isNull() if CALL_TIME in rows.columns else F.lit(False)
+    watched = rows.observe(
+        OBSERVED,
+        F.count(F.lit(1)).alias("events"),
+        number(F.col("broken")).alias("broken"),
+        number(~F.col("broken") & no_time).alias("without_time"),
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_rows(batch, path, batch_id)
+
+    return start_query(watched, "append", write, trigger, checkpoint)
+
+
+def _message_table(spark: SparkSession, path: str, fields: list[str] | None) -> DataFrame:
+    schema = StructType([*narrowed(fields), *StructType.fromDDL("broken boolean, offset long, text string")])
+    return read_latest(spark, path, schema)
+
+
+def parsed_calls(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
+    """The calls of a table written by ``start_message_table`` with these ``fields``."""
+    return _message_table(spark, path, fields).where("NOT broken").drop("broken", "offset", "text")
+
+
+def broken_messages(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
+    """Offset and text of the messages that did not parse."""
+    return _message_table(spark, path, fields).where("broken").select("offset", "text")
+
+
 def start_call_report(
     messages: DataFrame,
     table: str | None = None,

@@ -61,6 +61,20 @@ def _sliding(time: str, distinct: str, closed: bool = False) -> str:
     select * from counted {cut if closed else ''}"""
 
 
+def _types(closed: bool = False) -> str:
+    """Users per window of a day and disposition."""
+    cut = """where window_end <=
+        (select date_trunc('milliseconds', max(ts)) - interval 60 minute from events)"""
+    return f"""
+    with placed as (select time_bucket(interval 6 hour, ts, {_EPOCH}) - k * interval 6 hour
+                           as window_start, {_D} as disposition, user_id
+                    from events, range(4) r(k)),
+         counted as (select window_start, window_start + interval 24 hour as window_end,
+                            disposition, count(distinct user_id) as types
+                     from placed group by all)
+    select * from counted {cut if closed else ''}"""
+
+
 _HOUR = "cast(date_trunc('hour', ts) as timestamp)"
 
 
@@ -106,6 +120,13 @@ _HEAD = f"""select * from (
 ORACLES: dict[str, str] = {
     "parse_calls": _CALLS,
     "parse_malformed": _BROKEN,
+    "kept_messages_stream": f"""
+        select case when event_type = 'error' then 'broken' else 'parsed' end as side,
+               event_type as {_KIND}, event_type <> 'error' as timed, count(*) as count
+        from events group by all""",
+    "observed_messages_stream": """
+        select count(*) as events, count(*) filter (where event_type = 'error') as broken,
+               0::bigint as without_time, true as several from events""",
     "published_messages": f"select *, cast(14 as bigint) as n_fields from ({_CALLS})",
     "published_records": _CALLS,
     "tail_messages": f"""select event_id as "offset", event_type as {_KIND},
@@ -115,6 +136,7 @@ ORACLES: dict[str, str] = {
     "distinct_pairs": _PAIRS,
     "distinct_pairs_stream": _PAIRS,
     "distinct_pairs_batches": _PAIRS,
+    "distinct_pairs_within_stream": f"select *, true as apart from ({_PAIRS})",
     "pair_counts_distinct": f"select *, cast(1 as bigint) as count from ({_PAIRS})",
     "pair_counts_distinct_stream": f"select *, cast(1 as bigint) as count from ({_PAIRS})",
     "pair_counts_occurrences": _OCCURRENCES,
@@ -143,6 +165,10 @@ ORACLES: dict[str, str] = {
     "sliding_counts_complete": _sliding(_HOUR, "distinct"),
     "sliding_counts_append": _sliding("ts", "distinct", closed=True),
     "sliding_counts_append_batches": _sliding("ts", "distinct", closed=True),
+    "sliding_counts_panes_batches": _sliding("ts", "distinct", closed=True),
+    "sliding_counts_panes_hourly": _sliding(_HOUR, "distinct", closed=True),
+    "sliding_type_estimates": _types(),
+    "sliding_type_estimates_stream": _types(closed=True),
     "sliding_counts_append_hourly": _sliding(_HOUR, "distinct", closed=True),
     "sliding_counts_append_occurrences": _sliding(_HOUR, "", closed=True),
     "sliding_counts_update_hourly": _sliding(_HOUR, "distinct"),

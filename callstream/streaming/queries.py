@@ -121,6 +121,17 @@ def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     return spark.createDataFrame(rows, PROGRESS_SCHEMA)
 
 
+def observed_table(spark: SparkSession, query: StreamingQuery, name: str, schema: str) -> DataFrame:
+    """What ``DataFrame.observe(name, ...)`` counted in each recent micro-batch of ``query``:
+    ``batch_id`` and the metrics of ``schema``. The micro-batches are not read again."""
+    rows = []
+    for progress in query.recentProgress:
+        found = progress.observedMetrics.get(name)
+        if found is not None:
+            rows.append((progress.batchId, *found))
+    return spark.createDataFrame(rows, f"batch_id long, {schema}")
+
+
 class ProgressLog(StreamingQueryListener):
     """Hands one row per micro-batch of any query to ``report``, as it ends; attach with
     ``spark.streams.addListener``. The columns are those of ``progress_table``."""
