@@ -49,8 +49,8 @@ def distinct_rows(df: DataFrame, keys: list[str], salts: int = SALTS) -> DataFra
 def distinct_within(
     df: DataFrame, keys: list[str], time: str, horizon: str, salts: int = SALTS
 ) -> DataFrame:
-    """Rows of a stream with new values of ``keys``: a value comes out once, and again only for a
-    row whose ``time`` is more than ``horizon`` later.
+    """Rows of a stream with new values of ``keys``: a value comes out once, and again at the
+    earliest for a row whose ``time`` is more than ``horizon`` later.
 
     The state of a value leaves when the watermark, ``horizon`` behind the latest time, has passed
     the value's own time by ``horizon``: it holds what the last two horizons brought, not what the
