@@ -38,25 +38,27 @@ class _WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [token.content.lower().encode() for token in added]
+        if any(len(token.split()) != 1 for token in self.added):
+            raise ValueError("an added token with a blank is found in no word")
+        self.odd: set[bytes] = set()  # words that hold an added token
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        whole = {}
-        for at, text in enumerate(texts):
-            lower = text.lower() if text else b""
-            if any(token in lower for token in self.added):
-                found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
-                whole[at] = np.array(found.ids, "<u4").tobytes()
-        split = [[] if at in whole else (text or b"").split() for at, text in enumerate(texts)]
+        split = [(text or b"").split() for text in texts]
         encoded = self._encoded(split)
-        for at, ids in whole.items():
-            encoded[at] = ids
+        if self.odd:
+            for at, words in enumerate(split):
+                if not self.odd.isdisjoint(words):
+                    text = texts[at].decode("utf-8", "replace")
+                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                    encoded[at] = np.array(ids, "<u4").tobytes()
         return encoded
 
     def _encoded(self, split: list[list[bytes]]) -> list[bytes]:
         known = self.known
         new = list({w for words in split for w in words if w not in known})
+        self.odd.update(w for w in new if any(token in w.lower() for token in self.added))
         here = {}
         for low in range(0, len(new), 20_000):
             part = new[low : low + 20_000]
