@@ -286,11 +286,15 @@ def _texts(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return staged(texts.join(wanted, "node", "left_semi"), "wanted-texts")
 
 
-def _star_edges(reps: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
-    """(hub, node, equal): each set with the least ones of its buckets, if they may be linked."""
+def _shared(bands: DataFrame) -> DataFrame:
+    """The rows of the buckets with several sets, with the least one of each as ``hub``."""
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-    edges = bands.join(hubs.where("hub < last"), "key").where("node > hub")
-    edges = staged(edges.select("hub", "node").distinct(), "star-edges")
+    return staged(bands.join(hubs.where("hub < last").drop("last"), "key"), "shared-buckets")
+
+
+def _star_edges(reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, equal): each set with the least ones of its buckets, if they may be linked."""
+    edges = staged(shared.where("node > hub").select("hub", "node").distinct(), "star-edges")
     centres = reps.select(
         F.col("node").alias("hub"), F.col("size").alias("of_size"), F.col("signature").alias("of_hub")
     )
@@ -344,10 +348,10 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _rest_links(
-    sets: DataFrame, reps: DataFrame, bands: DataFrame, parts: DataFrame, words: int, percent: int
+    sets: DataFrame, reps: DataFrame, shared: DataFrame, parts: DataFrame, words: int, percent: int
 ) -> DataFrame:
     """Links between sets that share a bucket, but no part yet."""
-    placed = bands.join(parts, F.col("node") == F.col("member"), "left")
+    placed = shared.join(parts, F.col("node") == F.col("member"), "left")
     placed = placed.select("key", "band", "node", F.coalesce("root", "node").alias("part"))
     members = staged(_open(placed), "open-buckets")
     columns = ["key", "count", "node", "part", "size", "signature", "band"]
@@ -402,8 +406,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     reps = staged(distinct.select("node").join(signatures, "node"), "signatures")
     signed = reps.select("node", "signature")
     bands = staged(in_arrow(signed, _banded, "key long, node long, band int"), "bands")
-    stars = _star_links(sets, _star_edges(reps, bands, percent), words, percent)
-    rest = _rest_links(sets, reps, bands, _parts(stars), words, percent)
+    shared = _shared(bands)
+    stars = _star_links(sets, _star_edges(reps, shared, percent), words, percent)
+    rest = _rest_links(sets, reps, shared, _parts(stars), words, percent)
     named = components(stars.unionByName(rest), "near-duplicates")
     named = named.join(distinct.select("node", "set_id", "least"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
