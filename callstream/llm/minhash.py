@@ -31,8 +31,8 @@ GROUP = 512
 BLOCKS = BANDS
 #: Members that one task compares with a hub.
 STAR = 256
-#: Rows up to which the ids of wanted texts are broadcast: 16 MB of longs.
-BROADCAST_IDS = 2_000_000
+#: Rows up to which a list of wanted sets (four longs each at most) is broadcast: 16 MB.
+BROADCAST_ROWS = 500_000
 
 #: Where an empty bin looks for a value: the other bins in an order of its own, the same for
 #: all sets, so that the first one that has a value is a fair draw (optimal densification).
@@ -277,13 +277,20 @@ def _confirmed(words: int, percent: int) -> Callable:
     return run
 
 
-def _texts(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the given nodes; their ids are broadcast while they are few."""
-    wanted = staged(nodes.select("node").distinct(), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = sets.select(F.col("row").alias("node"), "text")
-    return staged(texts.join(wanted, "node", "left_semi"), "wanted-texts")
+def _counted(rows: DataFrame, label: str) -> DataFrame:
+    """The staged rows, to be broadcast while they are few; beyond that a join shuffles them."""
+    rows = staged(rows, label)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _texts(sets: DataFrame) -> DataFrame:
+    return sets.select(F.col("row").alias("node"), "text")
+
+
+def _signed(reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Size and signature of the given sets only."""
+    wanted = _counted(nodes.select("node").distinct(), "wanted")
+    return staged(reps.join(wanted, "node", "left_semi"), "wanted-signatures")
 
 
 def _shared(bands: DataFrame) -> DataFrame:
@@ -295,10 +302,12 @@ def _shared(bands: DataFrame) -> DataFrame:
 def _star_edges(reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """(hub, node, equal): each set with the least ones of its buckets, if they may be linked."""
     edges = staged(shared.where("node > hub").select("hub", "node").distinct(), "star-edges")
-    centres = reps.select(
+    ends = edges.select("node").union(edges.select(F.col("hub").alias("node")))
+    signed = _signed(reps, ends)
+    centres = signed.select(
         F.col("node").alias("hub"), F.col("size").alias("of_size"), F.col("signature").alias("of_hub")
     )
-    both = edges.join(reps, "node").join(centres, "hub")
+    both = edges.join(signed, "node").join(centres, "hub")
     both = both.select("hub", "node", "of_size", "size", "of_hub", "signature")
     return staged(in_arrow(both, _agreeing(percent), "hub long, node long, equal long"), "plausible")
 
@@ -310,8 +319,8 @@ def _verified(sets: DataFrame, edges: DataFrame, words: int, percent: int) -> Da
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     members = staged(edges.join(sizes, "hub").select("hub", block, "node"), "star-members")
     centres = members.select("hub", "block").distinct().withColumn("node", F.col("hub"))
-    every = members.unionByName(centres)
-    rows = every.join(_texts(sets, every), "node").select("hub", "block", "node", "text")
+    every = _counted(members.unionByName(centres), "star-rows")
+    rows = _texts(sets).join(every, "node").select("hub", "block", "node", "text")
     keys = ["hub", "block"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "node")  # the hub has the least id
     return staged(in_arrow(rows, _stars(words, percent), "a long, b long"), "star-links")
@@ -354,13 +363,14 @@ def _rest_links(
     placed = shared.join(parts, F.col("node") == F.col("member"), "left")
     placed = placed.select("key", "band", "node", F.coalesce("root", "node").alias("part"))
     members = staged(_open(placed), "open-buckets")
+    signed = _signed(reps, members)
     columns = ["key", "count", "node", "part", "size", "signature", "band"]
     large = F.col("count") > BUCKET * BLOCKS
-    open_rows = members.where(~large).join(reps, "node").select(*columns)
+    open_rows = members.where(~large).join(signed, "node").select(*columns)
     split = members.where(large)
     if split.limit(1).count():
         split = in_arrow(
-            split.join(reps, "node").select("key", "band", "node", "part", "size", "signature"),
+            split.join(signed, "node").select("key", "band", "node", "part", "size", "signature"),
             _split,
             "key long, band int, node long, part long, size long, signature binary",
         )
@@ -368,8 +378,8 @@ def _rest_links(
     dealt = _dealt(open_rows.withColumnRenamed("key", "group"), BUCKET)
     found = in_arrow(dealt, _still_apart(percent), "group long, node long, part long")
     found = staged(found.distinct(), "groups")
-    counted = found.join(found.groupBy("group").count(), "group")
-    rows = counted.join(_texts(sets, found), "node").select("group", "count", "node", "part", "text")
+    counted = _counted(found.join(found.groupBy("group").count(), "group"), "group-rows")
+    rows = _texts(sets).join(counted, "node").select("group", "count", "node", "part", "text")
     return staged(in_arrow(_dealt(rows, GROUP), _confirmed(words, percent), "a long, b long"), "rest-links")
 
 
@@ -401,9 +411,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     sets = staged(in_arrow(docs.select("doc_id", "text"), _hashed(words), schema), "shingle-sets")
     same = sets.where("size > 0").groupBy("set_id")
     same = same.agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    signatures = sets.select(F.col("row").alias("node"), "size", "signature")
     distinct = staged(same, "distinct-sets")
-    reps = staged(distinct.select("node").join(signatures, "node"), "signatures")
+    repeated = distinct.where("copies > 1").select("set_id", "node")
+    others = sets.select("set_id", "row").join(repeated, "set_id").where("row != node").select("row")
+    reps = sets.where("size > 0").join(_counted(others, "copies"), "row", "left_anti")
+    reps = staged(reps.select(F.col("row").alias("node"), "size", "signature"), "signatures")
     signed = reps.select("node", "signature")
     bands = staged(in_arrow(signed, _banded, "key long, node long, band int"), "bands")
     shared = _shared(bands)

@@ -76,7 +76,7 @@ def corpus():
 
 @pytest.mark.parametrize("bucket, blocks, star, ids", [(512, 32, 2048, 10**6), (8, 4, 8, 0)])
 def test_against_all_pairs(spark, make_docs, monkeypatch, bucket, blocks, star, ids):
-    sizes = {"BUCKET": bucket, "GROUP": bucket, "BLOCKS": blocks, "STAR": star, "BROADCAST_IDS": ids}
+    sizes = {"BUCKET": bucket, "GROUP": bucket, "BLOCKS": blocks, "STAR": star, "BROADCAST_ROWS": ids}
     for name, value in sizes.items():
         monkeypatch.setattr(minhash, name, value)  # read where the plan is made
     rows = corpus()
