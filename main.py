@@ -35,7 +35,9 @@ def arguments(words: list[str] | None = None) -> argparse.Namespace:
         if name != "publish":
             command.add_argument("--checkpoint", help="folder to resume from")
             command.add_argument("--trigger", help='"5 seconds", or "available now" to end')
-            command.add_argument("--max-offsets", type=int, default=10_000, help="per micro-batch")
+            command.add_argument("--max-offsets", type=int, help="per micro-batch, 10000 by default")
+            command.add_argument("--max-files", type=int, help="of a folder, per micro-batch")
+            command.add_argument("--max-bytes", type=int, help="of a folder, per micro-batch")
             command.add_argument("--min-partitions", type=int, help="split long topic partitions")
             command.add_argument("--group-prefix", help="of the consumer group")
         if name == "count":
@@ -62,6 +64,11 @@ def arguments(words: list[str] | None = None) -> argparse.Namespace:
     args = parser.parse_args(words)
     if not args.path and not (args.servers and args.topic):
         parser.error("name --servers and --topic, or --path")
+    topic_only = ["max_offsets", "min_partitions", "group_prefix", "rate", "option"]
+    ignored = topic_only if args.path else ["max_files", "max_bytes"]
+    named = [f"--{name.replace('_', '-')}" for name in ignored if getattr(args, name, None)]
+    if named:
+        parser.error(f"{', '.join(named)}: not for {'--path' if args.path else 'a topic'}")
     if any("=" not in option for option in args.option):
         parser.error("--option takes NAME=VALUE")
     return args
@@ -73,13 +80,13 @@ def further_options(args: argparse.Namespace) -> dict[str, str]:
 
 def messages(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.path:
-        return file_messages(spark, args.path)
+        return file_messages(spark, args.path, max_files=args.max_files, max_bytes=args.max_bytes)
     rate = getattr(args, "rate", None)
     return kafka_messages(
         spark,
         args.servers,
         args.topic,
-        max_offsets=offsets_per_trigger(*rate) if rate else args.max_offsets,
+        max_offsets=offsets_per_trigger(*rate) if rate else args.max_offsets or 10_000,
         min_partitions=args.min_partitions,
         group_prefix=args.group_prefix,
         **further_options(args),

@@ -9,8 +9,8 @@ from pyspark.sql.types import StructType
 
 import main
 from callstream.operators.counts import PAIR
-from callstream.streaming import read_latest
-from helpers import call, rows
+from callstream.streaming import read_latest, start_query
+from helpers import call, rows, write_messages
 
 
 def test_publish_count_and_report(spark, tmp_path, capsys):
@@ -54,3 +54,26 @@ def test_publish_count_and_report(spark, tmp_path, capsys):
 def test_what_a_command_needs_or_does_not_take(words):
     with pytest.raises(SystemExit):
         main.arguments(words)
+
+
+@pytest.mark.parametrize(
+    "words",
+    [
+        ["--path", "f", "--max-offsets", "5"],
+        ["--path", "f", "--option", "a=b"],
+        ["--path", "f", "--rate", "1", "2", "3"],
+        ["--servers", "h:1", "--topic", "t", "--max-files", "1"],
+    ],
+)
+def test_options_that_would_be_ignored_are_refused(words, capsys):
+    with pytest.raises(SystemExit):
+        main.arguments(["report", *words])
+    assert "not for" in capsys.readouterr().err
+
+
+def test_folders_are_admitted_by_files(spark, tmp_path):
+    folder = write_messages(tmp_path / "calls", [[call()]] * 3)
+    args = main.arguments(["count", "--path", folder, "--max-files", "1"])
+    query = start_query(main.messages(spark, args), "append", "noop", "available now")
+    query.awaitTermination()
+    assert [p.numInputRows for p in query.recentProgress if p.numInputRows] == [1, 1, 1]
