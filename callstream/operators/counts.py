@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callstream.operators.distinct import distinct_rows, distinct_within, first_seen
@@ -40,6 +40,29 @@ def pair_counts(calls: DataFrame, dedup: bool = True) -> DataFrame:
     return calls.groupBy(*PAIR).agg(count.alias("count"))
 
 
+def pair_counts_from(calls: DataFrame, earlier: DataFrame, dedup: bool = True) -> DataFrame:
+    """``pair_counts`` that goes on from the counts of an ``earlier`` query: its pairs and ``count``.
+
+    For a stream, ``earlier`` is a stream too (``earlier_counts``): its rows come in with the first
+    micro-batch and are in the state from then on.
+    """
+    one = F.lit(1).cast("long")
+    new = calls.select(*PAIR, one.alias("_calls"))
+    old = earlier.select(*PAIR, F.col("count").alias("_calls"))
+    count = F.max(one) if dedup else F.sum("_calls")
+    return new.unionByName(old).groupBy(*PAIR).agg(count.alias("count"))
+
+
+def earlier_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The state of a pair count, written by ``state.write_state``, as a stream of counts.
+
+    The column of the count is named after the aggregate that kept it.
+    """
+    schema = spark.read.parquet(path).schema
+    (count,) = [name for name in schema.names if name not in PAIR]
+    return spark.readStream.schema(schema).parquet(path).withColumnRenamed(count, "count")
+
+
 def description_counts(
     calls: DataFrame,
     codes: DataFrame,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from callstream.functions import messages as codec
-from callstream.operators import counts, lookups, microbatch, windows
+from callstream.operators import counts, drift, lookups, microbatch, windows
 from callstream.plans import jobs, tables
 from callstream.plans.jobs import run_description_counts, start_statistics_tables
 from callstream.schemas import CALL_TIME, CALL_TYPE, CALLS, CRIME_ID, DESCRIPTION, DISPOSITION
@@ -24,6 +24,7 @@ from callstream.streaming.queries import (
     start_query,
 )
 from callstream.streaming.sinks import publish_messages
+from callstream.streaming.state import read_state, state_operators, write_state
 from callstream.streaming.tables import read_latest
 from callstream.workspace import scratch_dir
 
@@ -110,6 +111,45 @@ def published_records(spark, sf_dir):
     return tables.plain_times(codec.parse_calls(file_messages(spark, topic, streaming=False)))
 
 
+def published_resumed(spark, sf_dir):
+    """Published three times with one checkpoint, with further files before the second run."""
+    path, topic = scratch_dir(spark, "event-files"), scratch_dir(spark, "topic")
+    checkpoint = scratch_dir(spark, "checkpoint")
+    for first, last in ((0, 2), (2, 4), (4, 4)):
+        tables.events_in_files(spark, sf_dir, path, first, last)
+        calls = tables.calls_of_files(spark, path)
+        publish_messages(calls, "text", checkpoint, AVAILABLE_NOW, path=topic).awaitTermination()
+    return tables.plain_times(codec.parse_calls(file_messages(spark, topic, streaming=False)))
+
+
+def _untyped_messages(events):
+    """Calls, but for those of one type the events as they are, and for another one a number
+    where the calls have text."""
+    calls = tables.calls_from_events(events).select(F.col("*"), F.col(CALL_TYPE).alias("_kind"))
+    number = F.col(CRIME_ID).cast("long")
+    kinds = [
+        calls.where("_kind NOT IN ('error', 'view')").drop("_kind"),
+        calls.where("_kind = 'view'").withColumn(CRIME_ID, number).drop("_kind"),
+        events.where("event_type = 'error'"),
+    ]
+    sent = [codec.encode_calls(kind) for kind in kinds]
+    return sent[0].union(sent[1]).union(sent[2])
+
+
+def schema_drift_untyped(spark, sf_dir):
+    """Fields and types of the messages that are not declared."""
+    messages = _untyped_messages(tables.events(spark, sf_dir))
+    return drift.schema_drift(drift.message_fields(messages))
+
+
+def schema_drift_batches(spark, sf_dir):
+    """The same over several micro-batches."""
+    path = _event_files(spark, sf_dir)
+    reader = spark.readStream.schema(tables.EVENTS).option("maxFilesPerTrigger", 1)
+    found = drift.message_fields(_untyped_messages(reader.parquet(path)))
+    return drift.schema_drift(run_to_table(found, "complete"))
+
+
 def tail_messages(spark, sf_dir):
     calls = tables.calls(spark, sf_dir)
     value = F.to_json(F.struct(*[F.col(name) for name in calls.columns])).cast("binary")
@@ -193,6 +233,56 @@ def pair_counts_occurrences_stream(spark, sf_dir):
     return run_to_table(found, "update", PAIR)
 
 
+def _moved(spark, sf_dir, dedup):
+    """Counted over half of the messages, stopped, and gone on with 16 state partitions."""
+    path, topic = scratch_dir(spark, "event-files"), scratch_dir(spark, "topic")
+    publish, old, state = (scratch_dir(spark, name) for name in ("publish", "checkpoint", "state"))
+    result, fewer, more = scratch_dir(spark, "moved"), spark.newSession(), spark.newSession()
+
+    def send(first, last):
+        tables.events_in_files(spark, sf_dir, path, first, last)
+        calls = tables.calls_of_files(spark, path)
+        publish_messages(calls, "parquet", publish, AVAILABLE_NOW, path=topic).awaitTermination()
+
+    def calls(session, **after):
+        messages = file_messages(session, topic, "parquet", max_files=1, **after)
+        return codec.parse_calls(messages, PAIR)
+
+    fewer.conf.set("spark.sql.shuffle.partitions", "4")
+    more.conf.set("spark.sql.shuffle.partitions", "16")
+    send(0, 2)
+    found = counts.pair_counts(calls(fewer), dedup)
+    start_query(found, "complete", "noop", AVAILABLE_NOW, old).awaitTermination()
+    write_state(spark, old, state)
+    send(2, 4)
+    found = counts.pair_counts_from(
+        calls(more, after=old), counts.earlier_counts(more, state), dedup
+    )
+    run_to_table(found, "complete", path=result)
+    return read_latest(spark, result, found.schema)
+
+
+def pair_counts_moved_distinct(spark, sf_dir):
+    return _moved(spark, sf_dir, True)
+
+
+def pair_counts_moved_occurrences(spark, sf_dir):
+    return _moved(spark, sf_dir, False)
+
+
+def state_table(spark, sf_dir):
+    """The state of a pair count as a table, with the number of its partitions."""
+    checkpoint = scratch_dir(spark, "checkpoint")
+    calls = tables.calls_of_files(spark, _event_files(spark, sf_dir))
+    found = counts.pair_counts(calls, dedup=False)
+    start_query(found, "complete", "noop", AVAILABLE_NOW, checkpoint).awaitTermination()
+    kept = state_operators(spark, checkpoint).first()
+    inside = F.col("partition_id") < kept["numPartitions"]
+    return read_state(spark, checkpoint).select(
+        *PAIR, "count", F.lit(kept["operatorName"]).alias("operator"), inside.alias("inside")
+    )
+
+
 def description_counts(spark, sf_dir):
     return counts.description_counts(tables.calls(spark, sf_dir), tables.codes(spark, sf_dir))
 
@@ -473,6 +563,9 @@ QUERIES: dict[str, Query] = {
         observed_messages_stream,
         published_messages,
         published_records,
+        published_resumed,
+        schema_drift_untyped,
+        schema_drift_batches,
         tail_messages,
         code_table,
         code_table_array,
@@ -484,6 +577,9 @@ QUERIES: dict[str, Query] = {
         pair_counts_distinct_stream,
         pair_counts_occurrences,
         pair_counts_occurrences_stream,
+        pair_counts_moved_distinct,
+        pair_counts_moved_occurrences,
+        state_table,
         description_counts,
         description_counts_messages,
         description_counts_topic,

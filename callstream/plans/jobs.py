@@ -13,10 +13,10 @@ from callstream.functions.messages import parse_calls, parse_or_keep, tail_messa
 from callstream.operators.counts import PAIR, description_counts, pair_counts
 from callstream.operators.lookups import BROADCAST_BYTES, BROADCAST_ROWS
 from callstream.schemas import CALL_TIME, CALL_TYPE, DESCRIPTION, narrowed
-from callstream.sources import file_messages, read_call_file
+from callstream.sources import call_file_stream, file_messages, read_call_file
 from callstream.streaming.live import EmptyTriggers, start_live_counts
 from callstream.streaming.queries import AVAILABLE_NOW, start_query
-from callstream.streaming.sinks import print_messages, publish_messages, show_result
+from callstream.streaming.sinks import print_messages, publish_messages, send, show_result
 from callstream.streaming.tables import append_rows, read_latest, write_latest
 from callstream.workspace import scratch_dir
 
@@ -219,10 +219,31 @@ def publish_file(
     if multi_line:
         publish_messages(read_call_file(spark, file), fmt, **options)
         return
-    lines = file_messages(spark, file, streaming=False)
-    if fmt == "text":
-        lines = lines.select(lines["value"].cast("string").alias("value"))
-    lines.write.format(fmt).mode("append").options(**options).save()
+    send(file_messages(spark, file, streaming=False), fmt, **options)
+
+
+def start_publishing(
+    spark: SparkSession,
+    files: str,
+    checkpoint: str,
+    fmt: str = "kafka",
+    multi_line: bool = True,
+    schema: StructType | None = None,
+    max_files: int | None = None,
+    trigger: str | None = AVAILABLE_NOW,
+    **options: str,
+) -> StreamingQuery:
+    """``publish_file`` that may be repeated: a record file, or a folder of them, as a stream.
+
+    Run again with the same ``checkpoint`` it sends the files that are new or were not reached, and
+    nothing twice (but see ``publish_messages`` for a topic). ``max_files`` go out at a time. A
+    ``schema`` spares array files the pass that finds their fields.
+    """
+    if multi_line:
+        schema = schema or read_call_file(spark, files).schema
+        records = call_file_stream(spark, files, schema, max_files)
+        return publish_messages(records, fmt, checkpoint, trigger, **options)
+    return send(file_messages(spark, files, max_files=max_files), fmt, checkpoint, trigger, **options)
 
 
 def start_tail(

@@ -117,6 +117,15 @@ _HEAD = f"""select * from (
         partition by window_end order by batch_end, count desc, {_KIND}) as int) as position
     from ({_windowed()})) where position <= 10"""
 
+# Events of one type come as they are, those of another with a number for an id.
+_DRIFT = """
+    with found(field, type) as (values ('event_id', 'BIGINT'), ('ts', 'STRING'),
+             ('user_id', 'BIGINT'), ('event_type', 'STRING'), ('props', 'STRING'))
+    select field, 'undeclared' as drift, type, count(*) as messages
+    from found, events where event_type = 'error' group by all
+    union all
+    select 'crime_id', 'type', 'VARIANT', count(*) from events where event_type <> 'error'"""
+
 ORACLES: dict[str, str] = {
     "parse_calls": _CALLS,
     "parse_malformed": _BROKEN,
@@ -129,6 +138,9 @@ ORACLES: dict[str, str] = {
                0::bigint as without_time, true as several from events""",
     "published_messages": f"select *, cast(14 as bigint) as n_fields from ({_CALLS})",
     "published_records": _CALLS,
+    "published_resumed": _CALLS,
+    "schema_drift_untyped": _DRIFT,
+    "schema_drift_batches": _DRIFT,
     "tail_messages": f"""select event_id as "offset", event_type as {_KIND},
         {_D} as disposition, strftime(ts, '%H:%M') as call_time from events""",
     "code_table": _CODES,
@@ -141,6 +153,9 @@ ORACLES: dict[str, str] = {
     "pair_counts_distinct_stream": f"select *, cast(1 as bigint) as count from ({_PAIRS})",
     "pair_counts_occurrences": _OCCURRENCES,
     "pair_counts_occurrences_stream": _OCCURRENCES,
+    "pair_counts_moved_distinct": f"select *, cast(1 as bigint) as count from ({_PAIRS})",
+    "pair_counts_moved_occurrences": _OCCURRENCES,
+    "state_table": f"select *, 'stateStoreSave' as operator, true as inside from ({_OCCURRENCES})",
     "description_counts": _descriptions("event_type"),
     "description_counts_messages": _descriptions("event_type"),
     "description_counts_topic": _descriptions("event_type"),

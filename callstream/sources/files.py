@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from callstream.schemas import CODES, DESCRIPTION, DISPOSITION
+from callstream.streaming.state import files_read, one_spelling
+from callstream.workspace import hadoop_path
 
+# What Spark takes for a pattern of paths.
+_PATTERN = set("*?[]{}")
 _VALUE = StructType([StructField("value", BinaryType())])
 
 
+def _as_glob(spark: SparkSession, path: str) -> str:
+    """A single file as a pattern: a file stream takes folders and patterns only."""
+    if _PATTERN & set(path):
+        return path
+    files, found = hadoop_path(spark, path)
+    return f"{path[:-1]}[{path[-1]}]" if files.exists(found) and files.isFile(found) else path
+
+
 def file_messages(
     spark: SparkSession,
     path: str,
@@ -18,10 +30,13 @@ def file_messages(
     streaming: bool = True,
     max_files: int | None = None,
     max_bytes: int | None = None,
+    after: str | None = None,
 ) -> DataFrame:
     """Messages from JSON-lines text files, or from parquet files with a ``value``.
 
-    ``max_files`` or ``max_bytes`` limits what one micro-batch admits.
+    ``max_files`` or ``max_bytes`` limits what one micro-batch admits. ``after`` names the
+    checkpoint of a stopped query over the same folder alone: the files that it has read are left
+    out. Name it again whenever the new query is resumed.
     """
     reader = spark.readStream if streaming else spark.read
     if streaming and max_files is not None:
@@ -30,7 +45,12 @@ def file_messages(
         reader = reader.option("maxBytesPerTrigger", max_bytes)
     if fmt != "text":
         reader = reader.schema(_VALUE)
-    return reader.format(fmt).load(path).select(F.col("value").cast("binary").alias("value"))
+    rows = reader.format(fmt).load(_as_glob(spark, path) if streaming else path)
+    if after is not None:
+        rows = rows.withColumn("_path", one_spelling(F.col("_metadata.file_path")))
+        known = files_read(spark, after).withColumnRenamed("path", "_path")
+        rows = rows.join(known, "_path", "left_anti")
+    return rows.select(F.col("value").cast("binary").alias("value"))
 
 
 def read_call_file(
@@ -49,6 +69,16 @@ def read_call_file(
     return reader.json(path, multiLine=multi_line)
 
 
+def call_file_stream(
+    spark: SparkSession, path: str, schema: StructType, max_files: int | None = None
+) -> DataFrame:
+    """The same of JSON array files, each admitted once; broken JSON ends the query."""
+    reader = spark.readStream.schema(schema).option("mode", "FAILFAST").option("multiLine", True)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.json(_as_glob(spark, path))
+
+
 def read_codes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The code table, renamed to join with call records. Broken JSON is an error: a table
     read in part would let the join drop calls."""

@@ -61,11 +61,17 @@ def arguments(words: list[str] | None = None) -> argparse.Namespace:
         if name == "publish":
             command.add_argument("--file", required=True, help="record file")
             command.add_argument("--lines", action="store_true", help="JSON lines, no array")
+            command.add_argument("--checkpoint", help="send what a run with it has not sent yet")
+            command.add_argument("--max-files", type=int, help="sent at a time, with --checkpoint")
     args = parser.parse_args(words)
     if not args.path and not (args.servers and args.topic):
         parser.error("name --servers and --topic, or --path")
     topic_only = ["max_offsets", "min_partitions", "group_prefix", "rate", "option"]
     ignored = topic_only if args.path else ["max_files", "max_bytes"]
+    if args.command == "publish":
+        ignored = ["option"] if args.path else []
+        if args.max_files and not args.checkpoint:
+            parser.error("--max-files: only with --checkpoint")
     named = [f"--{name.replace('_', '-')}" for name in ignored if getattr(args, name, None)]
     if named:
         parser.error(f"{', '.join(named)}: not for {'--path' if args.path else 'a topic'}")
@@ -125,7 +131,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             else {"kafka.bootstrap.servers": args.servers, "topic": args.topic}
             | further_options(args)
         )
-        jobs.publish_file(spark, args.file, multi_line=not args.lines, **target)
+        if args.checkpoint:
+            shared = {"multi_line": not args.lines, "max_files": args.max_files}
+            run_all([jobs.start_publishing(spark, args.file, args.checkpoint, **shared, **target)])
+        else:
+            jobs.publish_file(spark, args.file, multi_line=not args.lines, **target)
     else:
         run_all([jobs.start_tail(messages(spark, args), args.trigger, args.checkpoint)])
 
