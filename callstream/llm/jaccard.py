@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callstream.llm.common import as_bytes, documents, in_arrow, staged
@@ -107,14 +107,14 @@ def _sampled(words: int) -> Callable:
                 ids.append(set_id(tokens))
                 sizes.append(len(tokens))
                 samples.append(sample(tokens).tobytes())
+            made = [
+                pa.array(ids, pa.binary()),
+                pa.array(sizes, pa.int64()),
+                pa.array(samples, pa.binary()),
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(ids, pa.binary()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(samples, pa.binary()),
-                ],
-                names=[batch.schema.names[0], "set_id", "size", "sample"],
+                [batch.column(0), *made, *batch.columns[2:]],
+                names=["doc_id", "set_id", "size", "sample", *batch.schema.names[2:]],
             )
 
     return run
@@ -284,7 +284,7 @@ def _verified(words: int, similarity: float) -> Callable:
             for s, i, c, text in zip(side, ids, copies, as_bytes(rows.column(6))):
                 if i not in found:
                     tokens = shingles(text, words)
-                    if set_id(tokens) == i:  # else another row of the same doc_id
+                    if set_id(tokens) == i:
                         found[i] = s, c, tokens
             if len(found) < 2:
                 continue
@@ -380,6 +380,22 @@ def _candidate_edges(reps: DataFrame, similarity: float, recall: float) -> DataF
     return edges
 
 
+def _row_key() -> list[Column]:
+    """128 bits of a row's id and text, the same in every scan; null ids are as good as others."""
+    first, second = F.xxhash64("text", "doc_id"), F.xxhash64(F.lit(1), "text", "doc_id")
+    return [first.alias("__key"), second.alias("__key2")]
+
+
+def _with_texts(chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """The text of the one row that each chosen set names by its key.
+
+    Rows that repeat an id and a text share a key; one of them is taken, in the partitions of the
+    join, so that no set brings more than one text with it.
+    """
+    keyed = texts.select("text", *_row_key())
+    return chosen.join(keyed, ["__key", "__key2"]).dropDuplicates(["__key", "__key2"])
+
+
 def similar_documents(
     docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, words: int = WORDS
 ) -> DataFrame:
@@ -406,16 +422,16 @@ def similar_documents(
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
-    sets = staged(
-        in_arrow(texts, _sampled(words), f"doc_id {kind}, set_id binary, size long, sample binary"),
-        "shingle-sets",
-    )
+    schema = f"doc_id {kind}, set_id binary, size long, sample binary, __key long, __key2 long"
+    keyed = texts.select("doc_id", "text", *_row_key())
+    sets = staged(in_arrow(keyed, _sampled(words), schema), "shingle-sets")
     reps = staged(
         sets.groupBy("set_id").agg(
             F.min("doc_id").alias("copy_of"),
             F.count("*").alias("copies"),
             F.first("size").alias("size"),
             F.first("sample").alias("sample"),
+            F.min(F.struct("__key", "__key2")).alias("row"),
         ),
         "distinct-sets",
     )
@@ -423,11 +439,9 @@ def similar_documents(
     sizes = staged(groups.groupBy("root").agg(F.count("*").alias("count")), "group-sizes")
     numbered = groups.join(sizes, "root").join(reps, F.col("node") == F.col("set_id"))
     chosen = numbered.select(
-        F.xxhash64("root").alias("group"), "count", "set_id", "copies", F.col("copy_of").alias("__id")
-    )
-    fetched = chosen.join(texts, F.col("__id").eqNullSafe(F.col("doc_id"))).select(
-        "group", "count", "set_id", "copies", "text"
+        F.xxhash64("root").alias("group"), "count", "set_id", "copies", "row.*"
     )
+    fetched = _with_texts(chosen, texts).select("group", "count", "set_id", "copies", "text")
     blocked = _blocked(fetched, "group", "count", BUCKET)
     verified = staged(
         in_arrow(blocked, _verified(words, similarity), "a binary, b binary, links long"), "links"

@@ -95,6 +95,22 @@ def test_edges(spark, make_docs):
     assert found(jaccard.similar_documents(clash)) == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 2, 2, 0)]
 
 
+def test_rows_without_an_id_bring_one_text_each(spark, make_docs, monkeypatch):
+    rng = random.Random(5)
+    base = " ".join(f"w{i}" for i in range(120))
+    texts = [changed(rng, base, 1) for _ in range(40)]
+    rows = [(None, text) for text in texts] + [(7, text) for text in texts[:10]] + [(None, texts[0])] * 5
+    fetched = []
+
+    def counted(chosen, texts, fetch=jaccard._with_texts):
+        fetched.append(fetch(chosen, texts).count())
+        return fetch(chosen, texts)
+
+    monkeypatch.setattr(jaccard, "_with_texts", counted)
+    assert found(jaccard.similar_documents(make_docs(rows))) == brute(rows)
+    assert fetched == [40]  # sets, not rows times rows
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     names = [(f"{a:04d}".encode(), f"{b:04d}".encode()) for a, b in edges]
