@@ -9,17 +9,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
-from callstream.llm.common import as_bytes, documents, in_arrow, staged
+from callstream.llm.common import as_bytes, documents, in_arrow, staged, unpacked, whole_row
 
 CAPACITY = 4096
 END_ID = 1
-#: Rows that one task sweeps, and blocks whose loose sequences one task gathers afterwards.
-BLOCK_ROWS = 25_000
-FAN_IN = 32
+#: Rows and gaps that one task sweeps (about 150 bytes each).
+RANGE_ROWS = 500_000
 #: Words whose ids a Python worker keeps (about 200 bytes each).
 KEPT_WORDS = 700_000
 _tokenizers: dict[str, _WordIds] = {}
@@ -132,160 +131,169 @@ def tokenized_pieces(
     return in_arrow(docs.select("doc_id", "text"), _pieces(tokenizer, capacity), schema)
 
 
-class _Gaps:
-    """Open sequences by the room left in them; a bit set finds the next room that suffices."""
+def _brackets(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Match sorted rows and gaps like brackets: a gap gets the nearest row before it still free.
 
-    def __init__(self, capacity: int):
-        self.by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.rooms = 0
-
-    def add(self, room: int, sequence: int) -> None:
-        self.by_room[room].append(sequence)
-        self.rooms |= 1 << room
-
-    def successor(self, length: int) -> tuple[int, int] | None:
-        """Take out a sequence with the least room that holds the length."""
-        over = self.rooms >> length
-        if not over:
-            return None
-        room = length + ((over & -over).bit_length() - 1)
-        sequence = self.by_room[room].pop()
-        if not self.by_room[room]:
-            self.rooms ^= 1 << room
-        return room, sequence
+    The level of each, and the places of the rows and of the gaps that were matched.
+    """
+    depth = np.cumsum(np.where(is_gap, -1, 1))
+    level = np.where(is_gap, depth + 1, depth)
+    order = np.argsort(level, kind="stable")
+    levels, gap = level[order], is_gap[order]
+    hit = np.flatnonzero((levels[1:] == levels[:-1]) & ~gap[:-1] & gap[1:])
+    return level, order[hit], order[hit + 1]
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a range, matched where they can be, and the gaps that are left over."""
+    part = TaskContext.get().partitionId()
+    rows = pa.Table.from_batches(found) if (found := list(batches)) else None
+    if rows is None or not rows.num_rows:
+        return
+    is_gap = rows["is_gap"].to_numpy().astype(bool)
+    ids = rows["id"].to_numpy()
+    level, matched, taken = _brackets(is_gap)
+    mate, free = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+    mate[matched], free[matched] = ids[taken], False
+    keep = np.ones(len(ids), bool)
+    keep[taken] = False
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(keep.sum(), part, np.int32)),
+            pa.array(is_gap[keep].astype(np.int32)),
+            pa.array(ids[keep]),
+            pa.array(rows["size"].to_numpy()[keep]),
+            pa.array(mate[keep], mask=free[keep]),
+            pa.array(level[keep].astype(np.int64)),
+        ],
+        names=["part", "is_gap", "id", "size", "mate", "level"],
+    )
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence and offset of each length, the longest first, and the room left per sequence.
+def _over_borders(swept: DataFrame) -> DataFrame:
+    """What the ranges left over, matched with each other: ``mate`` of the rows that get a gap.
 
-    Equal lengths are taken in the order given: a rank decides who gets a gap.
+    A range begins at the level that the ranges before it end at. At one level a range leaves a
+    gap and a row at most, so the next gap of a row's level, if it comes next, is its match.
     """
-    order = np.argsort(-lengths, kind="stable")
-    sequences = np.zeros(len(lengths), np.int64)
-    offsets = np.zeros(len(lengths), np.int64)
-    left: list[int] = []
-    gaps = _Gaps(capacity)
-    for at in order.tolist():
-        length = int(lengths[at])
-        found = gaps.successor(length)
-        if found is None:
-            found = capacity, len(left)
-            left.append(capacity)
-        room, sequence = found
-        sequences[at], offsets[at] = sequence, capacity - room
-        left[sequence] = room - length
-        if room > length:
-            gaps.add(room - length, sequence)
-    return sequences, offsets, np.array(left, np.int64)
-
-
-def _sweep(capacity: int, last: bool) -> Callable:
-    """Match the rows of each block; a block's rows stand together in its partition.
-
-    A loose sequence, one less than half full (best fit leaves one of them at most), is given up
-    for the next round unless this one is the last.
+    left = swept.where("mate IS NULL").drop("mate")
+    change = left.groupBy("part").agg(F.sum(F.expr("1 - 2 * is_gap")).alias("n")).collect()
+    before, starts = 0, []
+    for part, n in sorted(map(tuple, change)):
+        starts.append((part, before))
+        before += n
+    carried = swept.sparkSession.createDataFrame(starts, "part int, start long")
+    left = left.join(F.broadcast(carried), "part").withColumn("level", F.expr("level + start"))
+    along = Window.partitionBy("level").orderBy("part", F.desc("is_gap"))
+    follower = F.when(F.lead("is_gap").over(along) == 1, F.lead("id").over(along))
+    return left.select("is_gap", "id", "size", follower.alias("mate")).where("is_gap = 0")
+
+
+def _counts(rows: DataFrame, gaps: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """How many rows there are of each length, and gaps of each room: no more than the capacity."""
+    both = rows.select("size", F.lit(0).alias("is_gap"))
+    both = both.unionByName(gaps.select("size", F.lit(1).alias("is_gap")))
+    found: tuple[dict[int, int], dict[int, int]] = {}, {}
+    for size, is_gap, n in both.groupBy("size", "is_gap").count().collect():
+        found[is_gap][size] = n
+    return found
+
+
+def _round(rows: DataFrame, gaps: DataFrame, slot: int, most: int, ranges: int) -> DataFrame:
+    """One sweep: all rows, with the gap that each got as ``mate``.
+
+    A gap with room for several rows of the longest length offers a slot for each, ``most`` slots
+    at most; the last of them has the rest of its room.
     """
-
-    def swept(rows: pa.Table) -> pa.RecordBatch:
-        lengths = rows["length"].to_numpy()
-        sequences, offsets, left = best_fit(lengths, capacity)
-        block = int(rows["block"][0].as_py())
-        numbers = (np.int64(block) << 32) + sequences
-        if not last:
-            loose = left > capacity // 2
-            numbers = np.where(loose[sequences], -1, numbers)
-        merged = rows.drop_columns(["block"])
-        merged = merged.append_column("sequence_id", pa.array(numbers))
-        merged = merged.append_column("offset", pa.array(offsets))
-        return merged.combine_chunks().to_batches()[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-        for batch in batches:
-            blocks = batch.column(batch.schema.get_field_index("block")).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for low, high in zip(cuts, cuts[1:]):
-                if high == low:
-                    continue
-                if held and blocks[low] != current:
-                    yield swept(pa.Table.from_batches(held))
-                    held = []
-                current = blocks[low]
-                held.append(batch.slice(low, high - low))
-        if held:
-            yield swept(pa.Table.from_batches(held))
-
-    return run
+    number = F.greatest(F.lit(1), F.least(F.expr(f"size div {slot}"), F.lit(most)))
+    slots = gaps.withColumn("slots", number.cast("long"))
+    slots = slots.select("id", "size", "slots", F.explode(F.expr("sequence(1L, slots)")).alias("at"))
+    size = F.when(F.col("at") == 1, F.expr(f"size - (slots - 1) * {slot}")).otherwise(F.lit(slot))
+    both = rows.select("id", "size", F.lit(0).alias("is_gap")).unionByName(
+        slots.select("id", size.cast("long").alias("size"), F.lit(1).alias("is_gap"))
+    )
+    order = ("size", "is_gap", "id")
+    ranged = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    schema = "part int, is_gap int, id long, size long, mate long, level long"
+    swept = staged(in_arrow(ranged, _sweep, schema), "packing-sweep")
+    inside = swept.where("is_gap = 0 AND mate IS NOT NULL").select("id", "size", "mate")
+    return inside.unionByName(_over_borders(swept).select("id", "size", "mate"))
 
 
-def _round(rows: DataFrame, blocks: int, capacity: int, first: int, last: bool) -> DataFrame:
-    """Range-sort by length, deal the sorted rows out to the blocks, sweep every block.
+def _best_fit(rows: DataFrame, gaps: DataFrame, capacity: int, range_rows: int) -> list[DataFrame]:
+    """The gap of each row, in rounds, as tables of ``id``, ``size`` and ``mate``.
 
-    Every block gets each ``blocks``-th row of a sorted range, so all blocks hold the same mix
-    of lengths, whatever length a third of the rows may have.
+    Sequences are opened only where the rows left have more tokens than the gaps, or are longer
+    than any gap, and no more than those tokens fill. New ones have negative numbers.
     """
-    keys = [c for c in rows.columns if c not in ("sequence_id", "offset")]
-    own = [c for c in keys if c != "length"]
-    ranged = rows.select(*keys)
-    if blocks > 1:
-        ranged = ranged.withColumn("__salt", F.xxhash64(*own)).repartitionByRange("length", "__salt")
-        ranged = ranged.sortWithinPartitions(F.desc("length"), "__salt", *own).drop("__salt")
-        dealt = ranged.withColumn("__at", F.monotonically_increasing_id())
-        turn = F.shiftright("__at", 33) * 7919 + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-        dealt = dealt.withColumn("block", (F.pmod(turn, F.lit(blocks)) + first).cast("long")).drop("__at")
-    else:
-        dealt = ranged.withColumn("block", F.lit(first).cast("long"))
-    schema = StructType([f for f in dealt.schema if f.name != "block"])
-    schema = schema.add("sequence_id", LongType()).add("offset", LongType())
-    gathered = dealt.repartition(blocks, "block").sortWithinPartitions("block", F.desc("length"), *own)
-    return in_arrow(gathered, _sweep(capacity, last), schema)
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    spark = rows.sparkSession
+    placed: list[DataFrame] = []
+    opened = 0
+    while True:
+        lengths, rooms = _counts(rows, gaps)
+        if not lengths:
+            return placed
+        least, longest, widest = min(lengths), max(lengths), max(rooms, default=0)
+        room = sum(size * n for size, n in rooms.items() if size >= least)
+        tokens = sum(size * n for size, n in lengths.items())
+        stuck = sum(size * n for size, n in lengths.items() if size > widest)
+        new = max(0, math.ceil((tokens - room) / capacity), math.ceil(stuck / capacity))
+        fresh = spark.range(opened, opened + new)
+        opened += new
+        fresh = fresh.select((-1 - F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("size"))
+        gaps = gaps.where(F.col("size") >= least).unionByName(fresh)
+        n_rows = sum(lengths.values())
+        n_gaps = new + sum(n for size, n in rooms.items() if size >= least)
+        most = max(1, math.ceil(2 * n_rows / n_gaps))
+        ranges = math.ceil((n_rows + min(n_gaps * most, n_gaps + room // longest)) / range_rows)
+        swept = staged(_round(rows, gaps, longest, most, ranges), "packing-round")
+        rows = swept.where("mate IS NULL").select("id", "size")
+        placed.append(swept.where("mate IS NOT NULL"))
+        taken = placed[-1].select(F.col("mate").alias("id"), (-F.col("size")).alias("size"))
+        gaps = gaps.unionByName(taken).groupBy("id").agg(F.sum("size").alias("size"))
+        gaps = staged(gaps.where(F.col("size") >= least), "packing-gaps")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Give each row (with a ``length`` of 1 to ``capacity``) a ``sequence_id`` and an ``offset``.
 
-    Rounds: all rows are range-sorted by length and dealt to blocks of about ``block_rows`` rows;
-    every task sweeps its blocks from the longest row to the shortest, each row taking the gap
-    that is the next in size (conflicts among equal lengths go by rank), and updates the gaps.
-    The rows of sequences left loose go into the next round, over fewer blocks, until one block
-    sweeps the rest; a block leaves one loose sequence at most. Full-length rows are
-    sequences by themselves. The other columns are kept and should tell rows apart, so that a
-    task that runs again deals them as before; rows alike in all columns may swap places.
-
-    An empty table gives an empty table. Columns ``sequence_id``, ``offset`` and ``block`` of the
-    input are replaced.
+    A row of more than half the capacity begins a sequence, whose room left is a gap. Then, in
+    rounds, rows and gaps are sorted together by size into ranges of about ``range_rows``; each
+    task sweeps its range upwards and gives a gap the longest row before it that is still free, so
+    a row gets the next larger gap that no other row before the gap has a better claim to. What
+    the ranges leave over is matched over their borders. The rows that got one leave, the gaps
+    lose their lengths, and the next round begins, until no row is left. Rows of equal length
+    rank by a number given to them when the input is written. Within a sequence rows stand by
+    length, the longest first. The driver learns how many rows and gaps there are of each size,
+    ``capacity`` numbers of both, and one number a range.
+
+    A gap takes several rows in a round, so rounds grow with the logarithm of the capacity: seven
+    for the lengths of documents. The other columns are kept; rows alike in all columns are rows
+    of their own. A row whose length is null, not positive, or beyond the capacity is a
+    sequence by itself. An empty table gives an empty table. Columns ``sequence_id`` and ``offset``
+    of the input are replaced.
     """
-    gone = {"sequence_id", "offset", "block"}
-    rows = pieces.select(*[f"`{c}`" for c in pieces.columns if c.lower() not in gone])
-    whole = rows.where(F.col("length") >= capacity)
-    full = whole.select(
-        "*",
-        (-2 - F.monotonically_increasing_id()).alias("sequence_id"),
-        F.lit(0).cast("long").alias("offset"),
+    own = pieces.select(
+        F.monotonically_increasing_id().alias("id"), F.col("length").cast("long").alias("size"), whole_row(pieces)
     )
-    open_rows = rows.where(F.col("length") < capacity)
-    count = open_rows.count()
-    blocks = max(1, math.ceil(count / block_rows))
-    done, first = [full], 0
-    while True:
-        last = blocks == 1
-        swept = _round(open_rows, blocks, capacity, first, last)
-        if last:
-            done.append(swept)
-            break
-        swept = staged(swept, "packing-round")
-        done.append(swept.where("sequence_id >= 0"))
-        open_rows = swept.where("sequence_id < 0")
-        first += blocks
-        remaining = open_rows.count()
-        blocks = min(max(1, blocks // FAN_IN), max(1, math.ceil(remaining / block_rows)))
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
-    return result
+    own = staged(own, "pieces")
+    fits = F.coalesce(F.col("size").between(1, capacity // 2), F.lit(False))
+    rows = own.where(fits).select("id", "size")
+    begun = own.where(~fits).select("id", "size", F.col("id").alias("mate"))
+    gaps = begun.where(F.col("size").between(1, capacity - 1))
+    gaps = gaps.select("id", (F.lit(capacity) - F.col("size")).cast("long").alias("size"))
+    placed = begun
+    for part in _best_fit(rows, gaps, capacity, range_rows):
+        placed = placed.unionByName(part)
+    before = Window.partitionBy("mate").orderBy(F.desc("size"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.select(
+        "id",
+        F.col("mate").alias("sequence_id"),
+        F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("offset"),
+    )
+    kept = unpacked(pieces.columns, ("sequence_id", "offset"))
+    return own.join(placed, "id").select(*kept, "sequence_id", "offset")
 
 
 def op7_best_fit(spark, sf_dir):
-    pieces = tokenized_pieces(documents(spark, sf_dir)).drop("ids")
-    return pack(staged(pieces, "pieces"))
+    return pack(tokenized_pieces(documents(spark, sf_dir)).drop("ids"))

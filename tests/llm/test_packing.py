@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import zlib
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from callstream.llm.packing import best_fit, pack, tokenized_pieces
+from callstream.llm.packing import _brackets, op7_best_fit, pack, tokenized_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,36 +47,94 @@ def test_pieces_are_those_of_the_tokenizer(spark, make_docs):
     assert len(found[91]) == 2
 
 
-def test_best_fit_takes_the_smallest_gap():
-    sequences, offsets, left = best_fit(np.array([6, 5, 4, 3, 2]), 10)
-    assert left.sum() == 0 and len(left) == 2
-    assert sequences.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 6, 5, 8]
+def serial(lengths, capacity):
+    """Best fit, the longest first, one after the other: the number of sequences."""
+    rooms = []
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, length)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - length)
+    return len(rooms)
 
 
-@pytest.mark.parametrize("block_rows", [40, 100_000])
-def test_few_sequences(spark, block_rows):
-    rng = random.Random(7)
-    lengths = [rng.choice([rng.randint(1, 100), rng.randint(1, 1000), 333, 1000]) for _ in range(1500)]
+def test_brackets_against_a_stack():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 7, 200):
+        is_gap = np.array([rng.random() < 0.5 for _ in range(n)], bool)
+        expected, free = [], []
+        for at, gap in enumerate(is_gap):
+            if not gap:
+                free.append(at)
+            elif free:
+                expected.append((free.pop(), at))
+        _, rows, gaps = _brackets(is_gap)
+        assert sorted(zip(rows.tolist(), gaps.tolist())) == sorted(expected)
+
+
+def packed(spark, lengths, capacity, range_rows):
     rows = spark.createDataFrame(list(enumerate(lengths)), "row long, length long").repartition(4)
-    found = pack(rows, 1000, block_rows).collect()
+    found = pack(rows, capacity, range_rows).collect()
     assert sorted((r["row"], r["length"]) for r in found) == list(enumerate(lengths))
-    least = math.ceil(sum(lengths) / 1000)
-    serial = len(best_fit(np.array(lengths), 1000)[2])
-    n = placed(found, 1000)
-    assert least <= n <= serial * 1.02 + math.ceil(1500 / block_rows)
+    return found
 
 
-def test_one_length_of_a_third_is_dealt_over_the_blocks(spark):
+@pytest.mark.parametrize("range_rows", [60, 100_000])
+def test_few_sequences(spark, range_rows):
+    rng = random.Random(7)
+    lengths = [rng.choice([rng.randint(1, 100), rng.randint(1, 1000), 333, 1000]) for _ in range(1500)]
+    n = placed(packed(spark, lengths, 1000, range_rows), 1000)
+    assert math.ceil(sum(lengths) / 1000) <= n <= serial(lengths, 1000) * 1.01
+
+
+def test_ranges_do_not_change_the_number(spark):
+    """What the borders part is matched as if there were none: equal rows and gaps per size."""
+    lengths = [int(1000 * random.Random(i).random() ** 2) + 1 for i in range(700)]
+    kinds = []
+    for range_rows in (50, 100_000):
+        sequences = defaultdict(list)
+        for r in packed(spark, lengths, 1000, range_rows):
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        kinds.append(len(sequences))
+    assert kinds[0] == kinds[1]
+
+
+def test_one_length_of_a_third(spark):
     lengths = [400 if i % 3 else 250 for i in range(900)]
-    rows = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
-    serial = len(best_fit(np.array(lengths), 1000)[2])
-    assert placed(pack(rows, 1000, 100).collect(), 1000) <= serial + 9  # one more a block
+    assert placed(packed(spark, lengths, 1000, 100), 1000) <= serial(lengths, 1000)
+
+
+@pytest.mark.parametrize("lengths", [[1] * 3000, [1000] * 9 + [501] * 5, [499, 2] * 300, [500]])
+def test_hard_lengths(spark, lengths):
+    assert placed(packed(spark, lengths, 1000, 500), 1000) == serial(lengths, 1000)
 
 
 def test_edges(spark):
-    schema = "doc_id long, length long, block string"
+    schema = "doc_id long, length long, block string, size string, ID string, __row string, offset string"
     assert pack(spark.createDataFrame([], schema), 10).collect() == []
-    rows = spark.createDataFrame([(1, 10, "a"), (1, 10, "a"), (None, 4, "b"), (2, 4, "b"), (2, 4, "b")], schema)
+    some = [(1, 10, "a"), (1, 10, "a"), (None, 4, "b"), (2, 4, "b"), (2, 4, "b"), (3, None, "c"), (3, 0, "c"), (4, 12, None)]
+    rows = spark.createDataFrame([(*r, "s", None, "r", "o") for r in some], schema)
     found = pack(rows, 10)
-    assert found.columns == ["doc_id", "length", "sequence_id", "offset"]
-    assert placed(found.collect(), 10) == 4 and found.count() == 5
+    assert found.columns == ["doc_id", "length", "block", "size", "ID", "__row", "sequence_id", "offset"]
+    got = found.collect()
+    key = repr
+    assert sorted([tuple(r)[:3] for r in got], key=key) == sorted(some, key=key)
+    assert {(r["size"], r["ID"], r["__row"]) for r in got} == {("s", None, "r")}
+    odd = [r for r in got if r["length"] not in (4, 10)]
+    assert len({r["sequence_id"] for r in odd}) == 3 and {r["offset"] for r in odd} == {0}
+    assert placed([r for r in got if r["length"] in (4, 10)], 10) == 4
+
+
+def test_query_over_a_table(spark):
+    """All ids of all documents, by the plain tokenizer; placed in few sequences."""
+    folder = "/root/testdata/sf0.001"
+    rows = op7_best_fit(spark, folder).collect()
+    tokenizer = Tokenizer.from_file(PATH)
+    expected = {}
+    for doc, text in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[start : start + 4096], "<u4")
+            expected[doc, piece] = (start, len(part), zlib.crc32(part.tobytes()))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == expected
+    assert len(rows) == len(expected)
+    assert placed(rows, 4096) <= serial([r["length"] for r in rows], 4096) * 1.01 + 1
