@@ -54,8 +54,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of the tokenised documents into sequences of at most 4096 tokens."""
-    pieces = packing.tokenized_pieces(docs).drop("ids")
-    return packing.pack(staged(pieces, "pieces"))
+    return packing.pack(packing.tokenized_pieces(docs).drop("ids"))
 
 
 STAGES = [
