@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callstream.llm.common import as_bytes, documents, in_arrow, staged, unpacked, whole_row
+from callstream.llm.common import documents, in_arrow, staged, unpacked, whole_row
 
 CAPACITY = 4096
 END_ID = 1
@@ -21,6 +22,9 @@ END_ID = 1
 RANGE_ROWS = 500_000
 #: Words whose ids a Python worker keeps (about 200 bytes each).
 KEPT_WORDS = 700_000
+#: Texts whose words are looked up at once.
+PART_ROWS = 4096
+PART_BYTES = 16 << 20
 _tokenizers: dict[str, _WordIds] = {}
 
 
@@ -42,39 +46,42 @@ class _WordIds:
         self.odd: set[bytes] = set()  # words that hold an added token
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        split = [(text or b"").split() for text in texts]
-        encoded = self._encoded(split)
-        if self.odd:
-            for at, words in enumerate(split):
-                if not self.odd.isdisjoint(words):
-                    text = texts[at].decode("utf-8", "replace")
-                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                    encoded[at] = np.array(ids, "<u4").tobytes()
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, null as empty, as little-endian 32-bit numbers."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return [b""] * len(texts)
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        ids = pa.array(self._ids(distinct), pa.large_binary()).take(words.indices)
+        _, ends, data = ids.buffers()
+        first = split.offsets.to_numpy()
+        cuts = np.frombuffer(ends, np.int64)[first].tolist()
+        data = memoryview(data) if data is not None else b""
+        encoded = [bytes(data[low:high]) for low, high in zip(cuts, cuts[1:])]
+        if self.odd and (odd := [w in self.odd for w in distinct]) and any(odd):
+            at = np.flatnonzero(np.array(odd)[words.indices.to_numpy()])
+            for row in np.unique(np.searchsorted(first, at, side="right") - 1).tolist():
+                text = texts[row].as_buffer().to_pybytes().decode("utf-8", "replace")
+                whole = self.tokenizer.encode(text, add_special_tokens=False).ids
+                encoded[row] = np.array(whole, "<u4").tobytes()
         return encoded
 
-    def _encoded(self, split: list[list[bytes]]) -> list[bytes]:
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        self.odd.update(w for w in new if any(token in w.lower() for token in self.added))
-        here = {}
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words; those of the first ``KEPT_WORDS`` are kept."""
+        found = list(map(self.known.get, words))
+        new = [at for at, ids in enumerate(found) if ids is None]
         for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
+            part = [words[at] for at in new[low : low + 20_000]]
+            self.odd.update(w for w in part if any(token in w.lower() for token in self.added))
             encoded = self.tokenizer.encode_batch_fast(
                 [w.decode("utf-8", "replace") for w in part], add_special_tokens=False
             )
-            here.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded))
-        if len(known) + len(here) <= KEPT_WORDS:
-            known.update(here)
-            here = known
-        elif here:
-            room = KEPT_WORDS - len(known)
-            known.update(list(here.items())[: max(0, room)])
-            return [b"".join([known[w] if w in known else here[w] for w in words]) for words in split]
-        else:
-            here = known
-        return [b"".join([here[w] for w in words]) for words in split]
+            for at, e in zip(new[low:], encoded):
+                found[at] = np.array(e.ids, "<u4").tobytes()
+        room = max(0, KEPT_WORDS - len(self.known))
+        self.known.update((words[at], found[at]) for at in new[:room])
+        return found
 
 
 def _worker_ids(path: str) -> _WordIds:
@@ -83,6 +90,17 @@ def _worker_ids(path: str) -> _WordIds:
     return _tokenizers[path]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of ``PART_ROWS``, or of fewer that begin within ``PART_BYTES``."""
+    sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64)
+    number = (np.cumsum(sizes) - sizes) // PART_BYTES
+    low = 0
+    for high in [*(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]:
+        for start in range(low, high, PART_ROWS):
+            yield batch.slice(start, min(PART_ROWS, high - start))
+        low = high
+
+
 def _pieces(path: str | None, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -91,10 +109,9 @@ def _pieces(path: str | None, capacity: int) -> Callable:
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for part in _parts(batch):
                 at, numbers, starts, ids = [], [], [], []
-                for row, data in enumerate(words.encode(as_bytes(part.column(1)))):
+                for row, data in enumerate(words.encode(part.column(1))):
                     data += end
                     for number, start in enumerate(range(0, len(data), step)):
                         at.append(row)
