@@ -23,8 +23,8 @@ RANGE_ROWS = 500_000
 #: Words whose ids a Python worker keeps (about 200 bytes each).
 KEPT_WORDS = 700_000
 #: Texts whose words are looked up at once.
-PART_ROWS = 4096
-PART_BYTES = 16 << 20
+PART_ROWS = 2048
+PART_BYTES = 4 << 20
 _tokenizers: dict[str, _WordIds] = {}
 
 
