@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,6 +20,12 @@ from callstream.workspace import scratch_dir
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Holds a whole input row while an operator works beside it, so no name can clash.
 ROW = "__row"
+_caches: dict[str, dict] = {}
+
+
+def cache(module: str) -> dict:
+    """What a Python worker keeps from task to task, until a task of another module begins."""
+    return _caches.setdefault(module, {})
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +46,36 @@ def ship(spark: SparkSession) -> None:
     context._callstream_shipped = True
 
 
+def _begin_task(module: str) -> None:
+    """Empty what other modules kept in this worker: workers outlive stages and operators."""
+    others = [kept for name, kept in _caches.items() if name != module and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        _return_memory()
+
+
+def _return_memory() -> None:
+    """Give the system what the allocators hold free; an idle worker would keep it to its end."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def in_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+    """``mapInArrow`` with this package at hand in the workers, which give their memory back."""
+    module = function.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin_task(module)
+        try:
+            yield from function(batches)
+        finally:
+            _return_memory()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -65,6 +98,6 @@ def unpacked(columns: Iterable[str], replaced: Iterable[str] = ()) -> list[Colum
     return [F.col(f"{ROW}.`{c}`").alias(c) for c in columns if c.lower() not in gone]
 
 
-def as_bytes(column: pa.Array) -> list[bytes | None]:
-    """UTF-8 bytes of each text of an Arrow column, null for null."""
-    return column.cast(pa.binary()).to_pylist()
+def as_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    """UTF-8 bytes of each text of an Arrow column, null for null, one after the other."""
+    return (text.as_py() for text in column.cast(pa.binary()))

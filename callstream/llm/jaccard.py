@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callstream.llm.common import as_bytes, documents, in_arrow, staged
+from callstream.llm.common import as_bytes, cache, documents, in_arrow, staged
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -25,7 +25,7 @@ BUCKET = 512
 #: Splits of a bucket that is too large, before it is compared block by block.
 LEVELS = 3
 _KEPT_WORDS = 200_000
-_word_hashes: dict[bytes, int] = {}
+_word_hashes: dict[bytes, int] = cache(__name__)
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,11 +165,14 @@ def learn_languages(
     return model
 
 
-def _predicted(shared) -> Callable:
+def _predicted(shared, at: int) -> Callable:
+    """Whole rows, whose text is the field ``at``, with what is predicted for them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.predict(text) for text in batch.column(1).to_pylist()]
+            texts = pc.struct_field(batch.column(0), [at])
+            found = [model.predict(text.as_py()) for text in texts]
             langs, scores, narrow = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -193,11 +197,12 @@ def identify_languages(docs: DataFrame, model: Languages) -> DataFrame:
     Input columns with the added names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(whole_row(docs), F.col("text").alias("__text"))
+    rows = docs.select(whole_row(docs))
+    at = [name.lower() for name in docs.columns].index("text")
     schema = StructType([rows.schema[ROW]])
     for name, kind in zip(ADDED, (StringType(), DoubleType(), BooleanType())):
         schema = schema.add(f"__{name}", kind)
-    found = in_arrow(rows, _predicted(shared), schema)
+    found = in_arrow(rows, _predicted(shared, at), schema)
     return found.select(
         *unpacked(docs.columns, ADDED), *[F.col(f"__{name}").alias(name) for name in ADDED]
     )

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callstream.llm.common import documents, in_arrow, staged, unpacked, whole_row
+from callstream.llm.common import cache, documents, in_arrow, staged, unpacked, whole_row
 
 CAPACITY = 4096
 END_ID = 1
@@ -25,7 +25,7 @@ KEPT_WORDS = 700_000
 #: Texts whose words are looked up at once.
 PART_ROWS = 2048
 PART_BYTES = 4 << 20
-_tokenizers: dict[str, _WordIds] = {}
+_tokenizers: dict[str, _WordIds] = cache(__name__)
 
 
 class _WordIds:
