@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,15 @@ PART_BYTES = 4 << 20
 _tokenizers: dict[str, _WordIds] = cache(__name__)
 
 
+def _bytes(words: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each of some strings, none of them null."""
+    words = words.cast(pa.large_binary())
+    _, ends, data = words.buffers()
+    cuts = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    data = data.to_pybytes() if data is not None else b""
+    return [data[low:high] for low, high in zip(cuts, cuts[1:])]
+
+
 class _WordIds:
     """Ids of words by a tokenizer that never joins text over blanks, most looked up once.
 
@@ -52,7 +62,7 @@ class _WordIds:
         words = split.flatten().dictionary_encode()
         if not len(words):
             return [b""] * len(texts)
-        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        distinct = _bytes(words.dictionary)
         ids = pa.array(self._ids(distinct), pa.large_binary()).take(words.indices)
         _, ends, data = ids.buffers()
         first = split.offsets.to_numpy()
@@ -73,12 +83,15 @@ class _WordIds:
         new = [at for at, ids in enumerate(found) if ids is None]
         for low in range(0, len(new), 20_000):
             part = [words[at] for at in new[low : low + 20_000]]
-            self.odd.update(w for w in part if any(token in w.lower() for token in self.added))
+            together = b" ".join(part).lower()  # an added token has no blank: it is in a word or nowhere
+            if any(token in together for token in self.added):
+                self.odd.update(w for w in part if any(token in w.lower() for token in self.added))
             encoded = self.tokenizer.encode_batch_fast(
                 [w.decode("utf-8", "replace") for w in part], add_special_tokens=False
             )
             for at, e in zip(new[low:], encoded):
-                found[at] = np.array(e.ids, "<u4").tobytes()
+                ids = e.ids
+                found[at] = struct.pack(f"<{len(ids)}I", *ids)
         room = max(0, KEPT_WORDS - len(self.known))
         self.known.update((words[at], found[at]) for at in new[:room])
         return found

@@ -8,10 +8,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from callstream.llm.packing import _brackets, op7_best_fit, pack, tokenized_pieces
+from callstream.llm.packing import _brackets, _WordIds, op7_best_fit, pack, tokenized_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -138,3 +139,23 @@ def test_query_over_a_table(spark):
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == expected
     assert len(rows) == len(expected)
     assert placed(rows, 4096) <= serial([r["length"] for r in rows], 4096) * 1.01 + 1
+
+
+def test_added_tokens_are_looked_for_in_many_words_at_once():
+    asked = []
+
+    class Added(list):
+        def __iter__(self):
+            asked.append(1)
+            return super().__iter__()
+
+    words = _WordIds(PATH)
+    words.added = Added(words.added)
+    text = " ".join(f"word{i}" for i in range(5000))
+    expected = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.encode(pa.array(["", text, None]))[1], "<u4").tolist() == expected
+    assert len(asked) < 10
+    text += " x<|EndOfText|>y"
+    expected = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.encode(pa.array([text]))[0], "<u4").tolist() == expected
+    assert words.odd == {b"x<|EndOfText|>y"}
